@@ -89,58 +89,90 @@ def _hidden(kind: str, i: int) -> str:
     return f"__rule_{kind}_{i}"
 
 
+def _leaves(ruleset: RuleSet) -> list[dict[str, Any]]:
+    """Every leaf node of every rule, in a fixed traversal order (index = position)."""
+    out: list[dict[str, Any]] = []
+
+    def walk(node: dict[str, Any]) -> None:
+        if "all" in node:
+            for ch in node["all"]:
+                walk(ch)
+        elif "any" in node:
+            for ch in node["any"]:
+                walk(ch)
+        else:
+            out.append(node)
+
+    for r in ruleset.rules:
+        walk(r.decision_tree)
+    return out
+
+
+def _leaf_condition(node: dict[str, Any], num: Column, txt: Column, raw: Column) -> Column:
+    op, target = node.get("operator"), node.get("value")
+    if op in NUMERIC_OPS:
+        return F.coalesce(getattr(num, NUMERIC_OPS[op])(F.lit(float(target))), F.lit(False))
+    if op == "==":
+        return txt == F.lit(_norm_py(target))
+    if op == "!=":
+        return txt != F.lit(_norm_py(target))
+    if op == "contains":
+        return txt.contains(_norm_py(target))
+    if op == "contains_any":
+        return contains_any(txt, [_norm_py(t) for t in (target or [])])
+    if op == "not_empty":
+        return is_non_empty(raw)
+    warnings.warn(f"unknown rule operator {op!r} on {node.get('field')!r}: evaluates to false")
+    return F.lit(False)
+
+
 class _Compiler:
-    def __init__(self, fields: list[str], present: set[str]):
-        self.index = {f: i for i, f in enumerate(fields)}
+    """Builds rule success and trace expressions over precomputed leaf columns.
+
+    Leaf truth values are materialised once per row as boolean columns
+    (``__rule_leaf_k``); rule success, the short-circuit "visited" flags and
+    the trace are cheap boolean/array expressions over them.  This keeps the
+    generated code small enough for whole-stage codegen.
+    """
+
+    def __init__(self, ruleset: RuleSet, present: set[str]):
+        self.ids = {id(n): k for k, n in enumerate(_leaves(ruleset))}
         self.present = present
 
     def raw(self, name: str) -> Column:
         return F.col(f"`{name}`") if name in self.present else F.lit(None).cast("string")
 
-    def leaf(self, node: dict[str, Any]) -> tuple[Column, Column]:
-        name, op, target = node["field"], node.get("operator"), node.get("value")
-        i = self.index[name]
-        num, txt = F.col(_hidden("num", i)), F.col(_hidden("txt", i))
-        raw = self.raw(name)
-        if op in NUMERIC_OPS:
-            ok = F.coalesce(getattr(num, NUMERIC_OPS[op])(F.lit(float(target))), F.lit(False))
-        elif op == "==":
-            ok = txt == F.lit(_norm_py(target))
-        elif op == "!=":
-            ok = txt != F.lit(_norm_py(target))
-        elif op == "contains":
-            ok = txt.contains(_norm_py(target))
-        elif op == "contains_any":
-            ok = contains_any(txt, [_norm_py(t) for t in (target or [])])
-        elif op == "not_empty":
-            ok = is_non_empty(raw)
-        else:
-            warnings.warn(f"unknown rule operator {op!r} on {name!r}: evaluates to false")
-            ok = F.lit(False)
-        prefix = f"{name} {op} {fmt_py_value(target)}{C.TRACE_VALUE_SEP}"
-        line = F.concat(F.lit(prefix), F.coalesce(as_text(raw), F.lit("")))
-        return ok, F.array(line)
-
-    def node(self, node: dict[str, Any]) -> tuple[Column, Column]:
+    def success(self, node: dict[str, Any]) -> Column:
         if "all" in node:
-            return self.chain([self.node(ch) for ch in node["all"]], stop_on_success=False)
+            kids = [self.success(c) for c in node["all"]]
+            return reduce(lambda a, b: a & b, kids) if kids else F.lit(True)
         if "any" in node:
-            return self.chain([self.node(ch) for ch in node["any"]], stop_on_success=True)
-        return self.leaf(node)
-
-    @staticmethod
-    def chain(parts: list[tuple[Column, Column]], stop_on_success: bool) -> tuple[Column, Column]:
-        if not parts:
-            return F.lit(stop_on_success is False), EMPTY_LINES
-        if stop_on_success:
-            ok = reduce(lambda a, b: a | b, [p[0] for p in parts])
-        else:
-            ok = reduce(lambda a, b: a & b, [p[0] for p in parts])
-        lines = parts[-1][1]
-        for s, ls in reversed(parts[:-1]):
-            go_on = ~s if stop_on_success else s
-            lines = F.concat(ls, F.when(go_on, lines).otherwise(EMPTY_LINES))
-        return ok, lines
+            kids = [self.success(c) for c in node["any"]]
+            return reduce(lambda a, b: a | b, kids) if kids else F.lit(False)
+        return F.col(_hidden("leaf", self.ids[id(node)]))
+
+    def trace(self, node: dict[str, Any]) -> Column:
+        """Lines of the leaves visited under short circuit, in visiting order."""
+        items: list[Column] = []
+
+        def walk(n: dict[str, Any], visited: Column | None) -> None:
+            if "all" in n or "any" in n:
+                any_mode = "all" not in n
+                kids = n["any"] if any_mode else n["all"]
+                cond = visited
+                for ch in kids:
+                    walk(ch, cond)
+                    s = self.success(ch)
+                    step = ~s if any_mode else s
+                    cond = step if cond is None else (cond & step)
+                return
+            target = n.get("value")
+            prefix = f"{n['field']} {n.get('operator')} {fmt_py_value(target)}{C.TRACE_VALUE_SEP}"
+            line = F.concat(F.lit(prefix), F.coalesce(as_text(self.raw(n["field"])), F.lit("")))
+            items.append(line if visited is None else F.when(visited, line))
+
+        walk(node, None)
+        return F.array_compact(F.array(*items)) if items else EMPTY_LINES
 
 
 def _norm_py(v: Any) -> str:
@@ -151,14 +183,23 @@ def _norm_py(v: Any) -> str:
 
 
 def with_rule_inputs(df: DataFrame, ruleset: RuleSet) -> DataFrame:
-    """Parse each referenced field once: number (null if none) and normalised text."""
+    """Parse each referenced field once (number, normalised text), then evaluate each leaf once."""
     present = set(df.columns)
+    fields = ruleset.fields()
     cols = []
-    for i, name in enumerate(ruleset.fields()):
+    for i, name in enumerate(fields):
         raw = F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
         cols.append(safe_float(raw, default=None).alias(_hidden("num", i)))
         cols.append(norm_ws(raw).alias(_hidden("txt", i)))
-    return df.select("*", *cols)
+    staged = df.select("*", *cols)
+    fidx = {f: i for i, f in enumerate(fields)}
+    leaf_cols = []
+    for k, node in enumerate(_leaves(ruleset)):
+        i = fidx[node["field"]]
+        raw = F.col(f"`{node['field']}`") if node["field"] in present else F.lit(None).cast("string")
+        cond = _leaf_condition(node, F.col(_hidden("num", i)), F.col(_hidden("txt", i)), raw)
+        leaf_cols.append(cond.alias(_hidden("leaf", k)))
+    return staged.select("*", *leaf_cols)
 
 
 def drop_rule_inputs(df: DataFrame) -> DataFrame:
@@ -170,14 +211,13 @@ def rule_hit_column(df: DataFrame, ruleset: RuleSet) -> Column:
 
     ``df`` must already carry the hidden inputs of :func:`with_rule_inputs`.
     """
-    comp = _Compiler(ruleset.fields(), set(df.columns))
+    comp = _Compiler(ruleset, set(df.columns))
     branches = []
     for r in ruleset.rules:
-        ok, lines = comp.node(r.decision_tree)
         hit = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.output_label).alias("label"),
                        F.lit(r.diagnosis).alias("diagnosis"), F.lit(r.priority).alias("priority"),
-                       lines.alias("trace"))
-        branches.append(F.when(ok, hit))
+                       comp.trace(r.decision_tree).alias("trace"))
+        branches.append(F.when(comp.success(r.decision_tree), hit))
     if not branches:
         return F.lit(None)
     return F.coalesce(*branches) if len(branches) > 1 else branches[0]
@@ -192,8 +232,8 @@ def evaluate_rules(df: DataFrame, ruleset: RuleSet, out: str = "rule_hit") -> Da
 def rule_flags(df: DataFrame, ruleset: RuleSet) -> DataFrame:
     """One boolean column per rule (``hit_<id>``), independent of priority."""
     staged = with_rule_inputs(df, ruleset)
-    comp = _Compiler(ruleset.fields(), set(staged.columns))
-    flags = [comp.node(r.decision_tree)[0].alias(f"hit_{r.id}") for r in ruleset.rules]
+    comp = _Compiler(ruleset, set(staged.columns))
+    flags = [comp.success(r.decision_tree).alias(f"hit_{r.id}") for r in ruleset.rules]
     return drop_rule_inputs(staged.select("*", *flags))
 
 
