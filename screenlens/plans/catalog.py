@@ -82,3 +82,96 @@ def q_score_records(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("record_id", F.col("final.source").alias("source"), F.col("final.label").alias("label"),
                       F.col("final.diagnosis").alias("diagnosis"), F.col("final.rule_id").alias("rule_id"),
                       F.array_join("final.trace", "\n").alias("trace"), "query")
+
+
+# ------------------------------------------------------------------ prep
+
+from ..operators import prep as P  # noqa: E402
+
+EXAM_FILL = {"symptom": "无", "lung_result": "无", "spare_result": "已成"}
+EXAM_BINARY = ["symptom", "chest_judgment", "lung_result", "tenure"]
+EXAM_PRIVACY = ["name"]
+EXAM_UNIT_KEYWORDS = ["unit"]
+EXAM_MARKER_KEYWORDS = ["marker"]
+FIXED_HAZARDS = ["STANDARD", "SMALL", "LARGE", "LARGE、XL", "PROMO", "BRASS"]
+
+
+@query("norm_values")
+def q_norm_values(spark: SparkSession, sf: str) -> DataFrame:
+    df = P.normalize_values(X.exam(spark, sf))
+    return df.select("record_id", *X.EXAM_TEXT_COLUMNS)
+
+
+@query("fill_rules")
+def q_fill_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return P.fill_values(X.exam(spark, sf), EXAM_FILL).select("record_id", *EXAM_FILL)
+
+
+@query("binary_flags")
+def q_binary_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return P.binary_flags(X.exam(spark, sf), EXAM_BINARY).select("record_id", *EXAM_BINARY)
+
+
+@query("duration_months")
+def q_duration_months(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf).select("record_id", "tenure", F.col("tenure").alias("months"))
+    return P.durations_to_months(df, ["months"], with_valid=True).withColumnRenamed("months_valid", "valid")
+
+
+@query("marker_fill")
+def q_marker_fill(spark: SparkSession, sf: str) -> DataFrame:
+    df = P.fill_markers(X.exam(spark, sf), EXAM_MARKER_KEYWORDS)
+    return df.select("record_id", *[c for c in df.columns if "marker" in c])
+
+
+@query("hazard_top")
+def q_hazard_top(spark: SparkSession, sf: str) -> DataFrame:
+    t = P.top_tokens(X.exam(spark, sf), "exposure")
+    return t.select("token", "n", F.round("share", 6).alias("share"))
+
+
+def _dummies_long(df: DataFrame, vocab: list[str]) -> DataFrame:
+    cols = [C.HAZARD_PREFIX + t for t in vocab]
+    long = df.select("record_id", *[F.col(f"`{c}`") for c in cols]).unpivot("record_id", cols, "hazard", "flag")
+    return long.where(F.col("flag") == 1).select("record_id", "hazard")
+
+
+@query("hazard_dummies")
+def q_hazard_dummies(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    # the fitted top-20 vocabulary is the one small driver-side result (bounded by k)
+    vocab = [r["token"] for r in P.top_tokens(df, "exposure").collect()]
+    return _dummies_long(P.hazard_dummies(df, "exposure", vocab), vocab)
+
+
+@query("hazard_dummies_fixed")
+def q_hazard_dummies_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    return _dummies_long(P.hazard_dummies(df, "exposure", FIXED_HAZARDS, delims=",、"), FIXED_HAZARDS)
+
+
+SMART_TYPE_COLUMNS = [c for c in ["job", "gender", "age", "tenure", "exposure", "sbp_result", "sbp_unit", "sbp_marker",
+                                  "dbp_result", "glucose_result", "lung_result", "chest_judgment", "chest_marker",
+                                  "hearing_high_result", "hearing_high_marker", "hearing_speech_result",
+                                  "hearing_speech_marker", "symptom", "spare_result"]]
+
+
+@query("smart_types")
+def q_smart_types(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf).select(*SMART_TYPE_COLUMNS)
+    total = df.select(F.count(F.lit(1))).scalar()
+    shares = df.agg(*[F.sum(P.strict_double(F.col(c)).isNotNull().cast("long")).alias(c) for c in SMART_TYPE_COLUMNS])
+    long = shares.unpivot([], SMART_TYPE_COLUMNS, "column_name", "n_numeric")
+    rate = F.col("n_numeric") / total
+    return long.select("column_name", F.round(rate, 6).alias("conversion_rate"),
+                       F.when(rate > 0.8, "numeric").otherwise("categorical").alias("kind"))
+
+
+@query("prep_report")
+def q_prep_report(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    plan = P.fit_clean(df, privacy=EXAM_PRIVACY, unit_keywords=EXAM_UNIT_KEYWORDS, other=[])
+    cleaned = P.apply_clean(df, plan)
+    rows = P.report_rows(plan)
+    rows += [("shape", 0, f"{plan.rows}x{plan.original_columns}"), ("shape", 1, f"{plan.rows}x{len(cleaned.columns)}")]
+    return spark.createDataFrame(rows, "step string, pos int, column_name string")

@@ -70,3 +70,77 @@ select record_id, source, final_label as label, final_diagnosis as diagnosis, ru
        array_to_string(final_trace, chr(10)) as trace,
        {S.query_text(X.EXAM_FIELDS, EXAM_PRESENT | {'final_label', 'final_diagnosis'}, 'final_label', 'final_diagnosis', 'h')} as query
 from scored""", exam=EXAM_SQL, scored=_SCORE_BASE))
+
+
+# ------------------------------------------------------------------ prep
+
+from .. import constants as C  # noqa: E402
+from . import catalog as K  # noqa: E402
+
+_STRINGS = X.EXAM_TEXT_COLUMNS
+_NORMAL = ", ".join(S.q(v) for v in C.COMMON_NORMAL_VALUES)
+
+oracle("norm_values", with_views("select record_id, " + ", ".join(
+    f"case when {c} in ({_NORMAL}) then '无' else {c} end as {c}" for c in _STRINGS) + " from exam", exam=EXAM_SQL))
+
+oracle("fill_rules", with_views("select record_id, " + ", ".join(
+    f"coalesce({c}, {S.q(v)}) as {c}" for c, v in K.EXAM_FILL.items()) + " from exam", exam=EXAM_SQL))
+
+oracle("binary_flags", with_views("select record_id, " + ", ".join(
+    f"case when {c} is null then 0 when regexp_matches({S.txt(c)}, '无|未|不') then 0 else 1 end as {c}"
+    for c in K.EXAM_BINARY) + " from exam", exam=EXAM_SQL))
+
+oracle("duration_months", with_views(r"""
+select record_id, tenure,
+  coalesce(try_cast(regexp_extract(tenure, '^(\d+)年(\d+)月', 1) as bigint) * 12
+           + try_cast(regexp_extract(tenure, '^(\d+)年(\d+)月', 2) as bigint), 0) as months,
+  coalesce(regexp_matches(tenure, '^(\d+)年(\d+)月'), false) as valid
+from exam""", exam=EXAM_SQL))
+
+oracle("marker_fill", with_views("select record_id, " + ", ".join(
+    f"coalesce({c}, '合格') as {c}" for c in EXAM_COLUMNS if "marker" in c) + " from exam", exam=EXAM_SQL))
+
+_TOKENS = """
+select record_id, trim(t) as token
+from (select record_id, unnest(string_split(coalesce(exposure, ''), ',')) as t from exam) u
+where trim(t) <> ''"""
+
+oracle("hazard_top", with_views("""
+select token, count(*) as n, round(count(*) / (select count(*) from exam), 6) as share
+from toks group by token order by n desc, token limit 20""", exam=EXAM_SQL, toks=_TOKENS))
+
+oracle("hazard_dummies", with_views("""
+select distinct t.record_id, '危害因素_' || t.token as hazard
+from toks t join (select token from toks group by token order by count(*) desc, token limit 20) v
+  on t.token = v.token""", exam=EXAM_SQL, toks=_TOKENS))
+
+oracle("hazard_dummies_fixed", with_views(f"""
+select distinct record_id, '危害因素_' || token as hazard
+from (select record_id, trim(t) as token
+      from (select record_id, unnest(regexp_split_to_array(coalesce(exposure, ''), '[,、]')) as t from exam) u) s
+where token in ({', '.join(S.q(t) for t in K.FIXED_HAZARDS)})""", exam=EXAM_SQL))
+
+_STRICT = r"'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
+oracle("smart_types", with_views(" union all ".join(
+    f"select {S.q(c)} as column_name, round(avg(case when regexp_matches({S.txt(c)}, {_STRICT}) then 1.0 else 0.0 end), 6)"
+    f" as conversion_rate, case when avg(case when regexp_matches({S.txt(c)}, {_STRICT}) then 1.0 else 0.0 end) > 0.8"
+    f" then 'numeric' else 'categorical' end as kind from exam" for c in K.SMART_TYPE_COLUMNS), exam=EXAM_SQL))
+
+_NON_STRING = {"record_id", "age", "exam_date"}
+_STATS = " union all ".join(
+    f"select {i} as ord, {S.q(c)} as column_name, {str(c not in _NON_STRING).lower()} as is_string, count({c}) as nn, "
+    f"min({S.txt(c)}) as lo, max({S.txt(c)}) as hi, count(*) as n_rows from exam" for i, c in enumerate(EXAM_COLUMNS))
+oracle("prep_report", with_views("""
+select step, cast(row_number() over (partition by step order by ord) - 1 as int) as pos, column_name from (
+  select ord, column_name,
+    case when nn = 0 then 'full_missing_removed'
+         when is_string and lo = hi then 'single_value_removed'
+         when column_name in ('name') then 'privacy_removed'
+         when contains(column_name, 'unit') then 'unit_columns_removed'
+         else 'remaining' end as step from stats) s
+union all
+select 'shape', 0, cast(max(n_rows) as varchar) || 'x' || cast(count(*) as varchar) from stats
+union all
+select 'shape', 1, cast(max(n_rows) as varchar) || 'x' || cast(sum(case when nn > 0 and not (is_string and lo = hi)
+       and column_name <> 'name' and not contains(column_name, 'unit') then 1 else 0 end) as varchar) from stats
+""", exam=EXAM_SQL, stats=_STATS))
