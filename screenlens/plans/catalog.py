@@ -175,3 +175,139 @@ def q_prep_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.report_rows(plan)
     rows += [("shape", 0, f"{plan.rows}x{plan.original_columns}"), ("shape", 1, f"{plan.rows}x{len(cleaned.columns)}")]
     return spark.createDataFrame(rows, "step string, pos int, column_name string")
+
+
+# ------------------------------------------------------------------ profile, labels, records
+
+from ..functions import text as T  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+
+PROBE_KEYWORD = "result"
+SEARCH_KEYWORDS = ["result", "marker", "hearing", "unit", "????"]
+AGREE_FIRST = [C.LABELS[3], C.LABELS[4]]
+
+
+@query("missing_ratio")
+def q_missing_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    return P.missing_ratio(df).select(F.col("column").alias("column_name"),
+                                      F.round("missing_ratio", 6).alias("missing_ratio"))
+
+
+@query("column_profile")
+def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    cols = P.string_columns(df)
+    agg = df.agg(*[F.struct(F.count_distinct(F.col(c)).alias("d"), F.count(F.col(c)).alias("n")).alias(c)
+                   for c in cols])
+    long = agg.unpivot([], cols, "column_name", "s")
+    return long.select("column_name", F.col("s.d").alias("n_distinct"), F.col("s.n").alias("non_null"),
+                       (F.col("s.d") == 1).alias("single_value"))
+
+
+@query("label_distribution")
+def q_label_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    raw = PR.label_distribution(df, F.col("label"), "raw")
+    clean = _label_codes(spark, df)
+    filtered = PR.label_distribution(clean, F.col("y").cast("string"), "filtered")
+    return raw.unionByName(filtered).select("stage", "label", "n", F.round("pct", 6).alias("pct"))
+
+
+def _label_dim(spark: SparkSession) -> DataFrame:
+    rows = [(text, code) for code, text in C.LABELS.items()]
+    return spark.createDataFrame(rows, "label_text string, code int")
+
+
+def _label_codes(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Null labels dropped, text -> code (broadcast dim), codes 3/4 excluded, 5 -> 2."""
+    text = _label_text(F.col("label"))
+    dim = F.broadcast(_label_dim(spark))   # five rows: size bound by the label dictionary
+    coded = df.where(F.col("label").isNotNull()).select("record_id", text.alias("label_text")) \
+        .join(dim, "label_text", "left")
+    y = F.col("code")
+    for src, dst in C.REMAP_CODES.items():
+        y = F.when(y == src, dst).otherwise(y)
+    return coded.where(~F.col("code").isin(*C.EXCLUDED_CODES)).select("record_id", y.alias("y"))
+
+
+@query("label_clean")
+def q_label_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _label_codes(spark, X.exam(spark, sf))
+
+
+@query("label_unknown")
+def q_label_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    # raw fixture labels checked against the conclusion dictionary, as the loader does before training
+    df = X.exam(spark, sf).where(F.col("label").isNotNull())
+    dim = F.broadcast(_label_dim(spark))
+    unknown = df.join(dim, df.label == dim.label_text, "left_anti")
+    return unknown.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("completeness")
+def q_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    cols = df.columns
+    return df.select("record_id", PR.non_null_count(cols).alias("field_score"),
+                     PR.non_empty_count(cols).alias("non_empty"))
+
+
+@query("value_probe")
+def q_value_probe(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    cols = [c for c in df.columns if PROBE_KEYWORD in c]
+    return PR.value_probe(df, cols, 10).select("column_name", "value", "n", F.col("rank").cast("int").alias("rank"))
+
+
+@query("column_search")
+def q_column_search(spark: SparkSession, sf: str) -> DataFrame:
+    cols = X.exam(spark, sf).columns
+    return spark.createDataFrame(PR.column_search(cols, SEARCH_KEYWORDS), "keyword string, pos int, column_name string")
+
+
+@query("samples_per_label")
+def q_samples_per_label(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf).select("record_id", "label", "sbp_result", "glucose_result", "tenure")
+    return PR.samples_per_label(df, "label", [F.col("record_id")], 5)
+
+
+@query("demo_samples")
+def q_demo_samples(spark: SparkSession, sf: str) -> DataFrame:
+    df = evaluate_rules(X.exam(spark, sf), exam_rules())
+    cols = [c for c in df.columns if c != "rule_hit"]
+    picked = PR.demo_samples(df, _label_text(F.col("label")), F.col("rule_hit.label"), PR.non_null_count(cols),
+                             F.col("record_id"), AGREE_FIRST)
+    return picked.select(F.concat_ws("_", "expected_label", F.col("record_id").cast("string")).alias("sample_id"),
+                         "expected_label", "record_id", F.coalesce("expert_hit", F.lit("")).alias("expert_hit"),
+                         "field_score", F.col("sample_rank").cast("int").alias("sample_rank"))
+
+
+@query("sparse_record")
+def q_sparse_record(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf).drop(*X.EXAM_PRIVACY, "label")
+    entries = [x for c in df.columns if c != "record_id" for x in (F.lit(c), T.as_text(F.col(c)))]
+    m = F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
+    return df.select("record_id", F.to_json(m).alias("record_json"), F.size(m).alias("n_fields"))
+
+
+@query("sanitize_names")
+def q_sanitize_names(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.read_table(spark, sf, "documents", "doc_id", "text")
+    title = F.substring("text", 1, 24)
+    return docs.select("doc_id", T.sanitize_name(title).alias("file_name"),
+                       P.base_feature_name(T.sanitize_name(title)).alias("base_name"))
+
+
+@query("safe_float")
+def q_safe_float(spark: SparkSession, sf: str) -> DataFrame:
+    df = X.exam(spark, sf)
+    return df.select("record_id", T.safe_float("sbp_result").alias("sbp"), T.safe_float("glucose_result").alias("glucose"),
+                     T.safe_float("lung_result", None).alias("lung"), T.safe_float("tenure", -1.0).alias("tenure"))
+
+
+@query("norm_ws")
+def q_norm_ws(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.read_table(spark, sf, "documents", "doc_id", "text")
+    n = T.norm_ws("text")
+    return docs.select("doc_id", F.length(n).cast("bigint").alias("n_chars"), F.md5(n).alias("text_md5"))

@@ -144,3 +144,98 @@ union all
 select 'shape', 1, cast(max(n_rows) as varchar) || 'x' || cast(sum(case when nn > 0 and not (is_string and lo = hi)
        and column_name <> 'name' and not contains(column_name, 'unit') then 1 else 0 end) as varchar) from stats
 """, exam=EXAM_SQL, stats=_STATS))
+
+
+# ------------------------------------------------------------------ profile, labels, records
+
+_LABEL_DIM = "(select * from (values " + ", ".join(f"({S.q(t)}, {c})" for c, t in C.LABELS.items()) + \
+    ") d(label_text, code))"
+_CODES = f"""
+select record_id, case when code = 5 then 2 else code end as y
+from (select record_id, {_label_text('label')} as label_text from exam where label is not null) e
+left join {_LABEL_DIM} d using (label_text)
+where code not in (3, 4)"""
+
+oracle("missing_ratio", with_views(" union all ".join(
+    f"select {S.q(c)} as column_name, round(avg(case when {c} is null then 1.0 else 0.0 end), 6) as missing_ratio "
+    f"from exam" for c in EXAM_COLUMNS), exam=EXAM_SQL))
+
+_STR_COLS = [c for c in EXAM_COLUMNS if c not in _NON_STRING]
+oracle("column_profile", with_views(" union all ".join(
+    f"select {S.q(c)} as column_name, count(distinct {c}) as n_distinct, count({c}) as non_null, "
+    f"count(distinct {c}) = 1 as single_value from exam" for c in _STR_COLS), exam=EXAM_SQL))
+
+oracle("label_distribution", with_views("""
+select 'raw' as stage, label, count(*) as n, round(count(*) * 100.0 / (select count(*) from exam), 6) as pct
+from exam group by label
+union all
+select 'filtered', cast(y as varchar), count(*), round(count(*) * 100.0 / (select count(*) from codes), 6)
+from codes group by y""", exam=EXAM_SQL, codes=_CODES))
+
+oracle("label_clean", with_views("select record_id, y from codes", exam=EXAM_SQL, codes=_CODES))
+
+oracle("label_unknown", with_views(f"""
+select label, count(*) as n from exam
+where label is not null and label not in (select label_text from {_LABEL_DIM})
+group by label""", exam=EXAM_SQL))
+
+oracle("completeness", with_views("select record_id, " +
+    " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in EXAM_COLUMNS) + " as field_score, " +
+    " + ".join(f"(case when {S.is_non_empty(c)} then 1 else 0 end)" for c in EXAM_COLUMNS) + " as non_empty from exam",
+    exam=EXAM_SQL))
+
+_PROBE_COLS = [c for c in EXAM_COLUMNS if K.PROBE_KEYWORD in c]
+oracle("value_probe", with_views("""
+select column_name, value, n, cast(rank as int) as rank from (
+  select column_name, value, n, row_number() over (partition by column_name order by n desc, value) as rank
+  from (select column_name, value, count(*) as n from long where value is not null group by 1, 2) c) r
+where rank <= 10""", exam=EXAM_SQL, long=" union all ".join(
+    f"select {S.q(c)} as column_name, {S.txt(c)} as value from exam" for c in _PROBE_COLS)))
+
+_COLS_SQL = " union all ".join(f"select {i} as ord, {S.q(c)} as column_name" for i, c in enumerate(EXAM_COLUMNS))
+_KW_SQL = " union all ".join(f"select {i} as kord, {S.q(k)} as keyword" for i, k in enumerate(K.SEARCH_KEYWORDS))
+oracle("column_search", with_views("""
+select keyword, cast(row_number() over (partition by keyword order by ord) - 1 as int) as pos, column_name
+from kws join cols on contains(column_name, keyword)""", cols=_COLS_SQL, kws=_KW_SQL))
+
+oracle("samples_per_label", with_views("""
+select record_id, label, coalesce(sbp_result, '') as sbp_result, coalesce(glucose_result, '') as glucose_result,
+       coalesce(tenure, '') as tenure, sample_rank
+from (select *, row_number() over (partition by label order by record_id) as sample_rank
+      from exam where label is not null) t
+where sample_rank <= 5""", exam=EXAM_SQL))
+
+_FS = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in EXAM_COLUMNS)
+oracle("demo_samples", with_views(f"""
+select expected_label || '_' || cast(record_id as varchar) as sample_id, expected_label, record_id,
+       coalesce(expert_hit, '') as expert_hit, field_score, cast(sample_rank as int) as sample_rank
+from (select *, row_number() over (partition by expected_label order by
+          case when expected_label in ({S.q(C.LABELS[3])}, {S.q(C.LABELS[4])}) and expert_hit = expected_label
+               then 0 else 1 end, field_score desc, record_id) as sample_rank
+      from (select *, row_number() over (partition by expected_label order by field_score desc, record_id) as rn1
+            from (select record_id, {_label_text('label')} as expected_label, {_FS} as field_score,
+                         {_R.first_match(_RS, 'label')} as expert_hit from exam) b
+            where expected_label is not null) c
+      where rn1 <= 200) d
+where sample_rank <= 4""", exam=EXAM_SQL))
+
+_SPARSE_COLS = [c for c in EXAM_COLUMNS if c not in ("record_id", "name", "label")]
+_ENTRIES = ", ".join(f"{{'k': {S.q(c)}, 'v': {S.txt(c)}}}" for c in _SPARSE_COLS)
+oracle("sparse_record", with_views(f"""
+select record_id, to_json(map_from_entries(e)) as record_json, cast(len(e) as int) as n_fields
+from (select record_id, list_filter([{_ENTRIES}], lambda x: x.v is not null) as e from exam) t""", exam=EXAM_SQL))
+
+_UNSAFE = '/\\:*?"<>| \t\n\r'
+oracle("sanitize_names", f"""
+select doc_id, translate(substr(text, 1, 24), {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}) as file_name,
+       split_part(translate(substr(text, 1, 24), {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}), '_', 1) as base_name
+from documents""")
+
+oracle("safe_float", with_views(f"""
+select record_id, {S.safe_float('sbp_result')} as sbp, {S.safe_float('glucose_result')} as glucose,
+       {S.safe_float('lung_result', None)} as lung, {S.safe_float('tenure', -1.0)} as tenure from exam""",
+    exam=EXAM_SQL))
+
+oracle("norm_ws", f"""
+select doc_id, cast(length({S.norm_ws('text')}) as bigint) as n_chars, md5({S.norm_ws('text')}) as text_md5
+from documents""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table  # noqa: F401  (re-exported)
 
 # role -> EXAM column (the wide schema's roles map onto the English test names)
 EXAM_FIELDS = {
