@@ -177,7 +177,7 @@ def prob_display(prob: Column) -> Column:
     """Display text of one probability: '>99.99%', '<0.01%' or two-decimal percent."""
     return (F.when((prob >= C.SHARE_BUCKET_HIGH) & (prob < 1.0), F.lit(">99.99%"))
             .when((prob > 0.0) & (prob <= C.SHARE_BUCKET_LOW), F.lit("<0.01%"))
-            .otherwise(F.concat(F.format_number(prob * 100, 2), F.lit("%"))))
+            .otherwise(F.concat(F.format_string("%.2f", F.bround(prob * 100, 2)), F.lit("%"))))
 
 
 def bar_width(prob: Column) -> Column:

@@ -311,3 +311,97 @@ def q_norm_ws(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.read_table(spark, sf, "documents", "doc_id", "text")
     n = T.norm_ws("text")
     return docs.select("doc_id", F.length(n).cast("bigint").alias("n_chars"), F.md5(n).alias("text_md5"))
+
+
+# ------------------------------------------------------------------ metrics over PRED
+
+from ..operators import metrics as M  # noqa: E402
+
+PROBS = ["p0", "p1", "p2"]
+
+
+def _r6(c: str) -> F.Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    cells = M.confusion_cells(X.pred(spark, sf))
+    names = F.create_map(*[x for k in C.THREE_CLASS for x in (F.lit(k), F.lit(C.LABELS[k]))])
+    wide = cells.groupBy("model", "y").pivot("p", list(C.THREE_CLASS)).agg(F.sum("n").cast("bigint")).fillna(0)
+    return wide.select("model", names[F.col("y")].alias("true_label"),
+                       *[F.col(str(k)).alias(f"n_pred_{k}") for k in C.THREE_CLASS])
+
+
+@query("per_class_metrics")
+def q_per_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    ct = M.class_table(M.confusion_cells(X.pred(spark, sf)))
+    pc = M.per_class_metrics(ct)
+    return pc.select("model", F.col("cls").cast("int").alias("cls"),
+                     *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn")],
+                     *[_r6(c) for c in ("precision", "recall", "f1", "specificity", "npv")])
+
+
+def _all_metrics(pred: DataFrame) -> DataFrame:
+    s = M.summary_metrics(M.class_table(M.confusion_cells(pred)))
+    return s.join(M.brier(pred, PROBS), "model").join(M.auc_ovo(pred, PROBS), "model")
+
+
+ALL_METRICS = M.CELL_METRICS + ["brier", "auc_ovo_macro"]
+
+
+@query("metrics_all")
+def q_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
+    pred = X.pred(spark, sf).where(F.col("model") == "m0")
+    return _all_metrics(pred).select(*[_r6(c) for c in ALL_METRICS])
+
+
+@query("metrics_by_model")
+def q_metrics_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_metrics(X.pred(spark, sf)).select("model", *[_r6(c) for c in ALL_METRICS])
+
+
+@query("brier_score")
+def q_brier_score(spark: SparkSession, sf: str) -> DataFrame:
+    return M.brier(X.pred(spark, sf), PROBS).select("model", _r6("brier"))
+
+
+@query("auc_ovo")
+def q_auc_ovo(spark: SparkSession, sf: str) -> DataFrame:
+    return M.auc_ovo(X.pred(spark, sf), PROBS).select("model", _r6("auc_ovo_macro"))
+
+
+@query("bootstrap_ci")
+def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    out = M.bootstrap_ci(X.pred(spark, sf), PROBS)
+    return out.select("model", "metric", *[_r6(c) for c in ("estimate", "boot_mean", "lo", "hi")],
+                      F.col("n_replicates").cast("bigint").alias("n_replicates"))
+
+
+@query("argmax_label")
+def q_argmax_label(spark: SparkSession, sf: str) -> DataFrame:
+    pred = X.pred(spark, sf)
+    idx = H.argmax_index([F.col(c) for c in PROBS])
+    names = F.array(*[F.lit(C.LABELS[k]) for k in C.THREE_CLASS])
+    return pred.select("model", "row_id", idx.alias("pred_idx"), F.element_at(names, idx + 1).alias("label"),
+                       F.round(F.greatest(*PROBS), 6).alias("p_max"))
+
+
+@query("prob_display")
+def q_prob_display(spark: SparkSession, sf: str) -> DataFrame:
+    pred = X.pred(spark, sf)
+    entries = F.array(*[F.struct(F.col(c).alias("prob"), F.lit(i).alias("idx"), F.lit(C.LABELS[i]).alias("label"))
+                        for i, c in enumerate(PROBS)])
+    ordered = F.array_sort(entries, lambda l, r: F.when(l["prob"] > r["prob"], -1).when(l["prob"] < r["prob"], 1)
+                           .otherwise(l["idx"] - r["idx"]))
+    text = F.array_join(F.transform(ordered, lambda e: F.concat(
+        e["label"], F.lit("="), H.prob_display(e["prob"]), F.lit("|"),
+        F.format_string("%.2f", F.bround(H.bar_width(e["prob"]), 2)))), ";")
+    return pred.select("model", "row_id", text.alias("display"))
+
+
+@query("explain_sample")
+def q_explain_sample(spark: SparkSession, sf: str) -> DataFrame:
+    pred = X.pred(spark, sf).where(F.col("model") == "m0")
+    h = T.portable_hash("explain", F.col("row_id"))
+    return pred.orderBy(h, "row_id").limit(C.EXPLAIN_SAMPLE).select("row_id", "y", "p")
