@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["catalog"]
-ORACLE_MODULES = ["oracle", "oracle_metrics"]
+QUERY_MODULES = ["catalog", "q_store"]
+ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store"]
 
 
 def all_queries():

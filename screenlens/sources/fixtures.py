@@ -128,3 +128,51 @@ def pred(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("b").cast("double") / tot).alias("p1"),
         (F.col("d").cast("double") / tot).alias("p2"),
     )
+
+
+# ------------------------------------------------------------------ stored-table views
+
+INPUT_MODES = ["dataset", "manual", "upload"]
+RULE_VERSION = "rules-v1"
+
+
+def _label_text_col(c: F.Column) -> F.Column:
+    m = F.create_map(*[x for k, v in EXAM_LABEL_TEXT.items() for x in (F.lit(k), F.lit(v))])
+    return m[c]
+
+
+def sparse_json(df: DataFrame, columns: list[str]) -> F.Column:
+    """JSON object of the non-null fields, values as text (the sparse record form)."""
+    entries = [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
+    return F.to_json(F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull()))
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """RECORDS: one saved analysis per EXAM record (result of score_records), before id assignment."""
+    from ..functions.rules import exam_rules
+    from ..operators.scoring import score_records
+    df = score_records(exam(spark, sf), exam_rules(), EXAM_FIELDS)
+    rid = F.col("record_id")
+    mode = F.element_at(F.array(*[F.lit(m) for m in INPUT_MODES]), (rid % 3 + 1).cast("int"))
+    fields = [c for c in df.columns if c not in ("record_id", "name", "label", "final", "highlights", "query")]
+    result = F.to_json(F.map_filter(F.create_map(
+        F.lit("source"), F.col("final.source"), F.lit("label"), F.col("final.label"),
+        F.lit("diagnosis"), F.col("final.diagnosis"), F.lit("rule_id"), F.col("final.rule_id")),
+        lambda k, v: v.isNotNull()))
+    return df.select(
+        "record_id", F.concat(F.lit("doctor"), (rid % 7).cast("string")).alias("username"), mode.alias("input_mode"),
+        F.when(mode == "dataset", F.concat(F.coalesce(_label_text_col(F.col("label")), F.lit("")), F.lit("_"),
+                                           rid.cast("string"))).otherwise(F.lit("")).alias("sample_id"),
+        F.col("final.label").alias("final_label"), F.col("final.source").alias("final_source"),
+        F.col("final.diagnosis").alias("diagnosis"), F.col("final.rule_id").alias("rule_id"),
+        F.lit("template_fallback").alias("advice_mode"),
+        F.date_format("exam_date", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        sparse_json(df, fields).alias("record_json"), result.alias("result_json"))
+
+
+def log(spark: SparkSession, sf: str) -> DataFrame:
+    """LOG: one operation-log row per event."""
+    ev = read_table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return ev.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                     F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
+                     F.col("event_type").alias("action"), F.col("props").alias("detail"), "ts")
