@@ -34,7 +34,8 @@ from .text import as_text, contains_any, fmt_py_value, is_non_empty, norm_ws, sa
 
 NUMERIC_OPS = {">=": "__ge__", ">": "__gt__", "<=": "__le__", "<": "__lt__"}
 KNOWN_OPS = set(NUMERIC_OPS) | {"==", "!=", "contains", "contains_any", "not_empty"}
-EMPTY_LINES = F.array().cast("array<string>")
+def empty_lines() -> Column:
+    return F.array().cast("array<string>")
 
 
 @dataclass
@@ -172,7 +173,7 @@ class _Compiler:
             items.append(line if visited is None else F.when(visited, line))
 
         walk(node, None)
-        return F.array_compact(F.array(*items)) if items else EMPTY_LINES
+        return F.array_compact(F.array(*items)) if items else empty_lines()
 
 
 def _norm_py(v: Any) -> str:
