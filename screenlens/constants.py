@@ -236,3 +236,42 @@ SHARE_BUCKET_HIGH = 0.99995
 SHARE_BUCKET_LOW = 0.00005
 BAR_MIN = 2.0
 BAR_MAX = 98.0
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: prompt text (system prompt, user prompt template with
+# {label} {diagnosis} {source} {evidence} {record} {query} {rag} slots)
+# ---------------------------------------------------------------------------
+PROMPT_SYSTEM = (
+    "你是职业健康体检主检医生助理。"
+    "请基于主检结论、证据依据和检索到的法规/知识片段，输出审慎、可执行的主检建议。"
+    "不要编造未提供的检查结果，不要和主检结论冲突。"
+    "如果证据不足，请明确说明“建议结合临床和职业史进一步确认”。"
+)
+PROMPT_USER_TEMPLATE = """请根据以下信息生成“主检建议”。
+
+输出要求：
+1. 用中文输出。
+2. 只输出建议正文，不要解释你的推理过程。
+3. 必须严格保留以下 4 个标题，并逐项填写具体内容：
+   一、岗位处置建议：
+   二、复查/转诊建议：
+   三、职业防护与随访建议：
+   四、提示说明：
+4. 每部分 1-2 句，避免空话，不能 4 段都重复同一句话。
+5. 若证据不足，可在“提示说明”中写“建议结合临床和职业史进一步确认”，但不要四段都只写这一句。
+
+主检结论：{label}
+诊断提示：{diagnosis}
+判定来源：{source}
+
+判定依据：
+{evidence}
+
+样本有效信息：
+{record}
+
+RAG 检索查询：
+{query}
+
+RAG 召回片段：
+{rag}"""

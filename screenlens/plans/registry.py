@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["catalog", "q_store"]
-ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store"]
+QUERY_MODULES = ["catalog", "q_store", "q_text"]
+ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text"]
 
 
 def all_queries():
