@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["catalog", "q_store", "q_text"]
+QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval"]
 ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text"]
 
 
