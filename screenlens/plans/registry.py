@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval"]
-ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text"]
+ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text", "oracle_retrieval"]
 
 
 def all_queries():
