@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval", "q_models"]
-ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text", "oracle_retrieval", "oracle_models"]
+QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval", "q_models", "q_stream"]
+ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text", "oracle_retrieval", "oracle_models", "oracle_stream"]
 
 
 def all_queries():
