@@ -41,7 +41,7 @@ d1 as (select *, ({S.portable_hash('smote-base', _KEY)} % n) + 1 as base_pos,
               ((j % {_P}) + {_P}) % {_P} * 48271 as t0 from draws),
 d2 as (select *, (t0 + (cast(label as bigint) + 1) * 16807 + {C.SEED}) % {_P} as x1 from d1),
 d3 as (select *, ((x1 * x1) % {_P} * 69621 + x1 * 40692 + 1) % {_P} as x2 from d2),
-d4 as (select *, (((x2 * x2) % {_P} * 48271 + x2 * 16807 + 7) % {_P}) / {float(_P)} as gap from d3),
+d4 as (select *, (((x2 * x2) % {_P} * 48271 + x2 * 16807 + 7) % {_P}) / cast({_P} as double) as gap from d3),
 pos as (select vec_id, label, row_number() over (partition by label order by vec_id) as pos from embeddings),
 nb as (select * from (
          select a.vec_id as base_id, b.vec_id as neighbor_id,
@@ -50,7 +50,8 @@ nb as (select * from (
          from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) t
        where nn_rank <= {K.KNN_K})
 select d4.label, j, p.vec_id as base_id, nb.neighbor_id, round(gap, 6) as gap,
-       round(cast(eb.embedding[1] as double) + gap * (cast(en.embedding[1] as double) - cast(eb.embedding[1] as double)), 6) as x0
+       cast(floor((cast(eb.embedding[1] as double) + gap * (cast(en.embedding[1] as double) - cast(eb.embedding[1] as double)))
+                  * 1e4) as bigint) as x0_e4
 from d4 join pos p on d4.label = p.label and d4.base_pos = p.pos
 join nb on nb.base_id = p.vec_id and nb.nn_rank = d4.nn_rank
 join embeddings eb on eb.vec_id = p.vec_id join embeddings en on en.vec_id = nb.neighbor_id""")

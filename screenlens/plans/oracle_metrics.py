@@ -85,7 +85,7 @@ oracle("auc_ovo", with_views("select model, round(auc_ovo_macro, 6) as auc_ovo_m
 
 _X0 = "(((row_id % 2147483647) + 2147483647) % 2147483647)"
 _X1 = f"(({_X0} * 48271 + (rep + 1) * 16807 + 42) % 2147483647)"
-_U = ("(((x2 * x2) % 2147483647 * 48271 + x2 * 16807 + 7) % 2147483647) / 2147483647.0")
+_U = ("(((x2 * x2) % 2147483647 * 48271 + x2 * 16807 + 7) % 2147483647) / cast(2147483647 as double)")
 _W = " + ".join(f"(case when u >= {t!r} then 1 else 0 end)" for t in poisson_thresholds())
 _REPS = f"""
 select * from (

@@ -80,8 +80,8 @@ oracle("bm25_topk", with_views(topk("sc", "qid", "qid, rank, doc_id, score"), **
 def grams(src: str, key: str, text: str) -> str:
     """(key, term) rows: char 2-4-grams of space-padded lower-cased words."""
     return f"""
-select {key}, substr(p, pos + 1, n) as term from (
-  select {key}, p, n, unnest(generate_series(0, length(p) - n)) as pos
+select {key}, substr(p, gpos + 1, n) as term from (
+  select {key}, p, n, unnest(generate_series(0, length(p) - n)) as gpos
   from (select {key}, ' ' || w || ' ' as p
         from (select {key}, unnest(regexp_split_to_array(lower(coalesce({text}, '')), {WS_RE})) as w from {src}) a
         where w <> '') b, range(2, 5) r(n)

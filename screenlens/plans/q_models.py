@@ -222,6 +222,7 @@ def q_smote(spark: SparkSession, sf: str) -> DataFrame:
     emb = v.select("vec_id", "embedding")
     both = picked.join(emb.withColumnRenamed("vec_id", "base_id").withColumnRenamed("embedding", "b"), "base_id") \
         .join(emb.withColumnRenamed("vec_id", "neighbor_id").withColumnRenamed("embedding", "nb"), "neighbor_id")
-    synth = F.zip_with("b", "nb", lambda x, y: x + F.col("gap") * (y - x))
+    synth = F.zip_with(F.col("b").cast("array<double>"), F.col("nb").cast("array<double>"),
+                       lambda x, y: x + F.col("gap") * (y - x))
     return both.select("label", "j", "base_id", "neighbor_id", _r6("gap"),
-                       F.round(F.element_at(synth, 1), 6).alias("x0"))
+                       F.floor(F.element_at(synth, 1) * 1e4).cast("bigint").alias("x0_e4"))
