@@ -1,7 +1,7 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once cold and then three warm times; the recorded value is the median warm wall time of a
-full collect of its result.
+Each query runs $BENCH_REPEATS times (default 2, the first run includes JIT warm-up); the recorded value is the
+median wall time of a full collect of its result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ HEADLINE = ["score_records", "rule_trace", "prep_report", "hazard_dummies", "val
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
                           app="screenlens-bench")
     q = all_queries()
@@ -33,13 +33,13 @@ def main() -> None:
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in names:
-        rows[name] = len(q[name](spark, sf_dir).collect())      # cold
         warm = []
-        for _ in range(repeats):
+        for _ in range(max(1, repeats)):
             t0 = time.perf_counter()
-            q[name](spark, sf_dir).collect()
+            rows[name] = len(q[name](spark, sf_dir).collect())
             warm.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(warm), 3)
+        print(f"{name}: {times[name]}s ({rows[name]} rows)", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rows": rows, "sf": sf, "cpus": cpus}))

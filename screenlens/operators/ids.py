@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import reliable_checkpoint
+
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -39,7 +41,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     # (it is shuffle output).  Materialise the numbered partitions once in the checkpoint folder so the
     # count table and the rows agree, and a lost executor re-reads instead of re-sampling.
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
-    staged = staged.checkpoint(eager=True)
+    staged = reliable_checkpoint(staged)
     df.unpersist()
     counts =staged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     prefix = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import portable_hash
+from ..sources.tables import reliable_checkpoint
 
 CELL_METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "specificity_macro", "npv_macro",
                 "mcc", "kappa"]
@@ -179,7 +180,8 @@ def bootstrap_ci(pred: DataFrame, probs: Sequence[str], group: Sequence[str] = (
     # replicate cells are tiny (groups x replicates x K^2) and feed several branches:
     # materialise them once in the checkpoint folder instead of re-running the explode per branch
     rcells = reps.groupBy(*gr, "y", "p").agg(F.sum("w").cast("double").alias("n"),
-                                            F.sum(F.col("w") * row_brier).alias("bw")).checkpoint(eager=True)
+                                            F.sum(F.col("w") * row_brier).alias("bw"))
+    rcells = reliable_checkpoint(rcells)
     rep_metrics = summary_metrics(class_table(rcells.select(*gr, "y", "p", "n"), gr), gr)
     rep_brier = rcells.groupBy(*gr).agg((F.sum("bw") / F.sum("n")).alias("brier"))
     rep_all = rep_metrics.join(rep_brier, gr)

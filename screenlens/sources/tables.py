@@ -46,3 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="screenlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint into the shared checkpoint folder (the session's, or a scratch one only when unset)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into at least as many partitions as task slots.
+
+    Used before CPU-heavy per-row text work when the input arrives in few, large files: a single parquet row
+    group would otherwise be tokenised by one task.  The explicit count keeps AQE from coalescing the text
+    back into one partition, and the key partitioning already satisfies a later ``groupBy(key, ...)``.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
