@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlens.llm import op1_decontaminate, op2_quality, op3_minhash, op8_bpe
+from screenlens.llm import op1_decontaminate, op2_quality, op3_minhash, op8_bpe, op10_suffix
 from screenlens.llm.common import Stage, importable_on_workers
 from screenlens.sources.tables import read_table
 
@@ -38,6 +38,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_minhash.deduplicated(docs.select(*COLUMNS), shingle=NEAR_SHINGLE)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the bytes of long repeated passages; n_chars follows the new text."""
+    importable_on_workers(spark)
+    cut = op10_suffix.remove_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+                          .otherwise(F.col("n_chars")))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     importable_on_workers(spark)
@@ -52,7 +60,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                            public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), 
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
           ("decontaminate", decontaminate), ("byte_bpe", byte_bpe)]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from screenlens.sources.tables import read_table
 
-from . import op1_decontaminate, op2_quality, op3_minhash, op8_bpe
+from . import op1_decontaminate, op2_quality, op3_minhash, op8_bpe, op10_suffix
 from .common import importable_on_workers
 
 
@@ -38,9 +38,14 @@ def op8_byte_bpe(spark, sf_dir):
                            public_tokenizers.PATTERN)
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return op10_suffix.repeats(*_tables(spark, sf_dir, DOCUMENTS))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate_items,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
