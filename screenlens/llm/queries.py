@@ -6,7 +6,18 @@ import public_tokenizers
 
 from screenlens.sources.tables import read_table
 
-from . import op1_decontaminate, op2_quality, op3_minhash, op8_bpe, op10_suffix
+from . import (
+    op1_decontaminate,
+    op2_quality,
+    op3_minhash,
+    op4_paragraphs,
+    op5_wordpiece,
+    op6_licenses,
+    op7_urls,
+    op8_bpe,
+    op9_shards,
+    op10_suffix,
+)
 from .common import importable_on_workers
 
 
@@ -33,11 +44,33 @@ def op3_near_duplicates(spark, sf_dir):
     return op3_minhash.near_duplicates(*_tables(spark, sf_dir, DOCUMENTS))
 
 
+def op4_paragraph_dedup(spark, sf_dir):
+    """Occurrences of repeated paragraphs; documents without one do not appear."""
+    return op4_paragraphs.repeated_paragraphs(*_tables(spark, sf_dir, DOCUMENTS))
+
+
+def op5_token_counts(spark, sf_dir):
+    return op5_wordpiece.token_counts(*_tables(spark, sf_dir, DOCUMENTS),
+                                      public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return op6_licenses.license_scan(*_tables(spark, sf_dir, DOCUMENTS))
+
+
+def op7_url_filter(spark, sf_dir):
+    return op7_urls.url_filter(*_tables(spark, sf_dir, ("pages", "page_id", "url")))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return op8_bpe.digests(*_tables(spark, sf_dir, DOCUMENTS), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                            public_tokenizers.PATTERN)
 
 
+def op9_shard_shuffle(spark, sf_dir):
+    return op9_shards.report(*_tables(spark, sf_dir, DOCUMENTS))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return op10_suffix.repeats(*_tables(spark, sf_dir, DOCUMENTS))
 
@@ -46,6 +79,11 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate_items,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
+    "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_shard_shuffle": op9_shard_shuffle,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
