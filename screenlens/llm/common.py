@@ -65,6 +65,17 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def without(documents: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose key is not in the one-column ``keys`` (a null key meets a null key).
+
+    The rows travel as one struct, so their column names cannot clash with the join's.
+    """
+    drop = keys.toDF("drop_key").distinct()
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"),
+                              F.col(key).alias("record_key"))
+    return packed.join(drop, F.col("record_key").eqNullSafe(F.col("drop_key")), "left_anti").select("record.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes at most (one longer value stays whole)."""
     for batch in batches:

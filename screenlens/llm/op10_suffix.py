@@ -337,22 +337,24 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _gathered(documents: DataFrame, ranges: DataFrame, key: str, text: str) -> DataFrame:
-    """documents with ``ranges_of`` (null where nothing is covered)."""
+    """Each row as ``record`` with its ``ranges_of`` (null where nothing is covered)."""
     per_doc = ranges.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "size")).alias("ranges_of"))
-    keyed = documents.withColumn("row_k", F.xxhash64(key, text))
-    return (keyed.join(per_doc, (F.col("row_k") == F.col("k")) & F.col(key).eqNullSafe(F.col("doc")), "left")
-            .drop("row_k", "k", "doc"))
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"),
+                              F.col(key).alias("record_key"), F.xxhash64(key, text).alias("record_k"))
+    return (packed.join(per_doc, (F.col("record_k") == F.col("k")) & F.col("record_key").eqNullSafe(F.col("doc")),
+                        "left").select("record", "ranges_of"))
 
 
 def repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of ``documents``: key, n_bytes, n_removed, n_spans, kept_sha256."""
     stage = Stage(documents.sparkSession, "repeats")
     ranges = stage.write(covered(documents, stage, key=key, text=text, length=length), "ranges")
-    source = documents.select(key, F.col(text).alias("text_of"))
-    gathered = _gathered(source, ranges, key, "text_of").select(
-        F.col(key).alias("doc"), "ranges_of", F.octet_length(F.coalesce("text_of", F.lit(""))).cast("long").alias("n"),
-        F.when(F.col("ranges_of").isNull(), F.sha2(F.coalesce("text_of", F.lit("")), 256)).alias("whole"),
-        F.when(F.col("ranges_of").isNotNull(), F.col("text_of")).alias("text"))
+    source = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    body = F.coalesce("record.text", F.lit(""))
+    gathered = _gathered(source, ranges, "doc", "text").select(
+        "record.doc", "ranges_of", F.octet_length(body).cast("long").alias("n"),
+        F.when(F.col("ranges_of").isNull(), F.sha2(body, 256)).alias("whole"),
+        F.when(F.col("ranges_of").isNotNull(), F.col("record.text")).alias("text"))
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("kept_sha256", T.StringType())])
@@ -393,15 +395,16 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     ranges = stage.write(covered(documents, stage, key=key, text=text, length=length), "ranges")
     gathered = _gathered(documents, ranges, key, text)
     names = documents.columns
+    cuts = F.col("ranges_of").alias("ranges_of_record")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for t, ranges_of in zip(batch.column(text).to_pylist(), batch.column("ranges_of").to_pylist()):
+            for t, ranges_of in zip(batch.column(text).to_pylist(), batch.column("ranges_of_record").to_pylist()):
                 if ranges_of and t is not None:
                     t = whole_characters(t, merge([r["start"] for r in ranges_of], [r["size"] for r in ranges_of]))
                 texts.append(t)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names=names)
 
-    return gathered.select(*names, "ranges_of").mapInArrow(run, documents.schema)
+    return gathered.select("record.*", cuts).mapInArrow(run, documents.schema)

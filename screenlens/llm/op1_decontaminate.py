@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import texts_of, without
 
 EDIT_SHARE = 0.06        # edits allowed per character of the normalised item
 MIN_WORDS = 8
@@ -190,5 +190,4 @@ def _machine(shared, name: str, share: float) -> tuple:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``documents`` without a leaked item; rows without a key are judged too (null-safe)."""
-    hits = decontaminate(documents, benchmark, key=key, **options).select(F.col(key).alias("hit")).distinct()
-    return documents.join(hits, F.col(key).eqNullSafe(F.col("hit")), "left_anti")
+    return without(documents, key, decontaminate(documents, benchmark, key=key, **options).select(key))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Stage, components, lower_ascii, texts_of
+from .common import Stage, components, lower_ascii, texts_of, without
 
 SHINGLE = 4
 SHARE = 80              # percent: link if 100 * intersection >= SHARE * union
@@ -329,6 +329,4 @@ def _class_texts(wanted: DataFrame, digest: DataFrame, shingle: int) -> DataFram
 
 def deduplicated(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``documents`` whose key is kept, all their columns; rows without a key stay."""
-    verdict = (near_duplicates(documents, key=key, **options).filter(~F.col("kept"))
-               .select(F.col(key).alias("dropped")).distinct())
-    return documents.join(verdict, F.col(key) == F.col("dropped"), "left_anti")
+    return without(documents, key, near_duplicates(documents, key=key, **options).filter(~F.col("kept")).select(key))
