@@ -231,34 +231,47 @@ def matched(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _extents(rim: DataFrame, stage: Stage, name: str, level: int) -> DataFrame:
-    """rim with l and r: the longest left and right contexts (within the level's lengths) shared inside its anchor.
+def _extents(rim: DataFrame, stage: Stage) -> DataFrame:
+    """rim with l and r: the longest left and right contexts that another segment of the anchor shares.
 
-    Level 1 tries multiples of STEP, level 2 the lengths up to the next multiple.
+    Every segment names its contexts at multiples of STEP (a digest) with the STEP bytes that follow each.  The longest
+    shared multiple comes from counts; how far the bytes after it are shared, from counts of their prefixes over all
+    segments that share that multiple.  Equal contexts are counted per task before the shuffle.
     """
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("v", "s", "side", "n", "h")])
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("v", "s", "side", "m", "h")],
+                           T.StructField("ahead", T.BinaryType())])
 
     def contexts(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows = []
             for row in batch.to_pylist():
-                for side, ext, base in ((0, row["data"][: row["at"]][::-1], row["l"]),
-                                        (1, row["data"][row["at"]:], row["r"])):
-                    sizes = (range(STEP, len(ext) + 1, STEP) if level == 1
-                             else range(base + 1, min(base + STEP, len(ext) + 1)))
-                    rows += [(row["v"], row["s"], side, n, xxhash.xxh3_64_intdigest(ext[:n]) - 2**63) for n in sizes]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=schema.names)
-
-    rows = rim.select("v", "s", "at", "data", "l", "r").mapInArrow(contexts, schema)
-    shared = rows.groupBy("v", "side", "n", "h").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    best = (rows.join(shared, ["v", "side", "n", "h"]).groupBy("v", "s")
-            .agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l2"),
-                 F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r2")))
-    out = (rim.join(best, ["v", "s"], "left")
-           .withColumn("l", F.greatest("l", F.coalesce("l2", F.lit(0)))).withColumn("r", F.greatest(
-               "r", F.coalesce("r2", F.lit(0)))).drop("l2", "r2"))
-    return stage.write(out, name)
+                for side, ext in ((0, row["data"][: row["at"]][::-1]), (1, row["data"][row["at"]:])):
+                    rows += [(row["v"], row["s"], side, m, xxhash.xxh3_64_intdigest(ext[:m]) - 2**63,
+                              ext[m: m + STEP]) for m in range(0, len(ext) + 1, STEP)]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(list(c), pa.int64()) for c in columns[:5]], pa.array(list(columns[5]), pa.binary())],
+                names=schema.names)
+
+    group = ["v", "side", "m", "h"]
+    named = stage.write(rim.select("v", "s", "at", "data").mapInArrow(contexts, schema), "contexts")
+    ahead = stage.write(named.groupBy(*group, "ahead").agg(F.count("*").alias("c")), "ahead")
+    shared = ahead.groupBy(*group).agg(F.sum("c").alias("c")).filter("c > 1").drop("c")
+    longest = stage.write(
+        named.join(shared, group).groupBy("v", "s", "side").agg(F.max(F.struct("m", "h", "ahead")).alias("x"))
+        .select("v", "s", "side", "x.*"), "longest")
+    lengths = F.explode(F.when(F.octet_length("ahead") > 0, F.sequence(F.lit(1), F.octet_length("ahead"))))
+    prefix = F.expr("substring(ahead, 1, n)")
+    further = (ahead.join(longest.select(*group).distinct(), group, "left_semi")
+               .select(*group, "c", "ahead", lengths.alias("n"))
+               .groupBy(*group, "n", prefix.alias("p")).agg(F.sum("c").alias("c")).filter("c > 1").drop("c"))
+    beyond = (longest.select(*group, "s", "ahead", lengths.alias("n")).withColumn("p", prefix)
+              .join(further, [*group, "n", "p"]).groupBy("v", "s", "side").agg(F.max("n").alias("n")))
+    extent = (longest.join(beyond, ["v", "s", "side"], "left")
+              .withColumn("e", F.col("m") + F.coalesce("n", F.lit(0))).groupBy("v", "s")
+              .agg(F.max(F.when(F.col("side") == 0, F.col("e"))).alias("l"),
+                   F.max(F.when(F.col("side") == 1, F.col("e"))).alias("r")))
+    return stage.write(rim.join(extent, ["v", "s"]), "trimmed")
 
 
 def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -287,9 +300,7 @@ def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: st
         fetched.groupBy("v", "s").agg(*[F.first(c).alias(c) for c in ("c", "hot", "doc", "k", "start", "at", "data")]),
         "rim")
 
-    trimmed = rim.filter("hot").withColumn("l", F.lit(0).cast("long")).withColumn("r", F.lit(0).cast("long"))
-    for level in (1, 2):
-        trimmed = _extents(trimmed, stage, f"trimmed-{level}", level)
+    trimmed = _extents(rim.filter("hot"), stage)
     trimmed = (trimmed.filter(F.col("l") + F.col("r") >= length)
                .withColumn("data", F.expr("substring(data, cast(at - l + 1 as int), cast(l + r as int))"))
                .withColumn("start", F.col("start") + F.col("at") - F.col("l"))
