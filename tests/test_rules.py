@@ -1,7 +1,4 @@
-"""Rule compiler vs a small recursive evaluator written straight from the grammar."""
-
-import math
-import re
+"""Rule compiler: records with the rule and trace they must give, and properties of groups, traces and priority."""
 
 import pytest
 from hypothesis import given, settings
@@ -9,57 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from screenlens.functions.rules import RuleSet, evaluate_rules
-from screenlens.functions.text import fmt_py_value
-
-
-def _num(v):
-    m = re.search(r"-?\d+(?:\.\d+)?", "" if v is None else str(v))
-    return float(m.group()) if m else math.nan
-
-
-def _norm(v):
-    return " ".join(str(v or "").split())
-
-
-def _leaf(node, rec):
-    raw = rec.get(node["field"])
-    op, t = node["operator"], node.get("value")
-    n, s = _num(raw), _norm(raw)
-    ok = {">=": lambda: not math.isnan(n) and n >= float(t), ">": lambda: not math.isnan(n) and n > float(t),
-          "<=": lambda: not math.isnan(n) and n <= float(t), "<": lambda: not math.isnan(n) and n < float(t),
-          "==": lambda: s == _norm(t), "!=": lambda: s != _norm(t),
-          "contains_any": lambda: any(_norm(x) in s for x in t), "contains": lambda: _norm(t) in s,
-          "not_empty": lambda: raw is not None and str(raw).strip() not in ("", "nan", "None")}.get(op, lambda: False)()
-    return ok, [f"{node['field']} {op} {fmt_py_value(t)} | 当前值: {'' if raw is None else raw}"]
-
-
-def _node(node, rec):
-    if "all" in node:
-        lines = []
-        for ch in node["all"]:
-            ok, ls = _node(ch, rec)
-            lines += ls
-            if not ok:
-                return False, lines
-        return True, lines
-    if "any" in node:
-        lines = []
-        for ch in node["any"]:
-            ok, ls = _node(ch, rec)
-            lines += ls
-            if ok:
-                return True, lines
-        return False, lines
-    return _leaf(node, rec)
-
-
-def _first(rules, rec):
-    for r in sorted(rules, key=lambda r: -r["priority"]):
-        ok, lines = _node(r["decision_tree"], rec)
-        if ok:
-            return r["id"], lines
-    return None, []
-
 
 RULES = [
     {"id": "a", "priority": 5, "output_label": "L1", "diagnosis": "d1",
@@ -71,43 +17,114 @@ RULES = [
                                {"field": "m", "operator": "not_empty"}]}},
     {"id": "c", "priority": 1, "output_label": "L3", "diagnosis": "d3",
      "decision_tree": {"all": [{"field": "x", "operator": "<", "value": 0}, {"field": "zz", "operator": "weird"}]}},
-    {"id": "e", "priority": 0, "output_label": "L4", "diagnosis": "d4", "decision_tree": {"all": []}},
 ]
 
-values_x = st.one_of(st.none(), st.sampled_from(["", "12", "7.5", " 5 mmHg", "-3", "abc", "１２", "nan", "10"]))
-values_m = st.one_of(st.none(), st.sampled_from(["bad", " bad ", "good", "", "None", "b a d"]))
-values_t = st.one_of(st.none(), st.sampled_from(["dust,noise", "heat", "", "　noise", "dusty"]))
+X10 = "x >= 10 | 当前值: "
+M_BAD = "m == bad | 当前值: "
+X5 = "x > 5 | 当前值: "
+T_ANY = "t contains_any ['dust', 'noise'] | 当前值: "
+M_SET = "m not_empty None | 当前值: "
+
+# (x, m, t) -> rule, trace
+CASES = [
+    (("12", None, None), "a", [X10 + "12"]),
+    (("10", "good", "dust"), "a", [X10 + "10"]),
+    (("7.5", "bad", None), "a", [X10 + "7.5", M_BAD + "bad", X5 + "7.5"]),
+    ((" 6 mmHg", " bad ", None), "a", [X10 + " 6 mmHg", M_BAD + " bad ", X5 + " 6 mmHg"]),
+    (("１２", "", ""), "a", [X10 + "１２"]),
+    (("5", "bad", None), None, None),
+    (("7.5", "b a d", None), None, None),
+    (("nan", "good", "dust,noise"), "b", [T_ANY + "dust,noise", M_SET + "good"]),
+    ((None, "x", "　noise"), "b", [T_ANY + "　noise", M_SET + "x"]),
+    ((None, "", "dusty"), None, None),
+    ((None, "None", "dusty"), None, None),
+    ((None, None, "heat"), None, None),
+    (("-3", None, None), None, None),           # the unknown operator is never true
+    (("abc", "good", "heat"), None, None),
+]
+
+
+def hits(spark, rules, records):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(records)], "rid int, x string, m string, t string")
+    return [r["rule_hit"] for r in evaluate_rules(df, RuleSet.load(rules)).orderBy("rid").collect()]
+
+
+def test_cases(spark):
+    found = hits(spark, RULES, [c[0] for c in CASES])
+    for (record, rule, trace), hit in zip(CASES, found):
+        assert (hit["rule_id"] if hit else None) == rule, record
+        if rule:
+            assert list(hit["trace"]) == trace, record
+
 
+values = st.sampled_from([None, "", "12", "7.5", "-3", "abc", "bad", " bad ", "dust", "10"])
+records = st.lists(st.tuples(values, values, values), min_size=1, max_size=12)
+LEAVES = [{"field": "x", "operator": ">=", "value": 7}, {"field": "m", "operator": "contains", "value": "a"},
+          {"field": "t", "operator": "not_empty"}, {"field": "x", "operator": "!=", "value": "12"}]
+TRUE, FALSE = {"all": []}, {"any": []}
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(values_x, values_m, values_t), min_size=1, max_size=20))
-def test_rules_match_python_evaluator(spark, rows):
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rid int, x string, m string, t string")
-    out = evaluate_rules(df, RuleSet.load(RULES)).orderBy("rid").collect()
-    for r in out:
-        rec = {"x": r["x"], "m": r["m"], "t": r["t"]}
-        rid, lines = _first(RULES, rec)
-        assert r["rule_hit"] is not None
-        assert r["rule_hit"]["rule_id"] == rid, rec
-        assert list(r["rule_hit"]["trace"]) == lines, rec
+
+def one(tree, rule="r", priority=1):
+    return {"id": rule, "priority": priority, "decision_tree": tree}
+
+
+@settings(max_examples=8, deadline=None)
+@given(records, st.permutations(LEAVES))
+def test_properties_of_groups(spark, rows, leaves):
+    every = hits(spark, [one({"all": leaves})], rows)
+    some = hits(spark, [one({"any": leaves})], rows)
+    assert all(h is None for h in hits(spark, [one({"all": [*leaves, FALSE]})], rows))
+    assert all(h is not None for h in hits(spark, [one({"any": [*leaves, TRUE]})], rows))
+    alone = [[h is not None for h in hits(spark, [one({"all": [leaf]})], rows)] for leaf in leaves]
+    for i in range(len(rows)):
+        assert (every[i] is not None) == all(a[i] for a in alone)
+        assert (some[i] is not None) == any(a[i] for a in alone)
+        if every[i] is not None:                       # a conjunction that holds shows every leaf, in order
+            assert [t.split(" ")[0] for t in every[i]["trace"]] == [leaf["field"] for leaf in leaves]
+        if some[i] is not None:                        # a disjunction stops at its first true leaf
+            first = [a[i] for a in alone].index(True)
+            assert len(some[i]["trace"]) == first + 1
+
+
+@settings(max_examples=6, deadline=None)
+@given(records, st.integers(1, 9), st.integers(1, 9))
+def test_priority_decides(spark, rows, p, q):
+    found = hits(spark, [one(TRUE, "first", p), one({"any": LEAVES}, "second", q)], rows)
+    if p >= q:
+        assert {h["rule_id"] for h in found} == {"first"}
+    else:
+        alone = hits(spark, [one({"any": LEAVES})], rows)
+        assert [h["rule_id"] for h in found] == ["second" if a else "first" for a in alone]
 
 
 def test_priority_ties_keep_file_order():
-    rs = RuleSet.load([{"id": "p", "priority": 1, "decision_tree": {"all": []}},
-                       {"id": "q", "priority": 1, "decision_tree": {"all": []}},
-                       {"id": "r", "priority": 2, "decision_tree": {"any": []}}])
+    rs = RuleSet.load([one({"all": []}, "p"), one({"all": []}, "q"), one({"any": []}, "r", 2)])
     assert [r.id for r in rs.rules] == ["r", "p", "q"]
 
 
+def test_shipped_screening_rules_evaluate(spark):
+    """The fixed rule set on its own field names: nothing fires on an empty record, every rule is well formed."""
+    import json
+    import os
+
+    import screenlens
+    path = os.path.join(os.path.dirname(screenlens.__file__), "rules", "screening_rules.json")
+    with open(path, encoding="utf-8") as f:
+        loaded = json.load(f)
+    rules = RuleSet.load(loaded["rules"] if isinstance(loaded, dict) else loaded)
+    df = spark.createDataFrame([(1,)], "rid int")
+    assert len(rules.rules) == 7 and evaluate_rules(df, rules).first()["rule_hit"] is None
+
+
 def test_nan_text_does_not_pass_numeric_leaf(spark):
     df = spark.createDataFrame([("NaN",), ("nan",), ("inf",)], "x string")
-    rs = RuleSet.load([{"id": "n", "priority": 1, "decision_tree": {"field": "x", "operator": ">=", "value": 7}}])
+    rs = RuleSet.load([one({"field": "x", "operator": ">=", "value": 7}, "n")])
     assert all(r["rule_hit"] is None for r in evaluate_rules(df, rs).collect())
 
 
 def test_missing_field_reads_as_empty(spark):
     df = spark.createDataFrame([(1,)], "id int")
-    rs = RuleSet.load([{"id": "m", "priority": 1, "decision_tree": {"field": "absent", "operator": "!=", "value": "x"}}])
+    rs = RuleSet.load([one({"field": "absent", "operator": "!=", "value": "x"}, "m")])
     hit = evaluate_rules(df, rs).first()["rule_hit"]
     assert hit["rule_id"] == "m" and list(hit["trace"]) == ["absent != x | 当前值: "]
 
