@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import texts_of
 
-CHUNK_CHARS = 16_384
-OVERLAP_CHARS = 512
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1_024
 LOOKAHEAD = 3       # a pre-token's kind is settled by its first three characters
 CACHE_PIECES = 300_000
 
@@ -121,8 +121,17 @@ def stitch(codec: Codec, starts: list[int], texts: list[str], ends: list[np.ndar
     return [s for s in segments if len(s[1])]
 
 
-def _pieces(text: str, begin: int, ends: np.ndarray) -> list[str]:
-    cuts = (ends - begin).tolist()
+def _pack(ends: np.ndarray) -> bytes:
+    """Ends as 32-bit lengths: mostly zero bytes, which the shuffle's codec squeezes."""
+    return np.diff(ends, prepend=0).astype(np.int32).tobytes()
+
+
+def _unpack(lengths: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64)
+
+
+def _pieces(text: str, ends: np.ndarray) -> list[str]:
+    cuts = ends.tolist()
     return [text[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
@@ -175,7 +184,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def scan(batches):
         codec = Codec.get(path, pattern)
         for batch in batches:
-            ends = [codec.ends(t, f).tobytes() for t, f in zip(texts_of(batch), batch.column("final").to_pylist())]
+            ends = [_pack(codec.ends(t, f)) for t, f in zip(texts_of(batch), batch.column("final").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())],
                                              names=[*batch.schema.names, "ends"])
 
@@ -185,12 +194,12 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
         # a chunk that already reaches the end makes the ones after it superfluous
         n = int(np.argmax(frame["final"].to_numpy())) + 1
         starts, texts = frame["start"].tolist()[:n], frame["text"].tolist()[:n]
-        segments = stitch(codec, starts, texts, [np.frombuffer(e, np.int64) for e in frame["ends"][:n]])
+        segments = stitch(codec, starts, texts, [_unpack(e) for e in frame["ends"][:n]])
         whole = _Range(starts, texts)
         return pd.DataFrame({"k": [_key(frame)] * len(segments), "row": frame["row"].iloc[0],
                              "start": [s for s, _ in segments], "n_chunks": n,
                              "text": [whole.text(s, int(e[-1])) for s, e in segments],
-                             "ends": [e.tobytes() for _, e in segments]}).astype({"k": object})
+                             "ends": [_pack(e - s) for s, e in segments]}).astype({"k": object})
 
     segment_schema = T.StructType([field("k", key_type), field("row", T.LongType()), field("start", T.LongType()),
                                    field("n_chunks", T.LongType()), field("text", T.StringType()),
@@ -201,9 +210,8 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def encode_segments(batches):
         codec = Codec.get(path, pattern)
         for batch in batches:
-            ids = [codec.encode_pieces(_pieces(t, s, np.frombuffer(e, np.int64)))
-                   for t, s, e in zip(texts_of(batch), batch.column("start").to_pylist(),
-                                      batch.column("ends").to_pylist())]
+            ids = [codec.encode_pieces(_pieces(t, _unpack(e)))
+                   for t, e in zip(texts_of(batch), batch.column("ends").to_pylist())]
             kept = [batch.column(n) for n in ("k", "row", "start", "n_chunks")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())],
                                              names=["k", "row", "start", "n_chunks", "ids"])
