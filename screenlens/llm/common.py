@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
     """Cut record batches so that ``column`` holds about ``limit`` bytes at most (one longer value stays whole)."""
     for batch in batches:
         at, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             if i > at and size + n > limit:
                 yield batch.slice(at, i - at)

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import slices, texts_of
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
 LOOKAHEAD = 3       # a pre-token's kind is settled by its first three characters
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 _CODECS: dict[tuple, "Codec"] = {}
 
@@ -156,7 +156,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
 
     def one_chunk(batches):
         codec = Codec.get(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = [codec.encode_pieces(codec.pattern.findall(t)) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([len(i) // 4 for i in ids], pa.int64()),
@@ -235,7 +235,7 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", into: st
 
     def run(batches):
         codec = Codec.get(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, ids):
             raw = [codec.decode(i or b"") for i in batch.column(ids).to_pylist()]
             names = [n for n in batch.schema.names if n != into]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(raw, pa.binary())],
