@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import Stage, slices, texts_of
 
 LENGTH = 400
-GRAM = 16
+GRAM = 64               # long enough that unrelated texts seldom share one
 HOT = 64
 STEP = 20
 BUCKET_BYTES = 512 << 10
