@@ -15,7 +15,7 @@ sets as (
   select doc_id, case when len(w) = 0 then []
                       when len(w) < {op3_minhash.SHINGLE} then [array_to_string(w, ' ')]
                       else list_distinct(list_transform(range(1, len(w) - {op3_minhash.SHINGLE - 2}),
-                             i -> array_to_string(w[i : i + {op3_minhash.SHINGLE - 1}], ' '))) end as s
+                             lambda i: array_to_string(w[i : i + {op3_minhash.SHINGLE - 1}], ' '))) end as s
   from words),
 post as (select doc_id, unnest(s) as x from sets),
 inter as (
