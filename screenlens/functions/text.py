@@ -76,9 +76,26 @@ def split_lines(c: str | Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+HAN = r"\p{IsHan}"
+
+
+def han_bigrams(run: Column) -> Column:
+    """Overlapping pairs of a run of Chinese characters; a single character stays as it is."""
+    n = F.length(run)
+    return F.when(n < 2, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), n - 1),
+                                                            lambda i: F.substr(run, i, F.lit(2))))
+
+
 def tokenize(c: str | Column) -> Column:
-    """Lower-cased letter/digit runs (re-aimed dictionary segmenter)."""
-    return F.regexp_extract_all(F.lower(norm_ws(c)), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Lower-cased letter/digit runs; runs of Chinese characters become bigrams (no dictionary segmenter).
+
+    Texts without Chinese take the plain path, which stays free of lambdas.
+    """
+    text = F.lower(norm_ws(c))
+    plain = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)
+    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), 0)
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{HAN}"), han_bigrams(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(HAN), mixed).otherwise(plain)
 
 
 def sanitize_name(c: str | Column) -> Column:

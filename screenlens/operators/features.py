@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import portable_hash
+from ..functions.text import norm_ws, portable_hash
 from .ids import group_row_number
 
 
@@ -40,10 +40,14 @@ def standard_scale(df: DataFrame, stats: Mapping[str, tuple[float, float]], suff
 
 # ------------------------------------------------------------------ M2 label encoding
 
+def category_value(c: str) -> Column:
+    """A category as it is looked up: white space normalised, null kept."""
+    return F.when(F.col(c).isNotNull(), norm_ws(c)).alias(c)
+
+
 def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, code): sorted distinct non-null values per column, code = position (0-based)."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name",
-                                                                                   "value")
+    long = df.select(*[category_value(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
     distinct = long.where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column_name").orderBy("value")
     return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
@@ -53,9 +57,8 @@ def encode(df: DataFrame, key: Sequence[str], columns: Sequence[str], vocab: Dat
            fallbacks: Sequence[str] | None = None) -> DataFrame:
     """Long (key..., column_name, value, code).  With ``fallbacks`` an unseen value takes the code of the first
     fallback present in that column's vocabulary, else 0 (the safe serving encoder)."""
-    long = df.select(*key, *[F.col(c).cast("string").alias(c) for c in columns]) \
-        .unpivot(list(key), list(columns), "column_name", "value")
-    vocab = F.broadcast(vocab) if vocab.count() <= 1_000_000 else vocab
+    long = df.select(*key, *[category_value(c) for c in columns]).unpivot(list(key), list(columns), "column_name",
+                                                                          "value")
     out = long.join(vocab, ["column_name", "value"], "left")
     if fallbacks is None:
         return out
@@ -132,6 +135,25 @@ def top_attributions(attr: DataFrame, key: Sequence[str], n: int = C.TOP_ATTRIBU
     return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def row_top_attributions(df: DataFrame, key: Sequence[str], features: Sequence[str], coef: Mapping[str, Sequence[float]],
+                         intercept: Mapping[str, float], n: int = C.TOP_ATTRIBUTIONS) -> DataFrame:
+    """(key..., predicted, rank, feature, contribution): the same top-n, sorted inside each row, without a shuffle."""
+    classes = list(coef)
+    parts = {k: F.array(*[F.struct((-F.abs(F.lit(float(c)) * q(f))).alias("o"), F.lit(f).alias("feature"),
+                                   (F.lit(float(c)) * q(f)).alias("contribution"))
+                          for c, f in zip(coef[k], features)]) for k in classes}
+    scores = [F.lit(float(intercept.get(k, 0.0))) + sum((F.lit(float(c)) * q(f) for c, f in zip(coef[k], features)),
+                                                         F.lit(0.0)) for k in classes]
+    best = F.greatest(*scores)
+    pred, own = F.lit(None).cast("string"), None
+    for k, s in reversed(list(zip(classes, scores))):
+        pred = F.when(s == best, F.lit(k)).otherwise(pred)
+        own = parts[k] if own is None else F.when(s == best, parts[k]).otherwise(own)
+    top = F.slice(F.array_sort(own), 1, n)
+    return df.select(*key, pred.alias("predicted"), F.posexplode(top).alias("pos", "s")).select(
+        *key, "predicted", (F.col("pos") + 1).alias("rank"), "s.feature", "s.contribution")
+
+
 # ------------------------------------------------------------------ M8 kNN vote
 
 def knn_vote(neighbors: DataFrame, labels: DataFrame, key: str = "qid", nkey: str = "cid") -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +30,6 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     oc = _cols(order)
-    # the input feeds the range-bound sample and the shuffle: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     staged = (df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id()))
@@ -40,10 +37,8 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str = "
     # Range bounds come from a sample of the input, whose row order may differ between two evaluations
     # (it is shuffle output).  Materialise the numbered partitions once in the checkpoint folder so the
     # count table and the rows agree, and a lost executor re-reads instead of re-sampling.
-    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
     staged = reliable_checkpoint(staged)
-    df.unpersist()
-    counts =staged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    counts = staged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     prefix = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(prefix), F.lit(0)).alias("__off"))
     out_df = staged.join(F.broadcast(offsets), "__pid")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -198,11 +198,11 @@ def q_missing_ratio(spark: SparkSession, sf: str) -> DataFrame:
 def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
     df = X.exam(spark, sf)
     cols = P.string_columns(df)
-    agg = df.agg(*[F.struct(F.count_distinct(F.col(c)).alias("d"), F.count(F.col(c)).alias("n")).alias(c)
-                   for c in cols])
-    long = agg.unpivot([], cols, "column_name", "s")
-    return long.select("column_name", F.col("s.d").alias("n_distinct"), F.col("s.n").alias("non_null"),
-                       (F.col("s.d") == 1).alias("single_value"))
+    # one row per distinct (column, value), counted per task first; no copy of the table per column
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
+    values = long.groupBy("column_name", "value").agg(F.count("value").alias("n"))
+    return values.groupBy("column_name").agg(F.count("value").alias("n_distinct"), F.sum("n").alias("non_null")).select(
+        "column_name", "n_distinct", "non_null", (F.col("n_distinct") == 1).alias("single_value"))
 
 
 @query("label_distribution")
@@ -220,11 +220,14 @@ def _label_dim(spark: SparkSession) -> DataFrame:
 
 
 def _label_codes(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Null labels dropped, text -> code (broadcast dim), codes 3/4 excluded, 5 -> 2."""
+    """Null labels dropped, text -> code (broadcast dim), codes 3/4 excluded, 5 -> 2; an unknown label is an error."""
     text = _label_text(F.col("label"))
     dim = F.broadcast(_label_dim(spark))   # five rows: size bound by the label dictionary
     coded = df.where(F.col("label").isNotNull()).select("record_id", text.alias("label_text")) \
         .join(dim, "label_text", "left")
+    known = F.coalesce(F.col("code"), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(
+        "label_text", F.lit("(not in the dictionary)")))).cast("int"))
+    coded = coded.withColumn("code", known)
     y = F.col("code")
     for src, dst in C.REMAP_CODES.items():
         y = F.when(y == src, dst).otherwise(y)
@@ -294,9 +297,8 @@ def q_sparse_record(spark: SparkSession, sf: str) -> DataFrame:
 @query("sanitize_names")
 def q_sanitize_names(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.read_table(spark, sf, "documents", "doc_id", "text")
-    title = F.substring("text", 1, 24)
-    return docs.select("doc_id", T.sanitize_name(title).alias("file_name"),
-                       P.base_feature_name(T.sanitize_name(title)).alias("base_name"))
+    name = T.sanitize_name(F.col("text"))
+    return docs.select("doc_id", name.alias("file_name"), P.base_feature_name(name).alias("base_name"))
 
 
 @query("safe_float")
@@ -352,8 +354,9 @@ ALL_METRICS = M.CELL_METRICS + ["brier", "auc_ovo_macro"]
 
 @query("metrics_all")
 def q_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
-    pred = X.pred(spark, sf).where(F.col("model") == "m0")
-    return _all_metrics(pred).select(*[_r6(c) for c in ALL_METRICS])
+    """The ten metrics in long form, for every model."""
+    wide = _all_metrics(X.pred(spark, sf))
+    return wide.unpivot(["model"], ALL_METRICS, "metric", "value").select("model", "metric", _r6("value"))
 
 
 @query("metrics_by_model")
@@ -402,6 +405,8 @@ def q_prob_display(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("explain_sample")
 def q_explain_sample(spark: SparkSession, sf: str) -> DataFrame:
-    pred = X.pred(spark, sf).where(F.col("model") == "m0")
-    h = T.portable_hash("explain", F.col("row_id"))
-    return pred.orderBy(h, "row_id").limit(C.EXPLAIN_SAMPLE).select("row_id", "y", "p")
+    """C.EXPLAIN_SAMPLE rows of every model to explain (the sampling is the feature), least portable hashes first."""
+    pred = X.pred(spark, sf).withColumn("h", T.portable_hash("explain", F.col("row_id")))
+    w = Window.partitionBy("model").orderBy("h", "row_id")
+    return pred.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= C.EXPLAIN_SAMPLE).select(
+        "model", "row_id", "y", "p")

@@ -227,8 +227,8 @@ from (select record_id, list_filter([{_ENTRIES}], lambda x: x.v is not null) as
 
 _UNSAFE = '/\\:*?"<>| \t\n\r'
 oracle("sanitize_names", f"""
-select doc_id, translate(substr(text, 1, 24), {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}) as file_name,
-       split_part(translate(substr(text, 1, 24), {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}), '_', 1) as base_name
+select doc_id, translate(text, {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}) as file_name,
+       split_part(translate(text, {S.q(_UNSAFE)}, {S.q('_' * len(_UNSAFE))}), '_', 1) as base_name
 from documents""")
 
 oracle("safe_float", with_views(f"""

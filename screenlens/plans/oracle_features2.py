@@ -18,7 +18,7 @@ def _num(c: str) -> str:
 
 
 _ALONG = " union all ".join(
-    f"select record_id, '{c}' as column_name, {('cast(' + c + ' as varchar)') if c != 'absent_category' else chr(39) * 2} "
+    f"select record_id, '{c}' as column_name, {S.norm_ws(c) if c != 'absent_category' else chr(39) * 2} "
     f"as value from exam" for c in K.ALIGN_CATEGORICAL)
 oracle("align_features", with_views(f"""
 select n.record_id, {', '.join('n.' + c for c in K.ALIGN_NUMERIC)},
@@ -50,8 +50,8 @@ nb as (select * from (
          from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) t
        where nn_rank <= {K.KNN_K})
 select d4.label, j, p.vec_id as base_id, nb.neighbor_id, round(gap, 6) as gap,
-       cast(floor((cast(eb.embedding[1] as double) + gap * (cast(en.embedding[1] as double) - cast(eb.embedding[1] as double)))
-                  * 1e4) as bigint) as x0_e4
+       array_to_string(list_transform(list_zip(cast(eb.embedding as double[]), cast(en.embedding as double[])),
+         lambda x: cast(cast(floor((x[1] + gap * (x[2] - x[1])) * 1e4) as bigint) as varchar)), ',') as x_e4
 from d4 join pos p on d4.label = p.label and d4.base_pos = p.pos
 join nb on nb.base_id = p.vec_id and nb.nn_rank = d4.nn_rank
 join embeddings eb on eb.vec_id = p.vec_id join embeddings en on en.vec_id = nb.neighbor_id""")

@@ -72,9 +72,9 @@ ALL = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "specificity_m
        "brier", "auc_ovo_macro"]
 _ALL_BODY = "from sm_cells join brier using (model) join auc using (model)"
 
-oracle("metrics_all", with_views(f"select {', '.join(R6.format(c) for c in ALL)} {_ALL_BODY}",
-                                 **{**_base, "pred": f"select * from ({PRED_SQL}) x where model = 'm0'"},
-                                 brier=BRIER, auc=AUC))
+oracle("metrics_all", with_views(" union all ".join(
+    f"select model, '{c}' as metric, {R6.format(c).rsplit(' as ', 1)[0]} as value {_ALL_BODY}" for c in ALL),
+    **_base, brier=BRIER, auc=AUC))
 
 oracle("metrics_by_model", with_views(f"select model, {', '.join(R6.format(c) for c in ALL)} {_ALL_BODY}",
                                       **_base, brier=BRIER, auc=AUC))
@@ -132,5 +132,6 @@ from (select model, row_id, unnest([p0, p1, p2]) as prob, unnest([0, 1, 2]) as i
 group by model, row_id""", pred=PRED_SQL))
 
 oracle("explain_sample", with_views(f"""
-select row_id, y, p from pred where model = 'm0'
-order by {S.portable_hash('explain', 'row_id')}, row_id limit {C.EXPLAIN_SAMPLE}""", pred=PRED_SQL))
+select model, row_id, y, p from pred
+qualify row_number() over (partition by model order by {S.portable_hash('explain', 'row_id')}, row_id)
+        <= {C.EXPLAIN_SAMPLE}""", pred=PRED_SQL))

@@ -26,11 +26,11 @@ _BOUNDS = ", ".join(f"max(case when metric = '{m}' then {b} end) as {m}_{b}" for
 _CARD = f"""
 select p.*, {_TIME(K.TRAIN_SECONDS, "p.model")} as train_seconds, b.* exclude (model),
        cast(null as double) as auc_ovo_macro_lo, cast(null as double) as auc_ovo_macro_hi
-from (select * from sm_cells join auc using (model)) p left join (
+from (select * from sm_cells join auc using (model) join brier using (model)) p left join (
   select model, {_BOUNDS} from (
     select model, metric, quantile_cont(value, {C.CI_ALPHA / 2}) as lo, quantile_cont(value, {1 - C.CI_ALPHA / 2}) as hi
     from rep_long where value is not null group by all) s group by model) b on p.model = b.model"""
-_CARD_VIEWS = dict(**OM._base, auc=OM.AUC, reps=_REPS100, rcells=OM._RCELLS, **OM.class_sql("rcells", ["model", "rep"]),
+_CARD_VIEWS = dict(**OM._base, auc=OM.AUC, brier=OM.BRIER, reps=_REPS100, rcells=OM._RCELLS, **OM.class_sql("rcells", ["model", "rep"]),
                    rep_long=OM._REP_LONG, card=_CARD)
 
 _COMPOSITE = "(" + " + ".join(C.RADAR_METRICS) + f") / {len(C.RADAR_METRICS)}"
@@ -59,10 +59,10 @@ select model, metric, round(value, 6) as value, round(lower, 6) as lower, round(
 _LI = """
 select l_orderkey, l_linenumber, cast(l_linenumber as double) as line_no, l_quantity, l_extendedprice, l_discount, l_tax,
        l_extendedprice * (1 - l_discount) as net_price, l_extendedprice * (1 - l_discount) * (1 + l_tax) as charge,
-       l_returnflag as cls, row_number() over () as row_key
+       l_extendedprice * l_discount as discount_sum, l_extendedprice * l_tax as tax_sum, l_returnflag as cls, row_number() over () as row_key
 from lineitem"""
 _Z = ", ".join(f"case when stddev_pop({f}) over () > 0 then ({f} - avg({f}) over ()) / stddev_pop({f}) over () "
-               f"else 0.0 end as {f}" for f in K.LI_FEATURES)
+               f"else 0.0 end as {f}" for f in K.ATTR_FEATURES)
 _SCALED = f"select row_key, l_orderkey, l_linenumber, cls, {_Z} from li"
 
 oracle("standard_scale", with_views(
@@ -75,12 +75,12 @@ oracle("gaussian_nb_stats", with_views(" union all ".join(
 
 _CLASSES = list(K.COEF)
 _SCORE = {k: f"({float(K.INTERCEPT.get(k, 0.0))!r} + " + " + ".join(
-    f"{float(c)!r} * {f}" for c, f in zip(K.COEF[k], K.LI_FEATURES)) + ")" for k in _CLASSES}
+    f"{float(c)!r} * {f}" for c, f in zip(K.COEF[k], K.ATTR_FEATURES)) + ")" for k in _CLASSES}
 _PRED = "case " + " ".join(
     f"when {_SCORE[k]} >= greatest({', '.join(_SCORE[x] for x in _CLASSES)}) then '{k}'" for k in _CLASSES) + " end"
 _ATTR = " union all ".join(
     f"select row_key, l_orderkey, l_linenumber, {_PRED} as predicted, '{k}' as cls, '{f}' as feature, "
-    f"{float(K.COEF[k][i])!r} * {f} as contribution from scaled" for k in _CLASSES for i, f in enumerate(K.LI_FEATURES))
+    f"{float(K.COEF[k][i])!r} * {f} as contribution from scaled" for k in _CLASSES for i, f in enumerate(K.ATTR_FEATURES))
 _AV = dict(li=_LI, scaled=_SCALED, attr=_ATTR)
 
 oracle("feature_importance", with_views("""
@@ -103,7 +103,7 @@ select record_id, y, case when rn <= round(n * {C.TEST_SHARE}) then 'test' else
 _SPLIT_VIEWS = dict(exam=EXAM_SQL, codes=_CODES, split=_SPLIT)
 oracle("stratified_split", with_views("select record_id, y, split from split", **_SPLIT_VIEWS))
 
-_LONG = " union all ".join(f"select record_id, '{c}' as column_name, cast({c} as varchar) as value from exam"
+_LONG = " union all ".join(f"select record_id, '{c}' as column_name, case when {c} is not null then {S.norm_ws(c)} end as value from exam"
                            for c in K.CAT_COLUMNS)
 _VOCAB = """select column_name, value, cast(dense_rank() over (partition by column_name order by value) - 1 as int) as code
             from (select distinct column_name, value from {src} where value is not null) d"""

@@ -16,11 +16,12 @@ from .catalog import _label_codes, query
 # fixed fixture parameters: training times per model, linear model over lineitem features
 TRAIN_SECONDS = {"m0": 12.5, "m1": 3.25, "m2": 0.75}
 RETRAINED = {"m1": 4.0, "m2": 0.75}
-CI_REPLICATES = 100
-CARD_METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "mcc"]
+CI_REPLICATES = C.BOOTSTRAP_REPLICATES
+CARD_METRICS = [*M.CELL_METRICS, "brier"]
 LI_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price", "charge", "line_no"]
-COEF = {"A": [0.8, -0.2, 0.5, 0.1, -0.3, 0.05, 0.2], "N": [-0.4, 0.6, -0.1, 0.3, 0.2, -0.5, 0.1],
-        "R": [0.1, 0.1, -0.6, -0.2, 0.4, 0.3, -0.3]}
+ATTR_FEATURES = [*LI_FEATURES, "discount_sum", "tax_sum"]       # more than the eight that are kept per row
+COEF = {"A": [0.8, -0.2, 0.5, 0.1, -0.3, 0.05, 0.2, 0.15, -0.25], "N": [-0.4, 0.6, -0.1, 0.3, 0.2, -0.5, 0.1, -0.35, 0.45],
+        "R": [0.1, 0.1, -0.6, -0.2, 0.4, 0.3, -0.3, 0.25, 0.15]}
 INTERCEPT = {"A": 0.0, "N": 0.1, "R": -0.1}
 CAT_COLUMNS = ["job", "gender", "chest_judgment", "lung_result", "symptom"]
 KNN_K = 5
@@ -34,6 +35,7 @@ def scorecard(spark: SparkSession, sf: str, times: dict[str, float] = TRAIN_SECO
     """SCORECARD: point metrics per model, bootstrap bounds for the cell metrics, training seconds."""
     pred = X.pred(spark, sf)
     point = M.summary_metrics(M.class_table(M.confusion_cells(pred))).join(M.auc_ovo(pred, ["p0", "p1", "p2"]), "model")
+    point = point.join(M.brier(pred, ["p0", "p1", "p2"]), "model")
     ci = M.bootstrap_ci(pred, ["p0", "p1", "p2"], replicates=CI_REPLICATES).where(F.col("metric").isin(*CARD_METRICS))
     bounds = ci.groupBy("model").pivot("metric", CARD_METRICS).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     bounds = bounds.select("model", *[F.col(f"{m}_{b}") for m in CARD_METRICS for b in ("lo", "hi")])
@@ -90,12 +92,14 @@ def lineitem_features(spark: SparkSession, sf: str) -> DataFrame:
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return li.select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("line_no"), "l_quantity",
                      "l_extendedprice", "l_discount", "l_tax", net.alias("net_price"),
-                     (net * (1 + F.col("l_tax"))).alias("charge"), F.col("l_returnflag").alias("cls"))
+                     (net * (1 + F.col("l_tax"))).alias("charge"),
+                     (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_sum"),
+                     (F.col("l_extendedprice") * F.col("l_tax")).alias("tax_sum"), F.col("l_returnflag").alias("cls"))
 
 
 def _scaled(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf)
-    return FE.standard_scale(df, FE.fit_standard_scaler(df, LI_FEATURES))
+    return FE.standard_scale(df, FE.fit_standard_scaler(df, ATTR_FEATURES))
 
 
 @query("standard_scale")
@@ -112,7 +116,7 @@ def q_gaussian_nb_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _attr(spark: SparkSession, sf: str) -> DataFrame:
     # lineitem has no unique key: (orderkey, linenumber) repeats, so each row carries its own id
     rows = _scaled(spark, sf).withColumn("row_key", F.monotonically_increasing_id())
-    return FE.linear_attributions(rows, ["row_key", "l_orderkey", "l_linenumber"], LI_FEATURES, COEF, INTERCEPT)
+    return FE.linear_attributions(rows, ["row_key", "l_orderkey", "l_linenumber"], ATTR_FEATURES, COEF, INTERCEPT)
 
 
 @query("feature_importance")
@@ -124,7 +128,7 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("top_features")
 def q_top_features(spark: SparkSession, sf: str) -> DataFrame:
-    t = FE.top_attributions(_attr(spark, sf), ["row_key"])
+    t = FE.row_top_attributions(_scaled(spark, sf), ["l_orderkey", "l_linenumber"], ATTR_FEATURES, COEF, INTERCEPT)
     return t.select("l_orderkey", "l_linenumber", "predicted", F.col("rank").cast("int").alias("rank"), "feature",
                     _r6("contribution"))
 
@@ -224,5 +228,6 @@ def q_smote(spark: SparkSession, sf: str) -> DataFrame:
         .join(emb.withColumnRenamed("vec_id", "neighbor_id").withColumnRenamed("embedding", "nb"), "neighbor_id")
     synth = F.zip_with(F.col("b").cast("array<double>"), F.col("nb").cast("array<double>"),
                        lambda x, y: x + F.col("gap") * (y - x))
-    return both.select("label", "j", "base_id", "neighbor_id", _r6("gap"),
-                       F.floor(F.element_at(synth, 1) * 1e4).cast("bigint").alias("x0_e4"))
+    # computed before the projection that rounds the gap
+    text = F.array_join(F.transform("x", lambda x: F.floor(x * 1e4).cast("bigint").cast("string")), ",")
+    return both.withColumn("x", synth).select("label", "j", "base_id", "neighbor_id", _r6("gap"), text.alias("x_e4"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval", "q_models", "q_stream"]
+QUERY_MODULES = ["catalog", "q_store", "q_text", "q_retrieval", "q_models", "q_stream", "q_fitted", "q_serve"]
 ORACLE_MODULES = ["oracle", "oracle_metrics", "oracle_store", "oracle_text", "oracle_retrieval", "oracle_models", "oracle_stream", "oracle_hybrid", "oracle_features2"]
 
 

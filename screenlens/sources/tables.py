@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +39,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a scratch one only when none is set (tests)."""
+    """The cluster's shared checkpoint folder.  Only in local mode, and only when none is set, a scratch one is made
+    (and removed at exit); on a cluster an unset folder is an error, since executors do not share a local disk."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        sc.setCheckpointDir(current)
         return current
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        sc.setCheckpointDir(named)
+        return sc.getCheckpointDir() or named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="screenlens-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 

@@ -40,10 +40,16 @@ def run_available_now(stream: DataFrame, sink: str, checkpoint: str, timeout_s:
         raise q.exception()
 
 
+def _files(spark: SparkSession, schema, max_files_per_trigger: int | None):
+    """A file stream reader; without a limit each batch takes what is there."""
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", max_files_per_trigger) if max_files_per_trigger else reader
+
+
 def stream_scores(spark: SparkSession, source_dir: str, schema, ruleset: RuleSet, roles, sink: str,
-                  checkpoint: str, max_files_per_trigger: int = 1) -> None:
+                  checkpoint: str, max_files_per_trigger: int | None = None) -> None:
     """readStream records -> score_records -> append to ``sink``."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    src = _files(spark, schema, max_files_per_trigger).parquet(source_dir)
     scored = score_records(src, ruleset, roles)
     out = scored.select("record_id", F.col("final.source").alias("source"), F.col("final.label").alias("label"),
                         F.col("final.diagnosis").alias("diagnosis"), F.col("final.rule_id").alias("rule_id"),
@@ -51,9 +57,10 @@ def stream_scores(spark: SparkSession, source_dir: str, schema, ruleset: RuleSet
     run_available_now(out, sink, checkpoint)
 
 
-def stream_logs(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> None:
+def stream_logs(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                max_files_per_trigger: int | None = None) -> None:
     """readStream events -> operation-log projection -> append to ``sink``."""
-    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ev = _files(spark, schema, max_files_per_trigger).parquet(source)
     logs = ev.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
                      F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
                      F.col("event_type").alias("action"), F.col("props").alias("detail"))
