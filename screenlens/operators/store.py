@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.findings import rule_hit_tag
+from ..functions.text import sanitize_name
 from .ids import append_ids
 
 RECORD_COLUMNS = ["id", "username", "input_mode", "sample_id", "final_label", "final_source", "diagnosis",
@@ -23,11 +24,6 @@ RECORD_COLUMNS = ["id", "username", "input_mode", "sample_id", "final_label", "f
 CASE_COLUMNS = ["id", "username", "final_label", "diagnosis", "note", "created_at", "record_json", "result_json",
                 "rule_hit_tag", "rule_version"]
 LOG_COLUMNS = ["id", "username", "action", "detail", "created_at"]
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-
-
-def now_text() -> Column:
-    return F.date_format(F.current_timestamp(), TIME_FORMAT)
 
 
 def clean_text(c: Column) -> Column:
@@ -54,8 +50,45 @@ def append(table: DataFrame | None, batch: DataFrame, order: Sequence[str | Colu
     return numbered.select(*[F.col(c) if c in numbered.columns else F.lit("").alias(c) for c in columns])
 
 
-def write_append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_store(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame | None:
+    """The stored table, columns that an older version lacks filled with ''; None before the first append."""
+    if not exists(spark, path):
+        return None
+    return ensure_columns(spark.read.option("mergeSchema", "true").parquet(path), columns)
+
+
+def append_to(batch: DataFrame, path: str, order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
+    """Append a batch to the table at ``path``; its ids go on after the stored maximum.  Returns the whole table.
+
+    The ids are fixed before the write (``append_ids`` checkpoints them), and the files are added in one commit, so a
+    failed run leaves no half batch behind.  One writer at a time, as with the original's single store.
+    """
+    spark = batch.sparkSession
+    table = read_store(spark, path, {})
+    append(table, batch, order, columns).write.mode("append").parquet(path)
+    return read_store(spark, path, {})
+
+
+def export_text(df: DataFrame, path: str, name: Column, body: Column, buckets: int = 64) -> None:
+    """Write one text per row (advice, report) as (file_name, body) Parquet rows, dealt into folders by name hash."""
+    out = df.select(sanitize_name(name).alias("file_name"), body.alias("body"))
+    out.withColumn("bucket", F.pmod(F.xxhash64("file_name"), F.lit(buckets))).write.mode("overwrite").partitionBy(
+        "bucket").parquet(path)
+
+
+def save_table(df: DataFrame, path: str, kind: str) -> None:
+    """Save as ``csv`` (with header) or ``parquet``; any other kind is an error."""
+    if kind == "csv":
+        df.write.mode("overwrite").option("header", "true").csv(path)
+    elif kind == "parquet":
+        df.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"unknown table format: {kind!r} (csv or parquet)")
 
 
 def ensure_columns(df: DataFrame, columns: Mapping[str, str], default: str = "") -> DataFrame:

@@ -19,8 +19,8 @@ def documents_of(queries: DataFrame, corpus: DataFrame, top_k: int = C.DEFAULT_T
 
     Equal query texts are retrieved once: the caller keys the queries by their text.
     """
-    index = RV.bm25_index(corpus)
-    scores = RV.bm25_scores(index, RV.query_terms(queries, F.col("query"), ["qid"]), ["qid"])
+    terms = RV.query_terms(queries, F.col("query"), ["qid"])
+    scores = RV.bm25_scores(RV.bm25_index(corpus, terms=terms), terms, ["qid"])
     ranked = RV.topk_rows(scores.withColumn("score", F.round("score", 9)), ["qid"], "score", top_k)
     found = ranked.join(corpus.select("doc_id", "title", "source", "text", "type"), "doc_id")
     entry = F.struct("rank", "doc_id", "title", "source", "text", "type", "score")

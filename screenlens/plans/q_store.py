@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import store as ST
 from ..sources import fixtures as X
+from ..sources.tables import ensure_checkpoint_dir, reliable_checkpoint
 from .catalog import query
 
 RECORD_LIST = ["id", "created_at", "username", "input_mode", "sample_id", "final_label", "final_source", "advice_mode"]
@@ -21,20 +25,45 @@ CASE_SEARCH = {"rule_hit_tag": C.RULE_HIT, "rule_version": "v1"}
 LOG_SEARCH = {"keyword": "9", "action": "click", "username": "user1"}
 
 
+SECOND_BATCH = "1995-01-01 00:00:00"     # what was created from then on is appended as a second batch
+_STORES: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, name: str, batches: Callable[[], list[DataFrame]], order: list[str],
+            columns: list[str]) -> DataFrame:
+    """The stored table, written batch by batch on first use in this application and read from then on."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _STORES:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{name}-{uuid.uuid4().hex}"
+        for batch in batches():
+            ST.append_to(batch, path, order, columns)
+        _STORES[key] = path
+    return ST.read_store(spark, _STORES[key], dict.fromkeys(columns, "string"))
+
+
+def _in_two(df: DataFrame) -> list[DataFrame]:
+    df = reliable_checkpoint(df)            # scored once, read by both batches
+    return [df.where(F.col("created_at") < SECOND_BATCH), df.where(F.col("created_at") >= SECOND_BATCH)]
+
+
 def saved_records(spark: SparkSession, sf: str) -> DataFrame:
-    batch = X.records(spark, sf)
-    return ST.append(None, batch, ["created_at", "record_id"], ST.RECORD_COLUMNS + ["record_id", "rule_id"])
+    return _stored(spark, sf, "records", lambda: _in_two(X.records(spark, sf)), ["created_at", "record_id"],
+                   ST.RECORD_COLUMNS + ["record_id", "rule_id"])
 
 
 def saved_cases(spark: SparkSession, sf: str) -> DataFrame:
-    rec = X.records(spark, sf).where(F.col("final_source") == C.SOURCE_RULES)
-    cases = ST.case_rows(rec, X.RULE_VERSION, note=F.col("diagnosis"))
-    return ST.append(None, cases, ["created_at", "record_id"], ST.CASE_COLUMNS + ["record_id"])
+    def batches() -> list[DataFrame]:
+        rec = X.records(spark, sf).where(F.col("final_source") == C.SOURCE_RULES)
+        return _in_two(ST.case_rows(rec, X.RULE_VERSION, note=F.col("diagnosis")))
+
+    return _stored(spark, sf, "cases", batches, ["created_at", "record_id"], ST.CASE_COLUMNS + ["record_id"])
 
 
 def saved_logs(spark: SparkSession, sf: str) -> DataFrame:
-    batch = ST.normalize_log(X.log(spark, sf).withColumnRenamed("id", "event_id"))
-    return ST.append(None, batch, ["ts", "event_id"], ST.LOG_COLUMNS + ["event_id"])
+    def batches() -> list[DataFrame]:
+        return [ST.normalize_log(X.log(spark, sf).withColumnRenamed("id", "event_id"))]
+
+    return _stored(spark, sf, "logs", batches, ["ts", "event_id"], ST.LOG_COLUMNS + ["event_id"])
 
 
 @query("append_records")
