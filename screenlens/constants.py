@@ -36,10 +36,6 @@ PRIVACY_COLUMNS = [
     "职业禁忌证名称1529", "疑似职业病名称1530", "体检机构1531", "体检日期1532", "报告出具日期1533",
     "报告日期1534",
 ]
-PRIVACY_AND_TARGET_COLUMNS = [
-    "姓名0", "体检编号1", "主检结论1527", "主检建议1528", "职业禁忌证名称1529",
-    "疑似职业病名称1530", "体检机构1531", "体检日期1532", "报告出具日期1533", "报告日期1534",
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: value normalisation ("normal" spellings -> 无)
@@ -57,7 +53,6 @@ NORMAL_TARGET = "无"
 FILL_RULES = {"家族史42": "无", "其他症状46": "无", "个人史43": "无", "放射线种类41": "无", "治疗经过33": "已成"}
 BINARY_FEATURES = ["家族史42", "个人史43", "其他44", "自觉症状45", "其他症状46", "既往病史疾病名称30", "防护措施29"]
 NEGATION_TOKENS_TRAIN = ["无", "未", "不"]
-NEGATION_TOKENS_SERVE = ["无", "未见", "阴性"]
 DURATION_FIELDS = ["总工龄22", "接害工龄23"]
 MARKER_FILL = "合格"
 TOP_HAZARDS = 20
@@ -186,7 +181,6 @@ SUSPECT_BOOST = 0.14
 RECHECK_QUERY = "复查"
 RECHECK_DOC_TOKENS = ["复查", "随访", "进一步检查"]
 RECHECK_BOOST = 0.08
-QUERY_SPLIT_CHARS = "；;。.\n"
 MAX_VARIANTS = 6
 NORM_RANGE_EPS = 1e-9
 

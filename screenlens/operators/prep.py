@@ -154,12 +154,6 @@ def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return agg.unpivot([], columns, "column", "missing_ratio")
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    columns = list(columns or string_columns(df))
-    agg = df.agg(*[F.count_distinct(q(c)).alias(c) for c in columns])
-    return agg.unpivot([], columns, "column", "n_distinct")
-
-
 @dataclass
 class PrepPlan:
     """Frozen result of ``fit_prep``: plain data, JSON round-trips."""
@@ -245,7 +239,3 @@ def report_rows(plan: PrepPlan) -> list[tuple[str, int, str]]:
 
 def base_feature_name(c: Column) -> Column:
     return F.substring_index(c, "_", 1)
-
-
-def normalize_ws_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: norm_ws(q(c)) for c in columns})

@@ -18,9 +18,6 @@ from .. import constants as C
 from ..functions import findings as H
 from ..functions.rules import RuleSet, evaluate_rules
 
-FINAL_SCHEMA_FIELDS = ("source", "label", "diagnosis", "rule_id", "trace", "probabilities")
-
-
 def _final_from_rule(hit: Column) -> Column:
     return F.struct(F.lit(C.SOURCE_RULES).alias("source"), hit["label"].alias("label"),
                     hit["diagnosis"].alias("diagnosis"), hit["rule_id"].alias("rule_id"),
