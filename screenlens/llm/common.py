@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from screenlens.sources.tables import ensure_checkpoint_dir
 
+BATCH_ROWS = 1_000
 ASCII_SPACE = " \t\n\x0b\x0c\r"  # the bytes 0x20 and 0x09-0x0D that separate words
-_UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.translate(_UPPER_TO_LOWER)
+def lower_bytes(text: str) -> bytes:
+    """The UTF-8 bytes with A-Z lower-cased (``bytes.lower`` touches nothing else)."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 class Stage:
@@ -52,7 +52,9 @@ class Stage:
 
 
 def importable_on_workers(spark: SparkSession) -> None:
-    """In local mode, let Python workers import this package whatever folder the driver was started in."""
+    """Prepare the session: texts travel to Python workers in batches of BATCH_ROWS rows (a worker and the JVM each hold
+    a batch), and in local mode workers can import this package whatever folder the driver was started in."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.master.startswith("local"):
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

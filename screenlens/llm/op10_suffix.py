@@ -281,8 +281,10 @@ def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: st
     places = stage.write(occurrences(rows.filter("text is not null"), length, gram), "places")
     shared = (places.groupBy("v").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"))
               .filter("c > 1").select("v", (F.col("lo") < F.col("hi")).alias("mixed")))
+    # written first, so that the join has plain shuffles on both sides and a hot anchor's partition can be split
+    shared = stage.write(shared, "shared")
     met = stage.write(places.join(shared, "v"), "met")
-    stage.drop("places")
+    stage.drop("places", "shared")
     kinds = stage.write(
         met.groupBy("v", "s").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"),
                                   F.min(F.struct("k", "doc", "start", "size", "at")).alias("p")), "segments")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, Stage, texts_of
+from .common import ASCII_SPACE, Stage, slices, texts_of
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +81,7 @@ def rule_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
                            *[T.StructField(c, T.DoubleType()) for c in FEATURES]])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows = list(zip(*map(statistics, texts_of(batch)))) or [()] * (len(BASE) + len(FEATURES))
             kinds = [pa.int64()] * len(BASE) + [pa.float64()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
@@ -241,7 +241,7 @@ def accepted(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
     names = documents.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             rows = [statistics(t) for t in texts_of(batch, text)]
             if not rows:
                 continue

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Stage, components, lower_ascii, texts_of, without
+from .common import Stage, components, lower_bytes, texts_of, without
 
 SHINGLE = 4
 SHARE = 80              # percent: link if 100 * intersection >= SHARE * union
@@ -87,7 +87,7 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
-    words = word_hashes(lower_ascii(text).encode("utf-8", "surrogatepass"))
+    words = word_hashes(lower_bytes(text))
     n = len(words)
     if not n:
         return words
@@ -100,7 +100,7 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def exact_set(text: str, shingle: int = SHINGLE) -> frozenset:
     """The set itself, for confirming links."""
-    words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
+    words = lower_bytes(text).split()
     if not words:
         return frozenset()
     size = min(len(words), shingle)
@@ -121,9 +121,11 @@ class _Hasher:
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         """Signatures of non-empty sets: one row each, the high 32 bits of the least hash per coordinate."""
-        flat = np.concatenate(sets)
-        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-        out = np.empty((len(sets), len(self.a)), dtype=np.uint32)
+        return self.of_flat(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])))
+
+    def of_flat(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The same for sets that lie one after the other in ``flat``, each from its start on; repeats do no harm."""
+        out = np.empty((len(starts), len(self.a)), dtype=np.uint32)
         for c in range(len(self.a)):
             out[:, c] = np.minimum.reduceat(flat * self.a[c] + self.b[c], starts) >> np.uint64(32)
         return out
