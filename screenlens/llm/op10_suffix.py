@@ -256,7 +256,7 @@ def _extents(rim: DataFrame, stage: Stage) -> DataFrame:
     group = ["v", "side", "m", "h"]
     named = stage.write(rim.select("v", "s", "at", "data").mapInArrow(contexts, schema), "contexts")
     ahead = stage.write(named.groupBy(*group, "ahead").agg(F.count("*").alias("c")), "ahead")
-    shared = ahead.groupBy(*group).agg(F.sum("c").alias("c")).filter("c > 1").drop("c")
+    shared = stage.write(ahead.groupBy(*group).agg(F.sum("c").alias("c")).filter("c > 1").drop("c"), "shared-contexts")
     longest = stage.write(
         named.join(shared, group).groupBy("v", "s", "side").agg(F.max(F.struct("m", "h", "ahead")).alias("x"))
         .select("v", "s", "side", "x.*"), "longest")

@@ -176,7 +176,8 @@ def postings(classes: DataFrame) -> DataFrame:
 def prefix_postings(classes: DataFrame, stage: Stage, min_matches: int = MIN_MATCHES) -> DataFrame:
     """Shared postings within each class's prefix: rep, posting, weight (sum of its postings' frequencies)."""
     every = postings(classes)
-    shared = every.groupBy("posting").agg(F.count("*").alias("freq")).filter("freq > 1")
+    # counts are written before they are joined: with plain shuffles on both sides AQE can split a hot posting
+    shared = stage.write(every.groupBy("posting").agg(F.count("*").alias("freq")).filter("freq > 1"), "frequent")
     met = stage.write(every.join(shared, "posting"), "shared-postings")
     whole = W.partitionBy("rep")                       # at most COORDINATES rows
     ranked = (met.withColumn("n", F.count("*").over(whole)).withColumn("weight", F.sum("freq").over(whole))
@@ -184,7 +185,7 @@ def prefix_postings(classes: DataFrame, stage: Stage, min_matches: int = MIN_MAT
               .withColumn("at", F.row_number().over(whole.orderBy("freq", "posting")))
               .filter(F.col("at") <= F.col("n") - min_matches + 1))
     out = stage.write(ranked.select("rep", "posting", "weight"), "prefix-postings")
-    stage.drop("shared-postings")
+    stage.drop("shared-postings", "frequent")
     return out
 
 
@@ -223,10 +224,11 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, min_matches: int) -> DataFra
     return both.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def star_pairs(prefix: DataFrame) -> DataFrame:
+def star_pairs(prefix: DataFrame, stage: Stage) -> DataFrame:
     """For each class one pair (a = class, b = the centre that most of its posting lists name)."""
     centres = prefix.groupBy("posting").agg(
         F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    centres = stage.write(centres, "centres")
     named = (prefix.select("rep", "posting")
              .join(centres.select("posting", (-F.col("top.neg")).alias("centre"), F.col("top.weight").alias("w")),
                    "posting")
@@ -244,8 +246,9 @@ def residual_pairs(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage:
     with_comp = stage.write(with_comp, "posting-components")
     open_lists = (with_comp.groupBy("posting")
                   .agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi"))
+    open_lists = stage.write(open_lists.select("posting"), "open-lists")
     open_reps = stage.write(
-        with_comp.join(open_lists.select("posting"), "posting", "left_semi").select("rep", "component").distinct(),
+        with_comp.join(open_lists, "posting", "left_semi").select("rep", "component").distinct(),
         "open-classes")
     rep_kind = texts.schema["rep"].dataType
 
@@ -266,7 +269,7 @@ def residual_pairs(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage:
                                 T.StructField("size", T.LongType()), T.StructField("h", T.LongType())])),
         "open-shingles")
     # only shingles of two or more sets can be met; their order is by frequency, rarest first
-    df = every.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    df = stage.write(every.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "open-frequencies")
     w = W.partitionBy("set_id")
     ranked = (every.join(df, "h")
               .withColumn("from_end", F.row_number().over(w.orderBy(F.desc("df"), F.desc("h"))))
@@ -299,7 +302,7 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     digest = classes.join(able, "rep", "left_semi").select("set_id", F.col("rep").alias("rep_of"))
     texts = stage.write(_class_texts(wanted, digest, shingle), "texts")
 
-    links = stage.write(_confirm(_agreeing(star_pairs(prefix), classes, min_matches), texts, shingle, share), "star")
+    links = stage.write(_confirm(_agreeing(star_pairs(prefix, stage), classes, min_matches), texts, shingle, share), "star")
     comps = components(links, stage, "star-components")
     rest = stage.write(_agreeing(residual_pairs(prefix, comps, texts, stage, shingle, share), classes, min_matches),
                        "residual")

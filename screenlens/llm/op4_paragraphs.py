@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, components, lower_ascii, texts_of
-from .op3_minhash import _confirm, _Hasher, mix, residual_pairs, shingle_hashes, star_pairs
+from .common import Stage, components, lower_bytes, slices, texts_of
+from .op3_minhash import _M, _confirm, _Hasher, mix, residual_pairs, star_pairs, word_hashes
 
 MIN_WORDS = 25
 SHINGLE = 5
@@ -42,53 +42,99 @@ def tune(rows: int = ROWS, share: int = SHARE, recall: float = RECALL) -> int:
 
 def paragraphs(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """(line number, words, normalised text) of the lines with enough words."""
+    return [(number, n, unit.decode("utf-8", "surrogatepass")) for number, n, unit in _units(text, min_words)]
+
+
+def _units(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """The same with the normalised text as UTF-8 bytes."""
     out = []
-    for number, line in enumerate(text.split("\n")):
-        words = lower_ascii(line).encode("utf-8", "surrogatepass").split()
+    for number, line in enumerate(lower_bytes(text).split(b"\n")):
+        words = line.split()
         if len(words) >= min_words:
-            out.append((number, len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
+            out.append((number, len(words), b" ".join(words)))
     return out
 
 
-def occurrences(documents: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """doc, paragraph, n_words, rep (64-bit digest of the normalised paragraph), text."""
+def signatures(units: list[bytes], n_words: list[int], shingle: int, hasher: _Hasher) -> np.ndarray:
+    """MinHash signatures of normalised paragraphs of ``shingle`` words or more, all in one sweep.
+
+    The word hashes of all paragraphs lie in one array; windows that cross from one into the next are left out.
+    """
+    hashes = word_hashes(b"\n".join(units))
+    sizes = np.array(n_words, dtype=np.int64)
+    windows = sizes - shingle + 1
+    flat = hashes[: len(hashes) - shingle + 1].copy()
+    for k in range(1, shingle):
+        flat = flat * _M + hashes[k: len(hashes) - shingle + 1 + k]
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    starts = np.concatenate(([0], np.cumsum(windows)[:-1]))
+    inside = np.arange(windows.sum()) + np.repeat(first - starts, windows)
+    return hasher.of_flat(mix(flat[inside] + np.uint64(shingle)), starts)
+
+
+def _rep(unit: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(unit) - 2**63
+
+
+def occurrences(documents: DataFrame, key: str, text: str, min_words: int, shingle: int, n_bands: int,
+                rows: int) -> DataFrame:
+    """doc, paragraph, n_words, rep (64-bit digest of the normalised paragraph), keys (its 64-bit band keys, binary)."""
+    if min_words < shingle:
+        raise ValueError("paragraphs must have a shingle's words at least")
     schema = T.StructType([T.StructField("doc", documents.schema[key].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("paragraph", "n_words", "rep")],
-                           T.StructField("text", T.StringType())])
+                           T.StructField("keys", T.BinaryType())])
 
     def run(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = [paragraphs(t, min_words) for t in texts_of(part)]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                flat = [p for f in found for p in f]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(at), pa.array([p[0] for p in flat], pa.int64()),
-                     pa.array([p[1] for p in flat], pa.int64()),
-                     pa.array([xxhash.xxh3_64_intdigest(p[2].encode("utf-8", "surrogatepass")) - 2**63 for p in flat],
-                              pa.int64()), pa.array([p[2] for p in flat], pa.string())], names=schema.names)
+        hasher = _Hasher(n_bands * rows)
+        for batch in slices(batches, "text"):
+            found = [_units(t, min_words) for t in texts_of(batch)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            flat = [p for f in found for p in f]
+            if not flat:
+                continue
+            reps = [_rep(p[2]) for p in flat]
+            one = {r: (p[2], p[1]) for r, p in zip(reps, flat)}          # equal paragraphs are hashed once
+            sig = signatures([u for u, _ in one.values()], [n for _, n in one.values()], shingle, hasher)
+            sig = sig.astype(np.uint64).reshape(len(one), n_bands, rows)
+            keys = np.repeat(np.arange(1, n_bands + 1, dtype=np.uint64)[None], len(one), 0)
+            for r in range(rows):
+                keys = mix(keys * _M + sig[:, :, r])
+            packed = dict(zip(one, (k.tobytes() for k in keys)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(at), pa.array([p[0] for p in flat], pa.int64()),
+                 pa.array([p[1] for p in flat], pa.int64()), pa.array(reps, pa.int64()),
+                 pa.array([packed[r] for r in reps], pa.binary())], names=schema.names)
 
     return documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def bands(units: DataFrame, n_bands: int, rows: int, shingle: int) -> DataFrame:
-    """Each paragraph under its band keys: rep, posting; ``units`` has (rep, text)."""
+def bands(places: DataFrame) -> DataFrame:
+    """Each distinct paragraph under its band keys: rep, posting."""
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("posting", T.LongType())])
 
     def run(batches):
-        hasher = _Hasher(n_bands * rows)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sig = hasher.signatures([shingle_hashes(t, shingle) for t in texts_of(part)]).astype(np.uint64)
-                sig = sig.reshape(part.num_rows, n_bands, rows)
-                keys = np.repeat(np.arange(1, n_bands + 1, dtype=np.uint64)[None], part.num_rows, 0)
-                for r in range(rows):
-                    keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                at = pa.array(np.repeat(np.arange(part.num_rows), n_bands))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep").take(at), pa.array(keys.ravel().view(np.int64))], names=schema.names)
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), len(keys) // max(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), pa.array(keys)], names=schema.names)
+
+    return places.groupBy("rep").agg(F.first("keys").alias("keys")).mapInArrow(run, schema)
+
+
+def texts_of_reps(documents: DataFrame, text: str, wanted: DataFrame, min_words: int) -> DataFrame:
+    """rep, text of the wanted paragraphs, one row each; ``wanted`` has (rep)."""
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("text", T.StringType())])
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            one = {_rep(u): u for t in texts_of(batch) for _, _, u in _units(t, min_words)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(one), pa.int64()),
+                 pa.array([u.decode("utf-8", "surrogatepass") for u in one.values()], pa.string())], names=schema.names)
 
-    return units.select("rep", "text").mapInArrow(run, schema)
+    every = documents.select(F.col(text).alias("text")).mapInArrow(run, schema)
+    return every.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
 
 
 def repeated_paragraphs(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -99,23 +145,20 @@ def repeated_paragraphs(documents: DataFrame, *, key: str = "doc_id", text: str
     Paragraphs without a partner are not returned; ``component_id`` is the least digest in the component.
     """
     stage = Stage(documents.sparkSession, "paragraphs")
-    found = occurrences(documents, key, text, min_words)
-    places = stage.write(found.drop("text"), "places")
     n_bands = tune(rows, share, recall)
+    places = stage.write(occurrences(documents, key, text, min_words, shingle, n_bands, rows), "places")
 
-    # band keys of every occurrence, counted per distinct paragraph; lists of one paragraph are skipped
-    every = stage.write(bands(found, n_bands, rows, shingle).distinct(), "bands")
-    shared = every.groupBy("posting").agg(F.count("*").alias("freq")).filter("freq > 1")
-    prefix = every.join(shared, "posting")
-    prefix = stage.write(prefix.join(prefix.groupBy("rep").agg(F.sum("freq").alias("weight")), "rep")
+    # band keys counted per distinct paragraph; lists of one paragraph are skipped
+    every = stage.write(bands(places), "bands")
+    shared = stage.write(every.groupBy("posting").agg(F.count("*").alias("freq")).filter("freq > 1"), "frequent")
+    met = stage.write(every.join(shared, "posting"), "met")
+    prefix = stage.write(met.join(met.groupBy("rep").agg(F.sum("freq").alias("weight")), "rep")
                          .select("rep", "posting", "weight"), "postings")
-    able = prefix.select("rep").distinct()
-    texts = (found.select("rep", "text").join(able, "rep", "left_semi").groupBy("rep")
-             .agg(F.first("text").alias("text"))
-             .withColumn("set_id", F.col("rep").cast("string").cast("binary")))
-    texts = stage.write(texts, "texts")
+    stage.drop("bands", "met", "frequent")
+    texts = texts_of_reps(documents, text, prefix.select("rep").distinct(), min_words)
+    texts = stage.write(texts.withColumn("set_id", F.col("rep").cast("string").cast("binary")), "texts")
 
-    links = stage.write(_confirm(star_pairs(prefix), texts, shingle, share), "star")
+    links = stage.write(_confirm(star_pairs(prefix, stage), texts, shingle, share), "star")
     comps = components(links, stage, "star-components")
     rest = residual_pairs(prefix, comps, texts, stage, shingle, share)
     more = stage.write(_confirm(rest, texts, shingle, share), "residual-links")

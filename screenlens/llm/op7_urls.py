@@ -152,7 +152,8 @@ def url_filter(pages: DataFrame, *, key: str = "page_id", url: str = "url", labe
     known = templates(paths, stage)
     counts = stage.write(known.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"),
                                                                F.sum("allowed").alias("allowed")), "counts")
-    judged = purity(counts, merged(counts))
+    # written, so that the join below has plain shuffles on both sides and a hot host's template can be split
+    judged = stage.write(purity(counts, merged(counts)), "judged")
     verdicts = known.select("host", "path", "template").join(judged, ["host", "template"]).select(
         F.col("host").alias("h"), F.col("path").alias("p"), "template", "purity")
     out = urls.join(verdicts, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")

@@ -74,8 +74,16 @@ def test_shingle_hashes_follow_exact_sets(a, b):
 
 
 def test_bands_reach_the_recall():
-    n = op4.tune(4, 80, 0.9995)
-    assert (1 - 0.8**4) ** n <= 0.0005 < (1 - 0.8**4) ** (n - 1)
+    n = op4.tune()
+    assert (1 - 0.8**op4.ROWS) ** n <= 0.0005 < (1 - 0.8**op4.ROWS) ** (n - 1)
+
+
+def test_paragraph_signatures_follow_the_sets():
+    rng = random.Random(5)
+    units = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 40))).encode() for _ in range(50)]
+    hasher = op3._Hasher(12)
+    swept = op4.signatures(units, [len(u.split()) for u in units], 5, hasher)
+    assert (swept == hasher.signatures([op3.shingle_hashes(u.decode(), 5) for u in units])).all()
 
 
 def greedy(word, initial, continuing):
