@@ -14,9 +14,9 @@ every match:
    positions sampled at the ends of its runs.  Matching statistics are streamed in text order: at a sampled position the
    match with the neighbouring suffix is measured, in between it shrinks by one byte a step (the property that makes
    run-end samples sufficient).  Positions that match ``LENGTH`` bytes or more start a covered string.
-4. An anchor with more than ``HOT`` different segments (the rim of a very common passage) is first trimmed: only the
-   longest left and right contexts that another of its segments shares can lie in a match.  Trimmed segments that are
-   equal are settled by counting again, so the rim of a passage that a third of the corpus carries becomes one segment.
+4. An anchor with more than ``HOT`` different segments (the rim of a very common passage, whose segments stay different
+   by the text before or after it) is never indexed, so a bucket has no unbounded group: its windows are settled by
+   counting digests at equal distances from the anchor, in groups of ``STEP`` and singly at the edges of matches only.
 5. The covered ranges are gathered per document and cut out.
 
 A window belongs to one segment only, so overlapping segments of a document never match themselves.
@@ -231,47 +231,91 @@ def matched(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _extents(rim: DataFrame, stage: Stage) -> DataFrame:
-    """rim with l and r: the longest left and right contexts that another segment of the anchor shares.
+def _windows(size: int, at: int, length: int) -> list[tuple[int, int, int]]:
+    """The windows of a segment in groups of STEP: (group, least, greatest bytes before the anchor)."""
+    least = at - (size - length)
+    return [(g, max(least, g * STEP), min(at, g * STEP + STEP - 1)) for g in range(least // STEP, at // STEP + 1)]
 
-    Every segment names its contexts at multiples of STEP (a digest) with the STEP bytes that follow each.  The longest
-    shared multiple comes from counts; how far the bytes after it are shared, from counts of their prefixes over all
-    segments that share that multiple.  Equal contexts are counted per task before the shuffle.
+
+def _digest(data: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) - 2**63
+
+
+def _by_counts(rim: DataFrame, stage: Stage, length: int) -> DataFrame:
+    """Covered ranges (doc, k, start, size) of the segments of hot anchors, settled by counting alone.
+
+    Equal windows lie at the same distance from their anchor, so a window is covered if its digest is counted twice at
+    that distance.  Not every window is counted: for each group of STEP neighbours, the bytes that all of them have (inner)
+    and the bytes that any of them has (outer).  A shared outer covers the whole group, an inner that is not shared covers
+    nothing; only in between, at the edges of matches, single windows are counted.  There the segments of one outer are
+    counted once, since their windows in the group are equal.
     """
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("v", "s", "side", "m", "h")],
-                           T.StructField("ahead", T.BinaryType())])
+    fields = [T.StructField(c, T.LongType()) for c in ("v", "s", "g", "outer", "h")]
+    names = ["v", "s", "g", "outer", "h"]
+
+    def batch_of(rows):
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
-    def contexts(batches):
+    def groups(batches):
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows = []
             for row in batch.to_pylist():
-                for side, ext in ((0, row["data"][: row["at"]][::-1]), (1, row["data"][row["at"]:])):
-                    rows += [(row["v"], row["s"], side, m, xxhash.xxh3_64_intdigest(ext[:m]) - 2**63,
-                              ext[m: m + STEP]) for m in range(0, len(ext) + 1, STEP)]
-            columns = list(zip(*rows)) or [()] * 6
+                v, s, at, data = row["v"], row["s"], row["at"], row["data"]
+                for g, lo, hi in _windows(len(data), at, length):
+                    first = at - g * STEP
+                    rows.append((v, s, g, 0, _digest(data[first: first + length - STEP + 1], 2 * g)))
+                    if hi - lo == STEP - 1:
+                        rows.append((v, s, g, 1, _digest(data[at - hi: at - lo + length], 2 * g + 1)))
+            yield batch_of(rows)
+
+    def singles(batches):
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            rows = []
+            for row in batch.to_pylist():
+                wanted, at, data = set(row["gs"]), row["at"], row["data"]
+                for g, lo, hi in _windows(len(data), at, length):
+                    if g in wanted:
+                        rows += [(row["v"], row["s"], n, 0, _digest(data[at - n: at - n + length], n))
+                                 for n in range(lo, hi + 1)]
+            yield batch_of(rows)
+
+    def shared_of(table, name):
+        # written first, so that the join has plain shuffles on both sides and a hot window's partition can be split
+        counted = table.groupBy("v", "h").agg(F.count("*").alias("c"), F.min("s").alias("one")).filter("c > 1").drop("c")
+        return table.join(stage.write(counted, name), ["v", "h"])
+
+    rim = rim.filter("hot")
+    named = stage.write(rim.select("v", "s", "at", "data").mapInArrow(groups, T.StructType(fields)), "windows")
+    met = stage.write(shared_of(named, "shared-windows").groupBy("v", "s", "g").agg(
+        F.max("outer").alias("outer"),
+        F.max((F.col("outer") == 1) & (F.col("one") == F.col("s"))).alias("stands")), "met-windows")
+    stage.drop("windows", "shared-windows")
+    edges = met.filter("outer = 0 or stands").groupBy("v", "s").agg(F.collect_list("g").alias("gs"))
+    single = stage.write(rim.select("v", "s", "at", "data").join(edges, ["v", "s"])
+                         .mapInArrow(singles, T.StructType(fields)), "single-windows")
+    # spans of bytes before the anchor: (least, greatest)
+    spans = (met.filter("outer = 1").select("v", "s", (F.col("g") * STEP).alias("lo"),
+                                            (F.col("g") * STEP + STEP - 1).alias("hi"))
+             .union(shared_of(single, "shared-singles").select("v", "s", F.col("g").alias("lo"), F.col("g").alias("hi"))))
+    spans = spans.groupBy("v", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))    # LENGTH at most
+    found = rim.filter("c = 1").select("v", "s", "doc", "k", "start", "at").join(spans, ["v", "s"])
+    schema = T.StructType([rim.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("k", "start", "size")]])
+
+    def ranges(batches):
+        for batch in batches:
+            owner, start, size = [], [], []
+            for i, (first, at, spans_of) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "at", "spans")))):
+                for a, b in merge([at - x["hi"] for x in spans_of], [x["hi"] - x["lo"] + length for x in spans_of]):
+                    owner.append(i)
+                    start.append(first + a)
+                    size.append(b - a)
+            take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(list(c), pa.int64()) for c in columns[:5]], pa.array(list(columns[5]), pa.binary())],
-                names=schema.names)
-
-    group = ["v", "side", "m", "h"]
-    named = stage.write(rim.select("v", "s", "at", "data").mapInArrow(contexts, schema), "contexts")
-    ahead = stage.write(named.groupBy(*group, "ahead").agg(F.count("*").alias("c")), "ahead")
-    shared = stage.write(ahead.groupBy(*group).agg(F.sum("c").alias("c")).filter("c > 1").drop("c"), "shared-contexts")
-    longest = stage.write(
-        named.join(shared, group).groupBy("v", "s", "side").agg(F.max(F.struct("m", "h", "ahead")).alias("x"))
-        .select("v", "s", "side", "x.*"), "longest")
-    lengths = F.explode(F.when(F.octet_length("ahead") > 0, F.sequence(F.lit(1), F.octet_length("ahead"))))
-    prefix = F.expr("substring(ahead, 1, n)")
-    further = (ahead.join(longest.select(*group).distinct(), group, "left_semi")
-               .select(*group, "c", "ahead", lengths.alias("n"))
-               .groupBy(*group, "n", prefix.alias("p")).agg(F.sum("c").alias("c")).filter("c > 1").drop("c"))
-    beyond = (longest.select(*group, "s", "ahead", lengths.alias("n")).withColumn("p", prefix)
-              .join(further, [*group, "n", "p"]).groupBy("v", "s", "side").agg(F.max("n").alias("n")))
-    extent = (longest.join(beyond, ["v", "s", "side"], "left")
-              .withColumn("e", F.col("m") + F.coalesce("n", F.lit(0))).groupBy("v", "s")
-              .agg(F.max(F.when(F.col("side") == 0, F.col("e"))).alias("l"),
-                   F.max(F.when(F.col("side") == 1, F.col("e"))).alias("r")))
-    return stage.write(rim.join(extent, ["v", "s"]), "trimmed")
+                [batch.column("doc").take(take), batch.column("k").take(take), pa.array(start, pa.int64()),
+                 pa.array(size, pa.int64())], names=schema.names)
+
+    return found.select("doc", "k", "start", "at", "spans").mapInArrow(ranges, schema)
 
 
 def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -302,18 +346,9 @@ def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: st
         fetched.groupBy("v", "s").agg(*[F.first(c).alias(c) for c in ("c", "hot", "doc", "k", "start", "at", "data")]),
         "rim")
 
-    trimmed = _extents(rim.filter("hot"), stage)
-    trimmed = (trimmed.filter(F.col("l") + F.col("r") >= length)
-               .withColumn("data", F.expr("substring(data, cast(at - l + 1 as int), cast(l + r as int))"))
-               .withColumn("start", F.col("start") + F.col("at") - F.col("l"))
-               .withColumn("d", F.xxhash64("data", "l")))
-    again = trimmed.groupBy("v", "d").agg(F.count("*").alias("n"), F.min("s").alias("one"))
-    settled = trimmed.join(again, ["v", "d"])
-    equal = (settled.filter("n > 1 and c = 1")
-             .select("doc", "k", "start", F.octet_length("data").cast("long").alias("size")))
-    columns = ["v", "s", "doc", "k", "start", "data"]
-    left = (rim.filter("not hot").select(*columns, (F.col("c") == 1).alias("ask"))
-            .union(settled.filter("s = one").select(*columns, ((F.col("n") == 1) & (F.col("c") == 1)).alias("ask"))))
+    counted = _by_counts(rim, stage, length)
+    # at most ``hot`` segments an anchor
+    left = rim.filter("not hot").select("v", "s", "doc", "k", "start", "data", (F.col("c") == 1).alias("ask"))
     left = stage.write(left, "index")
     total = left.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
@@ -329,7 +364,7 @@ def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: st
 
     rims = (left.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)))
             .groupBy("bucket").applyInPandas(search, schema))
-    return whole.union(equal).union(rims)
+    return whole.union(counted).union(rims)
 
 
 def merge(starts: list[int], sizes: list[int]) -> list[tuple[int, int]]:

@@ -442,6 +442,27 @@ def test_op10_hot_rims(spark):
         stage = Stage(spark, "test")
 
 
+def test_op10_hot_rims_stay_out_of_the_index(spark):
+    """Different text before a common passage: no anchor brings more than ``hot`` segments to one bucket."""
+    importable_on_workers(spark)
+    rng = np.random.default_rng(9)
+
+    def noise(n):
+        return "".join(rng.choice(list("abc "), n))
+
+    passage = noise(900)
+    made = [(d, noise(340) + passage + noise(int(rng.integers(0, 340)))) for d in range(400)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    stage = Stage(spark, "test")
+    ranges = defaultdict(list)
+    for r in op10.covered(df, stage, hot=20).collect():
+        ranges[r["doc"]].append((r["start"], r["size"]))
+    found = {d: sum(b - a for a, b in op10.merge(*map(list, zip(*r)))) for d, r in ranges.items()}
+    assert found == {d: n for d, _, n, _, _ in cut_by_brute_force(made, op10.LENGTH) if n}
+    per_anchor = Counter(r["v"] for r in spark.read.parquet(f"{stage.root}/index").collect())
+    assert max(per_anchor.values(), default=0) <= 20
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, sf, small):
