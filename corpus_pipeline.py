@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group; documents without a group stay."""
+    """The row of least id of each near-duplicate group; rows without a group stay."""
     importable_on_workers(spark)
     return op3_minhash.deduplicated(docs.select(*COLUMNS), shingle=NEAR_SHINGLE)
 
@@ -50,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without a benchmark item."""
     importable_on_workers(spark)
     benchmark = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    return op1_decontaminate.clean_documents(docs.select(*COLUMNS), benchmark)
+    return op1_decontaminate.clean_rows(docs.select(*COLUMNS), benchmark)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlens.sources.tables import ensure_checkpoint_dir
@@ -68,14 +68,19 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def without(documents: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def row_identity(key: str, text: str) -> Column:
+    """What tells rows apart when their keys repeat or are null: a digest of key and text."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def without(documents: DataFrame, key: str | Column, keys: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose key is not in the one-column ``keys`` (a null key meets a null key).
 
     The rows travel as one struct, so their column names cannot clash with the join's.
     """
     drop = keys.toDF("drop_key").distinct()
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"),
-                              F.col(key).alias("record_key"))
+                              (F.col(key) if isinstance(key, str) else key).alias("record_key"))
     return packed.join(drop, F.col("record_key").eqNullSafe(F.col("drop_key")), "left_anti").select("record.*")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of, without
+from .common import row_identity, texts_of, without
 
 EDIT_SHARE = 0.06        # edits allowed per character of the normalised item
 MIN_WORDS = 8
@@ -189,5 +189,13 @@ def _machine(shared, name: str, share: float) -> tuple:
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``documents`` without a leaked item; rows without a key are judged too (null-safe)."""
+    """The rows of ``documents`` whose key has no leaked item; rows that share a key, null included, go together."""
     return without(documents, key, decontaminate(documents, benchmark, key=key, **options).select(key))
+
+
+def clean_rows(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
+               **options) -> DataFrame:
+    """The rows of ``documents`` without a leaked item, each judged by its own text whatever its key."""
+    rows = documents.select(row_identity(key, text).alias("row"), F.col(text).alias("text"))
+    return without(documents, row_identity(key, text),
+                   decontaminate(rows, benchmark, key="row", **options).select("row"))

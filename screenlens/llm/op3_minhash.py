@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Stage, components, lower_bytes, texts_of, without
+from .common import Stage, components, lower_bytes, row_identity, texts_of, without
 
 SHINGLE = 4
 SHARE = 80              # percent: link if 100 * intersection >= SHARE * union
@@ -331,7 +331,26 @@ def _class_texts(wanted: DataFrame, digest: DataFrame, shingle: int) -> DataFram
             .dropDuplicates(["rep", "set_id"]).select("rep", "set_id", "text"))
 
 
-
-def deduplicated(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``documents`` whose key is kept, all their columns; rows without a key stay."""
-    return without(documents, key, near_duplicates(documents, key=key, **options).filter(~F.col("kept")).select(key))
+def deduplicated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate group, all its columns: the one of least key, null keys last.
+
+    Rows are judged, not keys: rows that share a key, null included, are linked by their own texts only, and of rows
+    equal in key and text one stays.  Rows without words are in no group and stay.
+    """
+    stage = Stage(documents.sparkSession, "deduplicated")
+    row = row_identity(key, text)
+    rows = documents.select(row.alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    judged = near_duplicates(rows.select("row", "text"), key="row", **options).filter("n_shingles > 0")
+    judged = stage.write(judged.groupBy("row").agg(F.min("component_id").alias("component"),
+                                                   F.count("*").alias("copies")), "judged")
+    groups = judged.groupBy("component").agg(F.sum("copies").alias("n")).filter("n > 1").select("component")
+    members = stage.write(judged.join(stage.write(groups, "groups"), "component"), "members")
+    first = (rows.select("row", "id").join(members.select("row", "component"), "row").groupBy("component")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")))
+    keepers = stage.write(members.join(first.select(F.col("first.row").alias("row")), "row", "left_semi"), "keepers")
+    single = without(documents, row, members.join(keepers.filter("copies = 1"), "row", "left_anti").select("row"))
+    # written first, so that a row with many copies is counted per task before it is shuffled
+    equal = stage.write(documents.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+                                         .alias("record"))
+                        .join(keepers.filter("copies > 1").select("row"), "row", "left_semi"), "equal")
+    return single.union(equal.groupBy("row").agg(F.min("record").alias("record")).select("record.*"))

@@ -485,6 +485,22 @@ def test_pipeline(spark, sf, small):
     assert {r["doc_id"] for r in final.collect()} == set(after) <= set(texts)
 
 
+def test_stages_judge_rows_not_ids(spark):
+    importable_on_workers(spark)
+    leak = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10"
+    other = " ".join(f"o{i}" for i in range(100))
+    given = [(None, BASE), (None, leak + " and more"), (None, other), (None, other), (None, None), (5, "clean text"),
+             (5, "before " + leak), (7, BASE + " tail"), (7, "its own words only here"), (8, other + " x"), (6, leak),
+             (9, ""), (9, ""), (3, "said twice"), (3, "said twice")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    clean = Counter((r["doc_id"], r["text"]) for r in op1.clean_rows(df, bench).collect())
+    assert clean == Counter(r for r in given if leak not in (r[1] or ""))
+    kept = Counter((r["doc_id"], r["text"]) for r in op3.deduplicated(df).collect())
+    gone = Counter([(None, BASE), (None, other), (None, other), (3, "said twice"), (6, leak)])      # 6 is near 5
+    assert kept == Counter(given) - gone
+
+
 def test_stages_on_an_empty_table(spark, sf):
     importable_on_workers(spark)
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
