@@ -10,9 +10,13 @@ The items are the stated query set: they are read in blocks of at most ``BLOCK_C
 documents per block, so what is broadcast has a fixed bound whatever the size of the benchmark.  Documents are never
 shuffled: every task runs its texts through the automaton, and hits leave it only after verification.
 
-Edge cases: null or empty items, and items of fewer than ``MIN_WORDS`` words after normalising, match nothing (they are
-too short to tell a leak from chance); null or empty texts contain nothing; repeated rows each report their own hits;
-items with equal text are matched once and reported under each id; extra columns are ignored.
+Every item with a letter or digit is matched.  One that is too short for edits (a budget of 0) and has fewer than
+``MIN_WORDS`` words must stand in the text exactly, from word boundary to word boundary; scripts written without spaces
+have one beside each character.
+
+Edge cases: null items and items without a letter or digit match nothing; null or empty texts contain nothing; repeated
+rows each report their own hits; items with equal text are matched once and reported under each id; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ MIN_PIECE = 12           # shortest piece; the budget of a short item is lowered
 BLOCK_CHARS = 8_000_000  # characters of items per broadcast block
 
 _NOT_WORD = re.compile(r"[\W_]+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+                       "\U00020000-\U0003ffff]")
 _AUTOMATA: dict[str, tuple] = {}
 
 
@@ -53,6 +60,12 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def boundary(text: str, at: int) -> bool:
+    """Whether a word may begin or end at a place of a normalised text."""
+    beside = text[max(0, at - 1): at + 1]
+    return at in (0, len(text)) or " " in beside or bool(_UNSPACED.search(beside))
+
+
 def masks(pattern: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -84,12 +97,13 @@ def myers(pattern_masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, at
 
 
-def automaton(items: dict[str, list[int]], share: float) -> tuple:
-    """Automaton over the pieces of normalised items: piece -> [(item number, offset)]; items as (text, budget, masks)."""
+def automaton(items: dict[str, list[int]], share: float, min_words: int = MIN_WORDS) -> tuple:
+    """Automaton over the pieces of normalised items: piece -> [(item number, offset)]; items as (text, budget, masks,
+    ids, whether only whole words match)."""
     table, found = [], {}
     for text in sorted(items):
         k = budget(text, share)
-        table.append((text, k, masks(text), items[text]))
+        table.append((text, k, masks(text), items[text], not k and len(text.split()) < min_words))
         for offset, piece in pieces(text, k):
             found.setdefault(piece, []).append((len(table) - 1, offset))
     machine = ahocorasick.Automaton()
@@ -109,6 +123,8 @@ def matches(text: str, machine, table) -> list[tuple[int, int, int]]:
         for number, offset in places:
             item, k = table[number][0], table[number][1]
             begin = end + 1 - length - offset           # where the item would start without edits
+            if table[number][4] and not (boundary(text, begin) and boundary(text, end + 1)):
+                continue
             a, b = max(0, begin - k), min(len(text), begin + len(item) + k)
             runs = spans.setdefault(number, [])
             if runs and a <= runs[-1][1] and runs[-1][0] <= b:
@@ -117,7 +133,7 @@ def matches(text: str, machine, table) -> list[tuple[int, int, int]]:
                 runs.append([a, b])
     out = []
     for number, runs in spans.items():
-        item, k, pattern, _ = table[number]
+        item, k, pattern = table[number][:3]
         best, places = len(item) + 1, 0
         for a, b in runs:
             if b - a < len(item) - k:
@@ -152,16 +168,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc
         items: dict[str, list] = {}
         for row in given.filter(F.col("block") == block).select("i", "t").toLocalIterator():
             clean = normalise(row["t"])
-            if len(clean.split()) >= min_words:
+            if clean:
                 items.setdefault(clean, []).append(row["i"])
         if not items and out is not None:
             continue
         shared = spark.sparkContext.broadcast(items)
 
-        name = hashlib.sha256(repr((sorted(items.items()), share)).encode()).hexdigest()
+        name = hashlib.sha256(repr((sorted(items.items()), share, min_words)).encode()).hexdigest()
 
         def run(batches, shared=shared, name=name):
-            machine, table = _machine(shared, name, share)
+            machine, table = _machine(shared, name, share, min_words)
             for batch in batches:
                 hits = [(k, i, d, n) for k, t in zip(batch.column("k").to_pylist(), texts_of(batch))
                         for number, d, n in matches(normalise(t), machine, table) for i in table[number][3]]
@@ -180,11 +196,11 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {"string": pa.string(), "int": pa.int32()}.get(kind.simpleString(), pa.int64())
 
 
-def _machine(shared, name: str, share: float) -> tuple:
+def _machine(shared, name: str, share: float, min_words: int) -> tuple:
     """The block's automaton, built once per Python worker."""
     if name not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[name] = automaton(shared.value, share)
+        _AUTOMATA[name] = automaton(shared.value, share, min_words)
     return _AUTOMATA[name]
 
 

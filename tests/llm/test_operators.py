@@ -82,6 +82,17 @@ def test_op1_edges(spark, docs, none):
     assert Counter(r["doc_id"] for r in rows(kept)) == Counter([4, 5, 6, 7, 9, 9, 10, 11, 13])
 
 
+def test_op1_matches_short_and_unspaced_items(spark):
+    importable_on_workers(spark)
+    items = [(1, "What is the capital of France?"), (2, "如果一个三角形的两条边相等，那么它叫做什么三角形？"), (3, "art"), (4, "?!"),
+             (5, "เมืองหลวงของประเทศไทยคืออะไร")]
+    texts = [(1, "Question: what is the capital of France? Paris."), (2, "练习：如果一个三角形的两条边相等，那么它叫做什么三角形？等腰"),
+             (3, "an art of parts"), (4, "parts of a start ?!"), (5, "ตอบ" + items[4][1] + "ครับ")]
+    found = op1.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["places"]) for r in rows(found)} == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (5, 5, 1)}
+
+
 def test_op1_finds_planted_items(spark, sf, small):
     items = {r["item_id"]: op1.normalise(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     found = {(r["doc_id"], r["item_id"]): r for r in rows(QUERIES["op1_decontaminate"](spark, sf))}
