@@ -1,10 +1,11 @@
 """License scan by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text (lines of more than ``BLOCK_WORDS`` words are cut into overlapping windows).  A template is
-met by a block that contains at least ``CONTAINMENT`` of its distinct words.  The join finds every such pair exactly
-without comparing all: words are put in one global order, rarest in the corpus first; at least one of a template's
-|T| - need + 1 rarest words (its prefix) must be in the block; the block must have at least ``need`` template words
-(length); and from the first common word on, both sides must have enough words left (position).  Survivors are verified.
+Blocks are the windows of ``BLOCK_WORDS`` words over the whole text, whatever its line ends, that overlap by half and at
+least by the longest template, and the lines of the text (long ones cut in the same way).  A template is met by a block
+that contains at least ``CONTAINMENT`` of its distinct words.  The join finds every such pair exactly without comparing
+all: words are put in one global order, rarest in the corpus first; at least one of a template's |T| - need + 1 rarest
+words (its prefix) must be in the block; the block must have at least ``need`` template words (length); and from the
+first common word on, both sides must have enough words left (position).  Survivors are verified.
 
 The order comes from document frequencies over the whole corpus (one scan with counts summed per task).  The templates
 are the fixed side: their number is a constant of the module or the caller's list, checked against ``MAX_TEMPLATES``.
@@ -113,7 +114,7 @@ class TemplateIndex:
 
 
 def blocks(words: list[bytes], size: int = BLOCK_WORDS) -> list[list[bytes]]:
-    """A line as one block, or as windows of ``size`` words that overlap by half."""
+    """A sequence of words as one block, or as windows of ``size`` words that overlap by half."""
     if len(words) <= size:
         return [words]
     step = size // 2
@@ -147,6 +148,7 @@ def license_scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", phra
     phrases = [(b" " + b" ".join(clean(p).split()) + b" ", label) for p, label in (phrases or PHRASES)]
     templates = templates or TEMPLATES
     index = TemplateIndex(templates, frequencies(df, templates, text), containment)
+    size = max(BLOCK_WORDS, 2 * max(len(clean(t).split()) for t, _ in templates))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")],
                            T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()),
@@ -158,12 +160,13 @@ def license_scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", phra
         starts, base = base_places(words, phrases)
         found: dict[str, float] = {}
         if not index.prefix_words.isdisjoint(words):
+            found_blocks = blocks(words, size)
             for line in data.split(b"\n"):
-                line_words = line.split()
-                if not index.prefix_words.isdisjoint(line_words):
-                    for block in blocks(line_words):
-                        for label, share in index.met(block).items():
-                            found[label] = max(found.get(label, 0.0), share)
+                found_blocks += blocks(line.split())
+            for block in found_blocks:
+                if not index.prefix_words.isdisjoint(block):
+                    for label, share in index.met(block).items():
+                        found[label] = max(found.get(label, 0.0), share)
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
                 ",".join(sorted(base)), ",".join(sorted(base | set(found))), max(found.values(), default=0.0))
 

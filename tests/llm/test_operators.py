@@ -282,6 +282,21 @@ def test_op6(spark, docs, none, sf, small):
     assert op6.license_scan(none).count() == 0
 
 
+def test_op6_templates_wrapped_over_lines(spark):
+    importable_on_workers(spark)
+    pad = " ".join(f"p{i}" for i in range(90))
+    made = [(1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+            (2, f"{pad}\n{pad} This work is licensed under the GNU General\nPublic License version 3\n{pad}", "gpl-3"),
+            (3, "\n".join("this source code form is subject to the terms of the mozilla public license".split()), "mpl"),
+            (4, f"this work is licensed under the GNU General\n{pad}\nPublic License version 3", "")]
+    df = spark.createDataFrame([(d, t) for d, t, _ in made], "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in rows(op6.license_scan(df))}
+    assert found == {d: (label, 1.0 if label else 0.0) for d, _, label in made}
+    long = " ".join(f"l{i}" for i in range(100))
+    wrapped = spark.createDataFrame([(1, f"{pad}\n" + long.replace(" l50", "\nl50"))], "doc_id long, text string")
+    assert rows(op6.license_scan(wrapped, templates=[(long, "long")]))[0]["labels"] == "long"
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 URLS = [
