@@ -17,6 +17,7 @@ from . import (
     op8_bpe,
     op9_shards,
     op10_suffix,
+    op11_filter_audit,
 )
 from .common import importable_on_workers
 
@@ -75,6 +76,12 @@ def op10_suffix_dedup(spark, sf_dir):
     return op10_suffix.repeats(*_tables(spark, sf_dir, DOCUMENTS))
 
 
+def op11_filter_audit_orders(spark, sf_dir):
+    """Counts per part, filter order and step."""
+    return op11_filter_audit.filter_audit(*_tables(spark, sf_dir, ("documents", "doc_id", "text", "source"),
+                                                   ("labels", "doc_id", "quality", "toxic")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate_items,
     "op2_quality_rules": op2_quality_rules,
@@ -86,4 +93,5 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_shard_shuffle": op9_shard_shuffle,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit_orders,
 }
