@@ -18,6 +18,7 @@ from . import (
     op9_shards,
     op10_suffix,
     op11_filter_audit,
+    op12_simhash,
 )
 from .common import importable_on_workers
 
@@ -82,6 +83,10 @@ def op11_filter_audit_orders(spark, sf_dir):
                                                    ("labels", "doc_id", "quality", "toxic")))
 
 
+def op12_simhash_groups(spark, sf_dir):
+    return op12_simhash.simhash_groups(*_tables(spark, sf_dir, DOCUMENTS))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate_items,
     "op2_quality_rules": op2_quality_rules,
@@ -94,4 +99,5 @@ QUERIES = {
     "op9_shard_shuffle": op9_shard_shuffle,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit_orders,
+    "op12_simhash": op12_simhash_groups,
 }
