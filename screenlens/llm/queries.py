@@ -19,6 +19,7 @@ from . import (
     op10_suffix,
     op11_filter_audit,
     op12_simhash,
+    op13_spelling,
 )
 from .common import importable_on_workers
 
@@ -87,6 +88,11 @@ def op12_simhash_groups(spark, sf_dir):
     return op12_simhash.simhash_groups(*_tables(spark, sf_dir, DOCUMENTS))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    """Words with their form and root."""
+    return op13_spelling.variant_groups(*_tables(spark, sf_dir, DOCUMENTS))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate_items,
     "op2_quality_rules": op2_quality_rules,
@@ -100,4 +106,5 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit_orders,
     "op12_simhash": op12_simhash_groups,
+    "op13_spelling": op13_spelling_variants,
 }
