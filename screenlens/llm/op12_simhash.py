@@ -13,7 +13,8 @@ fingerprints link if they differ in at most ``RADIUS`` bits.
 * Keys with more members (a cloud of near copies) form no pairs.  Their members are posted under every reference within
   RADIUS / 2 of them, the entries of an unbounded pivot table that are small: two fingerprints are within RADIUS exactly
   if they share such a reference (a point half way between them), and all members of a reference are linked with each
-  other, so each is linked to the least.  This costs the same 2,081 entries a fingerprint however many members meet.
+  other.  This costs the same 2,081 entries a fingerprint however many members meet.  A fingerprint is first linked to
+  the least one it meets; references whose members are then still apart link the components they span.
 
 Copies collapse to one fingerprint first; links become components; every row then gets its fingerprint's component.
 
@@ -193,11 +194,18 @@ def hot_links(members: DataFrame, stage: Stage, radius: int = RADIUS) -> DataFra
                                                   pa.array(np.repeat(some, len(near)).view(np.int64))],
                                                  names=["reference", "fp"])
 
-    entries = members.repartition("fp").mapInArrow(run, schema)
     # the members of a reference lie in a ball around it: 2,081 at most
-    met = entries.groupBy("reference").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
-    return stage.write(pairs, "hot-links")
+    met = stage.write(members.repartition("fp").mapInArrow(run, schema).groupBy("reference")
+                      .agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1), "references")
+    # one link a fingerprint settles most references; only those that still span components give further links
+    entries = met.select("reference", F.array_min("fps").alias("least"), F.explode("fps").alias("fp"))
+    star = stage.write(entries.groupBy("fp").agg(F.min("least").alias("b")).filter("b <> fp")
+                       .select(F.col("fp").alias("a"), "b"), "star-links")
+    settled = components(star, stage, "star-components").withColumnRenamed("node", "fp")
+    spans = (entries.join(settled, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+             .groupBy("reference").agg(F.collect_set("component").alias("found")).filter(F.size("found") > 1))
+    rest = spans.select(F.array_min("found").alias("a"), F.explode("found").alias("b")).filter("a <> b").distinct()
+    return star.union(stage.write(rest, "rest-links"))
 
 
 def simhash_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
