@@ -1,7 +1,7 @@
 """Audit of how five text filters interact, from a sparse document-term matrix.
 
 The matrix: each task counts the words of its documents against a dictionary of its own shard (about ``SHARD_BYTES`` of
-text, or one longer document); the shards' words are made distinct over the whole table and numbered once, and each
+text, or one longer document); the shards' words meet once, a number is given to each word of the whole table, and each
 shard's columns are rewritten to those global codes.  A shard is then a CSR block (row starts, global column codes,
 counts): a row's sum is its number of words, its stored entries are its distinct words.
 
@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from screenlens.operators.ids import global_row_number
+from pyspark.sql.window import Window
 
 from .common import Stage, slices
 
@@ -121,6 +120,37 @@ def counted(documents: DataFrame, *, key: str = "doc_id", text: str = "text", pa
                             F.coalesce(F.col(part), F.lit("")).alias("part")).mapInArrow(run, schema)
 
 
+def global_codes(in_shards: DataFrame, stage: Stage) -> DataFrame:
+    """shard, at, code: the words of all shards (shard, at, word) numbered from 0 without gaps.
+
+    A word's rows (one per shard that has it) meet in one partition, which numbers its words in order; the partitions'
+    word counts, one row each, then give every partition its first number.
+    """
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("at", T.IntegerType()),
+                           T.StructField("slot", T.IntegerType()), T.StructField("own", T.LongType())])
+
+    def run(batches):
+        slot, last, number = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            word = batch.column("word")
+            if not len(word):
+                continue
+            fresh = np.ones(len(word), np.int64)
+            fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            fresh[0] = last is None or word[0].as_py() != last
+            own = number + np.cumsum(fresh)
+            last, number = word[-1].as_py(), int(own[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shard"), batch.column("at"), pa.array(np.full(len(word), slot, np.int32)), pa.array(own)],
+                names=schema.names)
+
+    numbered = stage.write(in_shards.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema), "codes")
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = (numbered.groupBy("slot").agg((F.max("own") + 1).alias("words"))
+             .select("slot", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")))
+    return numbered.join(F.broadcast(first), "slot").select("shard", "at", (F.col("first") + F.col("own")).alias("code"))
+
+
 def csr_block(documents: pa.Table, dictionary: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard as CSR: row starts, global column codes, counts.  ``dictionary`` maps the shard's columns (at) to codes."""
     local = documents.column("columns").combine_chunks()
@@ -146,11 +176,7 @@ def document_facts(documents: DataFrame, stage: Stage, *, key: str = "doc_id", t
                    part: str = "source", min_words: int = MIN_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc, part, digest of the text, n_words, n_distinct, failed (bits 1, 2, 4, 8 for A to D); one row per row."""
     local = stage.write(counted(documents, key=key, text=text, part=part, shard_bytes=shard_bytes), "counted")
-    in_shards = local.select("shard", F.posexplode("words").alias("at", "word"))
-    words = stage.write(in_shards.select("word").distinct(), "words")
-    dictionary = stage.write(global_row_number(words, ["word"], out="code").select("word", F.col("code") - 1), "dictionary"
-                             ).toDF("word", "code")
-    coded = in_shards.join(dictionary, "word").select("shard", "at", "code")
+    coded = global_codes(local.select("shard", F.posexplode("words").alias("at", "word")), stage)
     rows = stage.read("counted", local.schema).filter("digest is not null").drop("words")
     schema = T.StructType([rows.schema["doc"], rows.schema["part"], rows.schema["digest"],
                            T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType()),
