@@ -45,7 +45,7 @@ RADIUS = 4              # bits
 PIVOTS = 32
 PIVOT_SEED = 12
 COLD = 64               # members of a key whose pairs are compared
-MIN_BLOCKS, MAX_BLOCKS = RADIUS + 2, 16
+MAX_BLOCKS = 16
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> Iterator[list[bytes]]:
