@@ -8,8 +8,8 @@ aggregation; everything after that runs on a few rows per group.
 
 The bootstrap uses *Poisson* resampling: replicate ``r`` gives row ``i``
 weight ``w ~ Poisson(1)`` drawn from a portable hash of ``(r, i)``, so a
-replicate needs neither a dense row index nor a join.  Replicates are
-generated inside each task and aggregated straight to replicate cells.
+replicate needs neither a dense row index nor a join.  The weights of a
+batch of rows are one matrix, reduced inside the task (``resample``).
 The same hash gives the same resample for every model and metric (paired
 bootstrap), like the original's fixed seed.
 """
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import portable_hash
 from ..sources.tables import reliable_checkpoint
+from .resample import auc_pairs, auc_replicates, auc_segments, replicate_cells, weight_maker
 
 CELL_METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "specificity_macro", "npv_macro",
                 "mcc", "kappa"]
+ALL_METRICS = [*CELL_METRICS, "brier", "auc_ovo_macro"]
 
 
 def _g(group: Sequence[str]) -> list[Column]:
@@ -96,25 +98,11 @@ def brier(pred: DataFrame, probs: Sequence[str], group: Sequence[str] = ("model"
 def auc_ovo(pred: DataFrame, probs: Sequence[str], group: Sequence[str] = ("model",), y: str = "y") -> DataFrame:
     """Macro one-vs-one AUC (Hand & Till), exact with mid-ranks for ties.
 
-    Each row is emitted once per ordered class pair it belongs to; positives
-    and negatives are counted per distinct score (partial aggregation), and
-    the Mann-Whitney statistic comes from cumulative negative counts over the
-    distinct scores of each (group, pair).
+    Rows are counted per distinct score, range-partitioned by score and reduced to one stretch per partition; only the
+    stretches are ordered (``resample.auc_segments``).
     """
-    k = len(probs)
-    pairs = [(a, b) for a in range(k) for b in range(k) if a != b]
-    em = F.array(*[F.when((F.col(y) == a) | (F.col(y) == b),
-                          F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(probs[a]).alias("score"),
-                                   (F.col(y) == a).alias("pos"))) for a, b in pairs])
-    long = pred.select(*group, F.explode(F.array_compact(em)).alias("e")).select(*group, "e.*")
-    g = list(group) + ["a", "b"]
-    by_score = long.groupBy(*g, "score").agg(F.sum(F.col("pos").cast("double")).alias("np"),
-                                            F.sum((~F.col("pos")).cast("double")).alias("nn"))
-    w = Window.partitionBy(*g).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("neg_below", F.coalesce(F.sum("nn").over(w), F.lit(0.0)))
-    per_pair = ranked.groupBy(*g).agg(
-        (F.sum(F.col("np") * (F.col("neg_below") + 0.5 * F.col("nn"))) / (F.sum("np") * F.sum("nn"))).alias("auc"))
-    return per_pair.groupBy(*group).agg(F.avg("auc").alias("auc_ovo_macro"))
+    pairs = auc_pairs(auc_segments(pred, probs, group, y, None, None), group)
+    return pairs.groupBy(*group).agg(F.avg("auc").alias("auc_ovo_macro"))
 
 
 # ------------------------------------------------------------------ bootstrap
@@ -154,41 +142,29 @@ def with_mix_uniform(df: DataFrame, key: Column, draw: Column, out: str = "u", s
     return df.drop("__x1", "__x2")
 
 
-def bootstrap_replicates(pred: DataFrame, replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = C.SEED,
-                         row_key: str = "row_id") -> DataFrame:
-    """Explode each row into one Poisson weight per replicate (generated in-task).
-
-    Zero weights are kept: they add nothing to the sums, and a filter on the
-    weight would be pushed below the mixing projections and inline them.
-    """
-    staged = pred.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    staged = with_mix_uniform(staged, F.col(row_key), F.col("rep"), "__u", seed)
-    return staged.withColumn("w", poisson_weight(F.col("__u"))).drop("__u")
-
-
 def bootstrap_ci(pred: DataFrame, probs: Sequence[str], group: Sequence[str] = ("model",),
                  replicates: int = C.BOOTSTRAP_REPLICATES, alpha: float = C.CI_ALPHA, seed: int = C.SEED,
                  row_key: str = "row_id") -> DataFrame:
-    """Long table (group..., metric, estimate, boot_mean, lo, hi) for the cell metrics and Brier."""
+    """Long table (group..., metric, estimate, boot_mean, lo, hi, n_replicates) for all ten metrics.
+
+    Replicates in which a metric is undefined are skipped, as the count shows.
+    """
     g = list(group)
     k = len(probs)
     point_ct = class_table(confusion_cells(pred, g), g)
-    point = summary_metrics(point_ct, g).join(brier(pred, probs, g), g)
-    reps = bootstrap_replicates(pred, replicates, seed, row_key)
+    point = summary_metrics(point_ct, g).join(brier(pred, probs, g), g).join(auc_ovo(pred, probs, g), g)
     row_brier = sum(((F.col(c) - (F.col("y") == i).cast("double")) ** 2 for i, c in enumerate(probs)), F.lit(0.0)) / k
     gr = g + ["rep"]
-    # replicate cells are tiny (groups x replicates x K^2) and feed several branches:
-    # materialise them once in the checkpoint folder instead of re-running the explode per branch
-    rcells = reps.groupBy(*gr, "y", "p").agg(F.sum("w").cast("double").alias("n"),
-                                            F.sum(F.col("w") * row_brier).alias("bw"))
-    rcells = reliable_checkpoint(rcells)
+    weights = weight_maker(replicates, seed, poisson_thresholds())
+    # replicate cells are tiny (groups x replicates x K^2) and feed several branches: written once
+    rcells = reliable_checkpoint(replicate_cells(pred, g, "y", "p", row_brier, row_key, weights))
     rep_metrics = summary_metrics(class_table(rcells.select(*gr, "y", "p", "n"), gr), gr)
     rep_brier = rcells.groupBy(*gr).agg((F.sum("bw") / F.sum("n")).alias("brier"))
-    rep_all = rep_metrics.join(rep_brier, gr)
-    names = CELL_METRICS + ["brier"]
-    long_rep = rep_all.unpivot(gr, names, "metric", "value").where(F.col("value").isNotNull())
+    rep_auc = auc_replicates(pred, probs, g, "y", row_key, weights)
+    rep_all = rep_metrics.join(rep_brier, gr).join(rep_auc, gr)
+    long_rep = rep_all.unpivot(gr, ALL_METRICS, "metric", "value").where(F.col("value").isNotNull())
     stats = long_rep.groupBy(*g, "metric").agg(
         F.avg("value").alias("boot_mean"), F.percentile("value", alpha / 2).alias("lo"),
         F.percentile("value", 1 - alpha / 2).alias("hi"), F.count(F.lit(1)).alias("n_replicates"))
-    long_point = point.unpivot(g, names, "metric", "estimate")
+    long_point = point.unpivot(g, ALL_METRICS, "metric", "estimate")
     return long_point.join(stats, g + ["metric"], "left")

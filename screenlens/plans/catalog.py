@@ -349,7 +349,7 @@ def _all_metrics(pred: DataFrame) -> DataFrame:
     return s.join(M.brier(pred, PROBS), "model").join(M.auc_ovo(pred, PROBS), "model")
 
 
-ALL_METRICS = M.CELL_METRICS + ["brier", "auc_ovo_macro"]
+ALL_METRICS = M.ALL_METRICS
 
 
 @query("metrics_all")

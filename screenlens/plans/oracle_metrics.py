@@ -96,13 +96,28 @@ select * from (
 where w > 0"""
 _RCELLS = "select model, rep, y, p, cast(sum(w) as double) as n, sum(w * bw) as bw from (" \
           f"select *, {BRIER_ROW} as bw from reps) z group by all"
+_RAUC = """
+select model, rep, case when count(auc) = 6 then avg(auc) end as auc_ovo_macro from (
+  select model, rep, a, b, case when sum(np) * sum(nn) > 0 then sum(np * (neg_below + 0.5 * nn)) / (sum(np) * sum(nn)) end
+         as auc from (
+    select *, coalesce(sum(nn) over (partition by model, rep, a, b order by score
+                                     rows between unbounded preceding and 1 preceding), 0.0) as neg_below from (
+      select model, rep, a, b, case a when 0 then p0 when 1 then p1 else p2 end as score,
+             sum(case when y = a then w else 0.0 end) as np, sum(case when y = a then 0.0 else w end) as nn
+      from (select model, rep, y, p0, p1, p2, sum(w) as w from reps group by all) c
+        cross join (values (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)) pr(a, b) where y in (a, b)
+      group by all) bs) rk
+  group by all) pp
+group by all"""
 _METRICS8 = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "specificity_macro", "npv_macro", "mcc", "kappa"]
 _REP_LONG = " union all ".join(
     f"select model, rep, '{m}' as metric, {m} as value from sm_rcells" for m in _METRICS8) + \
-    " union all select model, rep, 'brier', sum(bw) / sum(n) from rcells group by model, rep"
+    " union all select model, rep, 'brier', sum(bw) / sum(n) from rcells group by model, rep" \
+    " union all select model, rep, 'auc_ovo_macro', auc_ovo_macro from rauc"
 _POINT_LONG = " union all ".join(
     f"select model, '{m}' as metric, {m} as estimate from sm_cells" for m in _METRICS8) + \
-    " union all select model, 'brier', brier from brier"
+    " union all select model, 'brier', brier from brier" \
+    " union all select model, 'auc_ovo_macro', auc_ovo_macro from auc"
 
 oracle("bootstrap_ci", with_views("""
 select p.model, p.metric, round(estimate, 6) as estimate, round(boot_mean, 6) as boot_mean, round(lo, 6) as lo,
@@ -111,7 +126,7 @@ from point p left join (
   select model, metric, avg(value) as boot_mean, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi,
          count(*) as n_replicates
   from rep_long where value is not null group by all) s on p.model = s.model and p.metric = s.metric""",
-    **_base, brier=BRIER, reps=_REPS, rcells=_RCELLS, **class_sql("rcells", ["model", "rep"]),
+    **_base, brier=BRIER, auc=AUC, reps=_REPS, rcells=_RCELLS, **class_sql("rcells", ["model", "rep"]), rauc=_RAUC,
     rep_long=_REP_LONG, point=_POINT_LONG))
 
 _IDX = "case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end"

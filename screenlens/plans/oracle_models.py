@@ -24,14 +24,13 @@ select model, round(accuracy, 6) as accuracy, round(f1_macro, 6) as f1_macro, tr
 _REPS100 = OM._REPS.replace("range(500)", f"range({K.CI_REPLICATES})")
 _BOUNDS = ", ".join(f"max(case when metric = '{m}' then {b} end) as {m}_{b}" for m in K.CARD_METRICS for b in ("lo", "hi"))
 _CARD = f"""
-select p.*, {_TIME(K.TRAIN_SECONDS, "p.model")} as train_seconds, b.* exclude (model),
-       cast(null as double) as auc_ovo_macro_lo, cast(null as double) as auc_ovo_macro_hi
+select p.*, {_TIME(K.TRAIN_SECONDS, "p.model")} as train_seconds, b.* exclude (model)
 from (select * from sm_cells join auc using (model) join brier using (model)) p left join (
   select model, {_BOUNDS} from (
     select model, metric, quantile_cont(value, {C.CI_ALPHA / 2}) as lo, quantile_cont(value, {1 - C.CI_ALPHA / 2}) as hi
     from rep_long where value is not null group by all) s group by model) b on p.model = b.model"""
 _CARD_VIEWS = dict(**OM._base, auc=OM.AUC, brier=OM.BRIER, reps=_REPS100, rcells=OM._RCELLS, **OM.class_sql("rcells", ["model", "rep"]),
-                   rep_long=OM._REP_LONG, card=_CARD)
+                   rauc=OM._RAUC, rep_long=OM._REP_LONG, card=_CARD)
 
 _COMPOSITE = "(" + " + ".join(C.RADAR_METRICS) + f") / {len(C.RADAR_METRICS)}"
 oracle("model_ranking", with_views(f"""

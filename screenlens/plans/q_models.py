@@ -17,7 +17,7 @@ from .catalog import _label_codes, query
 TRAIN_SECONDS = {"m0": 12.5, "m1": 3.25, "m2": 0.75}
 RETRAINED = {"m1": 4.0, "m2": 0.75}
 CI_REPLICATES = C.BOOTSTRAP_REPLICATES
-CARD_METRICS = [*M.CELL_METRICS, "brier"]
+CARD_METRICS = M.ALL_METRICS
 LI_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price", "charge", "line_no"]
 ATTR_FEATURES = [*LI_FEATURES, "discount_sum", "tax_sum"]       # more than the eight that are kept per row
 COEF = {"A": [0.8, -0.2, 0.5, 0.1, -0.3, 0.05, 0.2, 0.15, -0.25], "N": [-0.4, 0.6, -0.1, 0.3, 0.2, -0.5, 0.1, -0.35, 0.45],
@@ -32,7 +32,7 @@ def _r6(c: str) -> F.Column:
 
 
 def scorecard(spark: SparkSession, sf: str, times: dict[str, float] = TRAIN_SECONDS) -> DataFrame:
-    """SCORECARD: point metrics per model, bootstrap bounds for the cell metrics, training seconds."""
+    """SCORECARD: point metrics per model, bootstrap bounds of all ten, training seconds."""
     pred = X.pred(spark, sf)
     point = M.summary_metrics(M.class_table(M.confusion_cells(pred))).join(M.auc_ovo(pred, ["p0", "p1", "p2"]), "model")
     point = point.join(M.brier(pred, ["p0", "p1", "p2"]), "model")
@@ -40,9 +40,7 @@ def scorecard(spark: SparkSession, sf: str, times: dict[str, float] = TRAIN_SECO
     bounds = ci.groupBy("model").pivot("metric", CARD_METRICS).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     bounds = bounds.select("model", *[F.col(f"{m}_{b}") for m in CARD_METRICS for b in ("lo", "hi")])
     tmap = F.create_map(*[x for k, v in times.items() for x in (F.lit(k), F.lit(float(v)))])
-    card = point.join(bounds, "model", "left").withColumn("train_seconds", tmap[F.col("model")])
-    return card.withColumn("auc_ovo_macro_lo", F.lit(None).cast("double")).withColumn(
-        "auc_ovo_macro_hi", F.lit(None).cast("double"))
+    return point.join(bounds, "model", "left").withColumn("train_seconds", tmap[F.col("model")])
 
 
 @query("scorecard_upsert")
