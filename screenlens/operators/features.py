@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import norm_ws, portable_hash
+from ..functions.text import portable_hash
 from .ids import group_row_number
+from .serving import category_value, fit_vocabulary  # noqa: F401  (vocabularies are part of the serving plan)
 
 
 def q(c: str) -> Column:
@@ -40,34 +41,11 @@ def standard_scale(df: DataFrame, stats: Mapping[str, tuple[float, float]], suff
 
 # ------------------------------------------------------------------ M2 label encoding
 
-def category_value(c: str) -> Column:
-    """A category as it is looked up: white space normalised, null kept."""
-    return F.when(F.col(c).isNotNull(), norm_ws(c)).alias(c)
-
-
-def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value, code): sorted distinct non-null values per column, code = position (0-based)."""
-    long = df.select(*[category_value(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
-    distinct = long.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-
-
-def encode(df: DataFrame, key: Sequence[str], columns: Sequence[str], vocab: DataFrame,
-           fallbacks: Sequence[str] | None = None) -> DataFrame:
-    """Long (key..., column_name, value, code).  With ``fallbacks`` an unseen value takes the code of the first
-    fallback present in that column's vocabulary, else 0 (the safe serving encoder)."""
-    long = df.select(*key, *[category_value(c) for c in columns]).unpivot(list(key), list(columns), "column_name",
-                                                                          "value")
-    out = long.join(vocab, ["column_name", "value"], "left")
-    if fallbacks is None:
-        return out
-    pri = F.create_map(*[x for i, fb in enumerate(fallbacks) for x in (F.lit(fb), F.lit(i))])
-    fb = (vocab.where(F.col("value").isin(*fallbacks)).select("column_name", "code", pri[F.col("value")].alias("pri"))
-          .groupBy("column_name").agg(F.min_by("code", "pri").alias("fallback_code")))
-    return out.join(F.broadcast(fb), "column_name", "left").select(
-        *key, "column_name", "value",
-        F.coalesce(F.col("code"), F.col("fallback_code"), F.lit(0)).cast("int").alias("code"))
+def encode(df: DataFrame, key: Sequence[str], columns: Sequence[str], vocab: DataFrame) -> DataFrame:
+    """Long (key..., column_name, value, code); null where the vocabulary lacks the value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), category_value(c).alias("value"))
+                                for c in columns]))
+    return df.select(*key, pairs.alias("p")).select(*key, "p.*").join(vocab, ["column_name", "value"], "left")
 
 
 # ------------------------------------------------------------------ M1 stratified split

@@ -1,14 +1,9 @@
-"""Cleaning and feature preparation as a two-phase fit -> transform.
+"""Cleaning and profiling decisions over wide, dirty tables.
 
-``fit_prep`` runs the data-dependent decisions as a few wide aggregate jobs
-(null counts, single-value test, convertibility share, hazard token
-frequencies) and returns a small, JSON-serialisable :class:`PrepPlan`.
-``apply_prep`` is then one lazy projection with no action, so serving a
-stream or a single record re-imposes the frozen schema instead of re-fitting
-(trap 6).
-
-Wide schemas (1,500+ columns) are aggregated in chunks of
-``CHUNK`` columns per job to stay inside codegen limits.
+The data-dependent decisions (null counts, single-value test, convertibility share, hazard token frequencies) are a few
+wide aggregate jobs, each over a chunk of ``CHUNK`` columns to stay inside codegen limits; ``fit_clean`` and ``fit_types``
+collect them in a small, JSON-serialisable :class:`PrepPlan`, and ``apply_clean`` and ``apply_types`` are lazy
+projections.  What a trained model freezes on top of that (vocabularies, fills, feature order) is ``serving.FeaturePlan``.
 """
 
 from __future__ import annotations
@@ -156,7 +151,7 @@ def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 @dataclass
 class PrepPlan:
-    """Frozen result of ``fit_prep``: plain data, JSON round-trips."""
+    """Frozen cleaning decisions: plain data, JSON round-trips."""
     dropped: dict[str, list[str]] = field(default_factory=dict)
     remaining: list[str] = field(default_factory=list)
     numeric_cols: list[str] = field(default_factory=list)

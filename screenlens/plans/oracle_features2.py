@@ -30,6 +30,43 @@ join (select record_id, {', '.join(f"max(case when column_name = '{c}' then code
             left join fb on l.column_name = fb.column_name) x group by record_id) e on n.record_id = e.record_id""",
     **_SAFE_VIEWS, along=_ALONG))
 
+# the stored plan: fills, parsed numbers, coded and uncoded categories, hazard tokens
+_PARSE = lambda t, c: f"coalesce(case when regexp_matches({t}, {_STRICT}) then try_cast(trim({t}) as double) end, 0.0) as {c}"
+
+
+def _filled(c: str) -> str:
+    if c.startswith("absent"):
+        return "'0'"
+    return f"coalesce({S.txt(c)}, {S.q(K.SERVE_FILLS[c])})" if c in K.SERVE_FILLS else S.txt(c)
+
+
+_SLONG = " union all ".join(f"select record_id, '{c}' as column_name, case when {c} is not null then {S.norm_ws(c)} end as value"
+                            f" from exam" for c in K.SERVE_CODED)
+_SERVE_VIEWS = dict(_SAFE_VIEWS, long=_SLONG)
+_STOKENS = "select record_id, list_transform(regexp_split_to_array(coalesce(exposure, ''), '[,、]'), lambda t: trim(t)) as toks from exam"
+_SERVED = f"""
+select e.record_id, {', '.join(_PARSE(_filled(c), c) for c in K.SERVE_NUMERIC)},
+       {', '.join(f"cast(c.{c} as double) as {c}" for c in K.SERVE_CODED)},
+       {_PARSE(S.norm_ws('dbp_result'), 'dbp_result')}, cast(0 as double) as absent_category,
+       {', '.join(f"cast(list_contains(toks, {S.q(t)}) as double) as hazard_{i}" for i, t in enumerate(K.FIXED_HAZARDS))}
+from exam e join stoks using (record_id) join (
+  select record_id, {', '.join(f"max(case when column_name = '{c}' then code end) as {c}" for c in K.SERVE_CODED)}
+  from (select record_id, l.column_name, coalesce(v.code, fb.fallback_code, 0) as code
+        from long l left join vocab v on l.column_name = v.column_name and l.value = v.value
+        left join fb on l.column_name = fb.column_name) x group by record_id) c using (record_id)"""
+oracle("serve_features", with_views(_SERVED, **_SERVE_VIEWS, stoks=_STOKENS))
+oracle("stream_features", with_views(_SERVED, **_SERVE_VIEWS, stoks=_STOKENS))
+
+_FEATURES = [*K.SERVE_NUMERIC, *K.SERVE_CATEGORICAL, *("hazard:" + t for t in K.FIXED_HAZARDS)]
+_NUMBERS = f"""select {', '.join(_PARSE(_filled(c), c) for c in K.SERVE_NUMERIC)} from exam
+where record_id in (select record_id from split where split = 'train')"""
+oracle("training_artefacts", with_views(f"""
+select 'split' as kind, split || ':' || y as name, cast(count(*) as double) as value from split group by split, y
+union all select 'vocabulary', column_name, cast(count(*) as double) from vocab group by column_name
+union all select 'feature', name, cast(position as double) from (values {', '.join(f"({S.q(f)}, {i})" for i, f in enumerate(_FEATURES))}) f(name, position)
+""" + "".join(f"union all select 'mean', '{c}', round(avg({c}), 6) from numbers union all select 'std', '{c}', round(stddev_pop({c}), 6) from numbers\n"
+             for c in K.SERVE_NUMERIC), **_SERVE_VIEWS, numbers=_NUMBERS))
+
 _P = 2147483647
 _KEY = "cast(label as varchar) || ':' || cast(j as varchar)"
 oracle("smote", f"""

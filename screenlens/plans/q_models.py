@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import retrieval as RV
 from ..functions.text import portable_hash
+from ..operators import serving as SV
 from ..sources import fixtures as X
-from .catalog import _label_codes, query
+from ..sources.tables import ensure_checkpoint_dir
+from ..streaming import stream as ST
+from .catalog import FIXED_HAZARDS, _label_codes, query
 
 # fixed fixture parameters: training times per model, linear model over lineitem features
 TRAIN_SECONDS = {"m0": 12.5, "m1": 3.25, "m2": 0.75}
@@ -149,17 +154,21 @@ def q_category_encode(spark: SparkSession, sf: str) -> DataFrame:
     return FE.encode(ex, ["record_id"], CAT_COLUMNS, vocab).select("record_id", "column_name", "code")
 
 
-def _train_vocab(spark: SparkSession, sf: str) -> DataFrame:
+def _train(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """EXAM, its split and its training side."""
     ex = X.exam(spark, sf)
-    train = ex.join(_split(spark, sf).where(F.col("split") == "train").select("record_id"), "record_id", "left_semi")
-    return FE.fit_vocabulary(train, CAT_COLUMNS)
+    split = _split(spark, sf).select("record_id", "y", "split")
+    return ex, split, ex.join(split.where(F.col("split") == "train").select("record_id"), "record_id", "left_semi")
 
 
 @query("safe_encode")
 def q_safe_encode(spark: SparkSession, sf: str) -> DataFrame:
-    ex = X.exam(spark, sf)
-    enc = FE.encode(ex, ["record_id"], CAT_COLUMNS, _train_vocab(spark, sf), fallbacks=C.ENCODE_FALLBACKS)
-    return enc.select("record_id", "column_name", "code")
+    ex, _, train = _train(spark, sf)
+    plan, vocabulary = SV.fit_plan(train, [], CAT_COLUMNS)
+    coded = SV.transform(ex, plan, ["record_id"], vocabulary)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("int").alias("code"))
+                               for c in CAT_COLUMNS]))
+    return coded.select("record_id", each.alias("c")).select("record_id", "c.*")
 
 
 ALIGN_NUMERIC = ["age", "hearing_high_result", "hearing_speech_result", "dbp_result", "absent_numeric"]
@@ -169,20 +178,66 @@ ALIGN_CATEGORICAL = ["job", "gender", "chest_judgment", "absent_category"]
 @query("align_features")
 def q_align_features(spark: SparkSession, sf: str) -> DataFrame:
     """Impose a frozen model schema: add absent columns (0 / ''), coerce numerics, safe-encode categories."""
-    from ..functions.text import strict_double
-    ex = X.exam(spark, sf)
-    for c in ALIGN_NUMERIC:
-        if c not in ex.columns:
-            ex = ex.withColumn(c, F.lit(0).cast("string"))
-    for c in ALIGN_CATEGORICAL:
-        if c not in ex.columns:
-            ex = ex.withColumn(c, F.lit(""))
-    num = ex.select("record_id", *[F.coalesce(strict_double(F.col(c)), F.lit(0.0)).alias(c) for c in ALIGN_NUMERIC])
-    vocab = _train_vocab(spark, sf)
-    enc = FE.encode(ex, ["record_id"], ALIGN_CATEGORICAL, vocab, fallbacks=C.ENCODE_FALLBACKS)
-    wide = enc.groupBy("record_id").pivot("column_name", ALIGN_CATEGORICAL).agg(F.first("code"))
-    return num.join(wide, "record_id").select("record_id", *ALIGN_NUMERIC,
-                                              *[F.col(c).cast("double").alias(c) for c in ALIGN_CATEGORICAL])
+    ex, _, train = _train(spark, sf)
+    plan, vocabulary = SV.fit_plan(train, ALIGN_NUMERIC, ALIGN_CATEGORICAL)
+    return SV.transform(ex, plan, ["record_id"], vocabulary)
+
+
+# a served schema with a filled column, a long vocabulary (name: one value per customer), a category without codes
+# (dbp_result, read as a number), columns that no record has, and hazard tokens
+SERVE_NUMERIC = ["age", "sbp_result", "glucose_result", "absent_numeric"]
+SERVE_FILLS = {"sbp_result": "120"}
+SERVE_CODED = ["job", "gender", "symptom", "name"]
+SERVE_CATEGORICAL = [*SERVE_CODED, "dbp_result", "absent_category"]
+
+
+def _artefacts(spark: SparkSession, sf: str) -> tuple[DataFrame, SV.Artefacts]:
+    """EXAM, and the bundle fitted on its training side, stored and read back."""
+    ex, split, train = _train(spark, sf)
+    plan, vocabulary = SV.fit_plan(train, SERVE_NUMERIC, SERVE_CATEGORICAL, encoded=SERVE_CODED, fills=SERVE_FILLS,
+                                   hazard_column="exposure", hazard_tokens=FIXED_HAZARDS, hazard_delims=",、")
+    numbers = SV.transform(train, SV.FeaturePlan(SERVE_NUMERIC, [], SERVE_FILLS), [])
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artefacts-{uuid.uuid4().hex}"
+    SV.save_artefacts(spark, folder, plan, vocabulary, split, FE.fit_standard_scaler(numbers, SERVE_NUMERIC))
+    return ex, SV.load_artefacts(spark, folder)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.toDF(*["hazard_" + str(FIXED_HAZARDS.index(c[len(C.HAZARD_PREFIX):])) if c.startswith(C.HAZARD_PREFIX) else c
+                     for c in df.columns])
+
+
+@query("serve_features")
+def q_serve_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored plan over all records."""
+    ex, kept = _artefacts(spark, sf)
+    return _named(kept.transform(ex, ["record_id"]))
+
+
+@query("stream_features")
+def q_stream_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored plan over a stream of the same records; the sink equals the batch."""
+    ex, kept = _artefacts(spark, sf)
+    base = ST.scratch_dir(spark, "stream-features")
+    ex.drop("exam_date").repartition(4, "record_id").write.parquet(f"{base}/source")
+    ST.stream_features(spark, f"{base}/source", kept, ["record_id"], f"{base}/sink", f"{base}/checkpoint")
+    return _named(spark.read.parquet(f"{base}/sink"))
+
+
+@query("training_artefacts")
+def q_training_artefacts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored bundle holds: split sizes, vocabulary sizes, feature order, scaler."""
+    _, kept = _artefacts(spark, sf)
+    row = lambda kind, name, value: [F.lit(kind).alias("kind"), name.alias("name"),
+                                     F.round(value.cast("double"), 6).alias("value")]
+    split = kept.split.groupBy("split", "y").agg(F.count("*").alias("n"))
+    return (split.select(*row("split", F.concat_ws(":", "split", F.col("y").cast("string")), F.col("n")))
+            .union(kept.vocabulary.groupBy("column_name").agg(F.count("*").alias("n"))
+                   .select(*row("vocabulary", F.col("column_name"), F.col("n"))))
+            .union(kept.features.select(*row("feature", F.regexp_replace("feature", f"^{C.HAZARD_PREFIX}", "hazard:"),
+                                             F.col("position"))))
+            .union(kept.scaler.select(*row("mean", F.col("feature"), F.col("mean"))))
+            .union(kept.scaler.select(*row("std", F.col("feature"), F.col("std")))))
 
 
 # ------------------------------------------------------------------ VEC: kNN, SMOTE

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import RuleSet
 from ..operators.scoring import score_records
+from ..operators.serving import Artefacts
 from ..operators.store import normalize_log
 from ..sources.tables import ensure_checkpoint_dir
 
@@ -57,6 +58,14 @@ def stream_scores(spark: SparkSession, source_dir: str, schema, ruleset: RuleSet
     run_available_now(out, sink, checkpoint)
 
 
+def stream_features(spark: SparkSession, source_dir: str, kept: Artefacts, key, sink: str, checkpoint: str,
+                    max_files_per_trigger: int | None = None) -> None:
+    """readStream records -> the stored feature plan -> append to ``sink``; long vocabularies are joined as tables."""
+    schema = spark.read.parquet(source_dir).schema
+    src = _files(spark, schema, max_files_per_trigger).parquet(source_dir)
+    run_available_now(kept.transform(src, key), sink, checkpoint)
+
+
 def stream_logs(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                 max_files_per_trigger: int | None = None) -> None:
     """readStream events -> operation-log projection -> append to ``sink``."""
