@@ -1,7 +1,7 @@
 """Fitted classifiers for records: train on the labelled matrix, predict a table, save and reload.
 
-A candidate is a Spark ML pipeline (category indexing, one-hot, assembling, scaling, estimator).  Hyper-parameters are
-searched on macro-F1 (a validation split, or folds).  Only the rows used to fit are bounded (``FIT_ROWS`` labelled training rows,
+A candidate is a Spark ML pipeline (category indexing, one-hot, assembling, scaling, one model or an ensemble's stages).
+Hyper-parameters are searched by a population over ranges on the macro-F1 of five folds (``search``).  Only the rows used to fit are bounded (``FIT_ROWS`` labelled training rows,
 chosen by a portable hash of the key); prediction covers every row and is a narrow transform.
 
 ``fit_or_load`` keeps the fitted pipelines under a folder: with the folder present, training is skipped.
@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -25,7 +25,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +32,10 @@ from .. import constants as C
 from ..functions import findings as H
 from ..functions import text as T
 from . import metrics as M
+from .boosting import ODDS, samme, softmax_boosting
+from .search import FOLDS, GENERATIONS, POPULATION, Choice, Range, Space, TrialTable, fold_column, search
 
 FIT_ROWS = 20_000       # labelled training rows used to fit, at most
-FOLDS = 1               # 1: one train/validation split per grid point; more: that many folds
-VALIDATION = 0.25
 PREFIX = "mx_"          # working columns of the matrix
 EMPTY = "(empty)"       # Spark ML's column metadata takes no empty category name
 N_CLASSES = len(C.THREE_CLASS)
@@ -98,31 +97,38 @@ class MacroF1(Evaluator):
         return True
 
 
-def candidates(seed: int = C.SEED) -> dict[str, Callable[[], tuple]]:
-    """name -> () -> (estimator, parameter grid)."""
-    common = {"featuresCol": "features", "labelCol": "y"}
-
-    def logistic():
-        e = LogisticRegression(maxIter=30, **common)
-        return e, ParamGridBuilder().addGrid(e.regParam, [0.001, 0.05]).build()
+@dataclass(frozen=True)
+class Candidate:
+    """What can be fitted: parameter ranges, and (rows with y and features, parameters) -> pipeline stages."""
 
-    def tree():
-        e = DecisionTreeClassifier(seed=seed, **common)
-        return e, ParamGridBuilder().addGrid(e.maxDepth, [4, 8]).build()
+    space: Space
+    stages: Callable[[DataFrame, dict], list]
 
-    def forest():
-        e = RandomForestClassifier(seed=seed, numTrees=20, **common)
-        return e, ParamGridBuilder().addGrid(e.maxDepth, [5, 8]).build()
 
-    def bayes():
-        e = NaiveBayes(modelType="gaussian", **common)
-        return e, ParamGridBuilder().build()
-
-    def boosted():
-        e = OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=seed, **common), **common)
-        return e, ParamGridBuilder().build()
+def candidates(seed: int = C.SEED) -> dict[str, Candidate]:
+    common = {"featuresCol": "features", "labelCol": "y"}
 
-    return {"logistic": logistic, "tree": tree, "forest": forest, "bayes": bayes, "boosted": boosted}
+    def ml(make: Callable[..., Estimator]) -> Callable[[DataFrame, dict], list]:
+        return lambda rows, params: [make(**params).fit(rows)]
+
+    depth = Range(3, 9, whole=True)
+    return {
+        # elastic net 0 is the L2 penalty, 1 the L1 penalty
+        "logistic": Candidate({"regParam": Range(1e-4, 0.3, log=True), "elasticNetParam": Choice((0.0, 1.0))},
+                              ml(lambda **p: LogisticRegression(maxIter=30, **common, **p))),
+        "tree": Candidate({"maxDepth": depth, "minInstancesPerNode": Range(1, 30, log=True, whole=True)},
+                          ml(lambda **p: DecisionTreeClassifier(seed=seed, **common, **p))),
+        "forest": Candidate({"maxDepth": depth, "numTrees": Range(10, 40, whole=True)},
+                            ml(lambda **p: RandomForestClassifier(seed=seed, **common, **p))),
+        "bayes": Candidate({}, ml(lambda **p: NaiveBayes(modelType="gaussian", **common, **p))),
+        "boosted": Candidate({"maxIter": Range(3, 6, whole=True), "maxDepth": Range(2, 4, whole=True)},
+                             ml(lambda **p: OneVsRest(classifier=GBTClassifier(seed=seed, **common, **p), **common))),
+        "samme": Candidate({"rounds": Range(3, 6, whole=True), "max_depth": Range(1, 4, whole=True)},
+                           lambda rows, p: samme(rows, N_CLASSES, seed=seed, **p)[0]),
+        "softmax_boosting": Candidate({"rounds": Range(2, 4, whole=True), "max_depth": Range(2, 4, whole=True),
+                                       "rate": Range(0.2, 2.0, log=True)},
+                                      lambda rows, p: softmax_boosting(rows, N_CLASSES, seed=seed, **p)[0]),
+    }
 
 
 @dataclass
@@ -137,7 +143,9 @@ class FittedModel:
 
     def transform(self, df: DataFrame, keep_features: bool = False) -> DataFrame:
         out = self.pipeline.transform(with_matrix(df, self.numeric, self.categorical, self.months))
-        if "probability" not in out.columns:             # one-vs-rest gives margins only
+        if ODDS in out.columns:                          # an ensemble's class probabilities
+            out = out.withColumn("probability", array_to_vector(F.col(ODDS)))
+        elif "probability" not in out.columns:           # one-vs-rest gives margins only
             raw = vector_to_array("rawPrediction")
             odds = F.transform(raw, lambda x: 1.0 / (1.0 + F.exp(-x)))
             total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
@@ -182,31 +190,34 @@ def linear_top_features(df: DataFrame, model: FittedModel, key: str, n: int = C.
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], months: Sequence[str],
-        names: Sequence[str] | None = None, folds: int = FOLDS, seed: int = C.SEED) -> dict[str, tuple]:
-    """name -> (FittedModel, macro-F1 of the best grid point in the search, seconds); ``train`` has the label y."""
+        names: Sequence[str] | None = None, folds: int = FOLDS, seed: int = C.SEED, population: int = POPULATION,
+        generations: int = GENERATIONS, trials: str | None = None) -> dict[str, tuple]:
+    """name -> (FittedModel, mean macro-F1 of the best parameters over the folds, seconds); ``train`` has the label y.
+
+    ``trials``: folder of the trial table; a search that was stopped goes on from it.
+    """
     chosen = {k: v for k, v in candidates(seed).items() if names is None or k in names}
-    matrix = with_matrix(train, numeric, categorical, months).select(
-        F.col("y").cast("double").alias("y"), *[c for c in with_matrix(train, numeric, categorical, months).columns
-                                               if c.startswith(PREFIX)]).cache()
+    matrix = with_matrix(train, numeric, categorical, months)
+    matrix = matrix.select(F.col("y").cast("double").alias("y"), *[c for c in matrix.columns if c.startswith(PREFIX)])
+    matrix = matrix.withColumn("fold", fold_column(matrix.columns, folds)).cache()
+    table = TrialTable(train.sparkSession, trials) if trials else None
     try:
         stages, _ = _preparation(numeric, categorical, months)
         prepared = Pipeline(stages=stages).fit(matrix)
-        ready = prepared.transform(matrix).select("y", "features").coalesce(4).cache()   # FIT_ROWS rows at most
+        ready = prepared.transform(matrix).select("y", "features", "fold").coalesce(1).cache()   # FIT_ROWS rows at most
         ready.count()
         out = {}
-        for name, make in chosen.items():
+        for name, candidate in chosen.items():
             began = time.time()
-            estimator, grid = make()
-            search = {"estimator": estimator, "estimatorParamMaps": grid, "evaluator": MacroF1(), "seed": seed}
-            if folds > 1:
-                found = CrossValidator(numFolds=folds, **search).fit(ready)
-                scores = found.avgMetrics
-            else:
-                found = TrainValidationSplit(trainRatio=1 - VALIDATION, **search).fit(ready)
-                scores = found.validationMetrics
-            model = PipelineModel([*prepared.stages, found.bestModel])
-            out[name] = (FittedModel(name, model, tuple(numeric), tuple(categorical), tuple(months)),
-                         float(max(scores)), time.time() - began)
+
+            def predictor(rows: DataFrame, params: dict) -> Callable[[DataFrame], DataFrame]:
+                return PipelineModel(candidate.stages(rows, params)).transform
+
+            params, value, _ = search(name, candidate.space, ready, predictor, MacroF1().evaluate, table,
+                                      population=population, generations=generations, folds=folds, seed=seed)
+            model = PipelineModel([*prepared.stages, *candidate.stages(ready, params)])
+            out[name] = (FittedModel(name, model, tuple(numeric), tuple(categorical), tuple(months)), value,
+                         time.time() - began)
         ready.unpersist()
         return out
     finally:
@@ -238,6 +249,6 @@ def fit_or_load(train: Callable[[], DataFrame], spark: SparkSession, folder: str
                 categorical: Sequence[str], months: Sequence[str], **options) -> dict[str, tuple]:
     found = load(spark, folder, numeric, categorical, months)
     if found is None:
-        found = fit(train(), numeric, categorical, months, **options)
+        found = fit(train(), numeric, categorical, months, trials=f"{folder}/trials", **options)
         save(found, spark, folder)
     return found

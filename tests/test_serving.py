@@ -16,7 +16,7 @@ def fitted(spark, sf, tmp_path_factory):
     train = q_fitted.labelled(spark, sf).where("split = 'train'")
     columns = (q_fitted.NUMERIC, q_fitted.CATEGORICAL, q_fitted.MONTHS)
     folder = str(tmp_path_factory.mktemp("models"))
-    first = MD.fit_or_load(lambda: train, spark, folder, *columns, names=["logistic", "bayes"])
+    first = MD.fit_or_load(lambda: train, spark, folder, *columns, names=["logistic", "bayes"], **q_fitted.SEARCH)
     again = MD.fit_or_load(lambda: pytest.fail("trained twice"), spark, folder, *columns)
     return first, again, folder
 
