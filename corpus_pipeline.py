@@ -23,6 +23,7 @@ from screenlens.sources.tables import read_table
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_SHINGLE = 5        # words; similarity 0.8, the defaults of near-duplicate stages
+REPEAT_BYTES = 250      # a passage of over 50 words is at least about this long (the operator's own default is 400)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the bytes of long repeated passages; n_chars follows the new text."""
     importable_on_workers(spark)
-    cut = op10_suffix.remove_repeats(docs.select(*COLUMNS))
+    cut = op10_suffix.remove_repeats(docs.select(*COLUMNS), length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                           .otherwise(F.col("n_chars")))
 
