@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
+
 BATCH = 2_048           # rows whose weights are held at once
 
 
@@ -55,7 +57,8 @@ def replicate_cells(pred: DataFrame, group: Sequence[str], y: str, p: str, value
     rows = pred.select(*group, F.col(y).alias("y"), F.col(p).alias("p"),
                        F.col(row_key).cast("bigint").alias("row_key"), value.cast("double").alias("value"))
     names = [f"k{i}" for i in range(len(keys))]
-    rows = rows.toDF(*names, "row_key", "value")
+    # the work per row is hundreds of draws: a table that arrives in few files is dealt to all tasks first
+    rows = spread(rows.toDF(*names, "row_key", "value"), "row_key")
     schema = T.StructType([*rows.schema.fields[:len(keys)], T.StructField("n", T.ArrayType(T.DoubleType())),
                            T.StructField("bw", T.ArrayType(T.DoubleType()))])
     step = BATCH
