@@ -146,6 +146,25 @@ def knn_vote(neighbors: DataFrame, labels: DataFrame, key: str = "qid", nkey: st
     return u.join(d, key)
 
 
+# ------------------------------------------------------------------ M4 draws for oversampling
+
+def oversampling_draws(sizes: DataFrame) -> DataFrame:
+    """label, n, j: for every class of ``sizes(label, n)`` the numbers 0.. of the rows that top it up to the largest class.
+
+    All draws are one global range, split over tasks whatever class they fall to; a class holds the stretch that begins
+    at the draws of the classes before it.  The broadcast table has one row per class.
+    """
+    spark = sizes.sparkSession
+    most = sizes.select(F.max("n")).scalar()
+    need = sizes.select("label", "n", (most - F.col("n")).alias("need")).where(F.col("need") > 0)
+    before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)     # over the classes only
+    stretch = need.withColumn("start", F.coalesce(F.sum("need").over(before), F.lit(0)))
+    total = need.agg(F.sum("need")).first()[0] or 0
+    place = F.col("id")
+    return spark.range(total).join(F.broadcast(stretch), (place >= F.col("start")) & (place < F.col("start") + F.col("need"))
+                                   ).select("label", "n", (place - F.col("start")).alias("j"))
+
+
 # ------------------------------------------------------------------ scorecards (K5, A19, A20, W6, M16)
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:

@@ -263,9 +263,7 @@ def q_smote(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.ids import group_row_number
     v = _vec(spark, sf)
     sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    target = sizes.select(F.max("n")).scalar()
-    need = sizes.select("label", "n", (target - F.col("n")).alias("need")).where(F.col("need") > 0)
-    draws = need.select("label", "n", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("j"))
+    draws = FE.oversampling_draws(sizes)
     key = F.concat(F.col("label").cast("string"), F.lit(":"), F.col("j").cast("string"))
     draws = draws.withColumn("base_pos", F.pmod(portable_hash("smote-base", key), F.col("n")) + 1) \
         .withColumn("nn_rank", (F.pmod(portable_hash("smote-nn", key), F.lit(KNN_K)) + 1).cast("int"))
