@@ -1,16 +1,25 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs (lines) of at least ``MIN_WORDS`` words are the units.  Equal paragraphs (after lower-casing A-Z and joining
-words with single spaces) are one class from the start.  Each class has a MinHash signature over its five-word shingles,
-cut into bands of ``rows`` coordinates; ``tune`` chooses the number of bands so that a pair at the similarity threshold
-collides in one band at least with probability ``RECALL``.  Colliding paragraphs are compared with one centre per list
-first; confirmed links (exact Jaccard on the shingle sets) give components; lists that still span components are settled
-by the exact rarest-shingle join of the MinHash operator, so no list is ever expanded into all its pairs and no link
-between different components is lost.  Every occurrence of a component but the first is marked for removal.
-
-Edge cases: null and empty texts have no paragraphs; shorter paragraphs are never marked; repeated rows and keys are
-further occurrences; ties in "first" go to the least (key, paragraph number); rows without a key are marked only if the
-component has an occurrence with a key; extra columns are ignored.
+Two kinds of units cover the whole text:
+
+* paragraphs: lines of at least ``MIN_WORDS`` words; shorter lines are joined with the following short ones until they
+  have as many.  Equal paragraphs (after lower-casing A-Z and joining words with single spaces) are one class from the
+  start.  Each class has a MinHash signature over its five-word shingles, cut into bands of ``rows`` coordinates;
+  ``tune`` chooses the number of bands so that a pair at the similarity threshold collides in one band at least with
+  probability ``RECALL``.  Colliding paragraphs are compared with one centre per list first; confirmed links (exact
+  Jaccard on the shingle sets) give components; lists that still span components are settled by the exact
+  rarest-shingle join of the MinHash operator.
+* windows: passages inside longer, otherwise different paragraphs or across lines.  The word sequence is sampled where a
+  three-word hash is the least of ``SAMPLE`` successive ones, so equal passages are sampled at the same words wherever
+  they stand, and the ``WINDOW`` words from there are a window.  Any two places that share ``WINDOW + SAMPLE - 1`` words
+  (51) share a window.  Windows are compared for similarity 1: a window's class is the 128-bit digest of its words,
+  so no pairs are formed, and a changed passage is met by its windows between the changes.
+
+Every occurrence of a component but the first is marked for removal.
+
+Edge cases: null and empty texts and those under ``MIN_WORDS`` words have no units, under ``WINDOW`` words no window; repeated rows and keys are further
+occurrences, windows that overlap in one text too; ties in "first" go to the least (key, word position); rows without a
+key are marked only if the component has an occurrence with a key; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +39,8 @@ SHINGLE = 5
 SHARE = 80
 ROWS = 4
 RECALL = 0.9995
+WINDOW = 32
+SAMPLE = 20             # starts of which one is a window's: passages of WINDOW + SAMPLE - 1 = 51 words share one
 
 
 def tune(rows: int = ROWS, share: int = SHARE, recall: float = RECALL) -> int:
@@ -41,20 +52,57 @@ def tune(rows: int = ROWS, share: int = SHARE, recall: float = RECALL) -> int:
 
 
 def paragraphs(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """(line number, words, normalised text) of the lines with enough words."""
+    """(first line, words, normalised text) of the lines with enough words and of short lines joined."""
     return [(number, n, unit.decode("utf-8", "surrogatepass")) for number, n, unit in _units(text, min_words)]
 
 
 def _units(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
     """The same with the normalised text as UTF-8 bytes."""
     out = []
+    start, short = 0, []
     for number, line in enumerate(lower_bytes(text).split(b"\n")):
         words = line.split()
         if len(words) >= min_words:
+            short = []
             out.append((number, len(words), b" ".join(words)))
+            continue
+        start = start if short else number
+        short += words
+        if len(short) >= min_words:
+            out.append((start, len(short), b" ".join(short)))
+            short = []
     return out
 
 
+def _polynomial(words: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """A hash of every ``size`` successive words."""
+    n = len(words) - size + 1
+    h = words[:n].copy()
+    for k in range(1, size):
+        h = h * base + words[k: n + k]
+    return mix(h)
+
+
+def window_starts(words: np.ndarray, window: int = WINDOW, sample: int = SAMPLE) -> np.ndarray:
+    """Sorted word positions at which windows begin; ``words`` are the word hashes of one text.
+
+    Of each ``sample`` successive starts the one with the least three-word hash (the first of equals) is taken; a text
+    with fewer starts has one.
+    """
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    order = _polynomial(words, 3, _M)[:n]
+    if n <= sample:
+        return np.array([int(order.argmin())])
+    picks = []
+    for at in range(0, n - sample + 1, 1 << 14):
+        stop = min(n - sample + 1, at + (1 << 14))
+        least = np.lib.stride_tricks.sliding_window_view(order[at: stop + sample - 1], sample).argmin(1)
+        picks.append(np.unique(least + np.arange(at, stop)))
+    return np.unique(np.concatenate(picks))
+
+
 def signatures(units: list[bytes], n_words: list[int], shingle: int, hasher: _Hasher) -> np.ndarray:
     """MinHash signatures of normalised paragraphs of ``shingle`` words or more, all in one sweep.
 
@@ -72,6 +120,9 @@ def signatures(units: list[bytes], n_words: list[int], shingle: int, hasher: _Ha
     return hasher.of_flat(mix(flat[inside] + np.uint64(shingle)), starts)
 
 
+_BASES = (_M, np.uint64(0xD6E8FEB86659FD93))    # of the two halves of a window's digest
+
+
 def _rep(unit: bytes) -> int:
     return xxhash.xxh3_64_intdigest(unit) - 2**63
 
@@ -137,6 +188,66 @@ def texts_of_reps(documents: DataFrame, text: str, wanted: DataFrame, min_words:
     return every.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
 
 
+def windows(documents: DataFrame, key: str, text: str, window: int, sample: int) -> DataFrame:
+    """doc, paragraph (line of the first word), first_word, and the window's digest (d1, d2); one scan."""
+    if window < 3:
+        raise ValueError("windows must have three words at least")
+    schema = T.StructType([T.StructField("doc", documents.schema[key].dataType),
+                           *[T.StructField(c, T.LongType()) for c in ("paragraph", "first_word", "d1", "d2")]])
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            found = []
+            for t in texts_of(batch):
+                data = lower_bytes(t)
+                words = word_hashes(data)
+                starts = window_starts(words, window, sample)
+                ends = np.cumsum([len(line.split()) for line in data.split(b"\n")])
+                inside = starts[:, None] + np.arange(window)
+                digest = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+                for k in range(window):
+                    for d, base in zip(digest, _BASES):
+                        d *= base
+                        d += words[inside[:, k]]
+                found.append((np.searchsorted(ends, starts, "right"), starts, *[mix(d).view(np.int64) for d in digest]))
+            if not found:
+                continue
+            at = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(at)),
+                 *[pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)]], names=schema.names)
+
+    return documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def repeated_windows(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                     sample: int = SAMPLE) -> DataFrame:
+    """Occurrences of windows that repeat: key, paragraph, first_word, n_words, component_id, kept.
+
+    Digests are counted with a map-side combine before they meet their places, whose join AQE can split by place.
+    """
+    stage = Stage(documents.sparkSession, "windows")
+    places = stage.write(windows(documents, key, text, window, sample), "places")
+    first = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "first_word")))
+    again = places.groupBy("d1", "d2").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1")
+    found = places.join(stage.write(again, "repeated"), ["d1", "d2"])
+    kept = (F.col("doc").eqNullSafe(F.col("first.doc")) & F.col("first_word").eqNullSafe(F.col("first.first_word"))
+            ) | F.col("first").isNull()
+    return found.select(F.col("doc").alias(key), "paragraph", "first_word", F.lit(window).cast("long").alias("n_words"),
+                        F.col("d1").alias("component_id"), kept.alias("kept"))
+
+
+def repeated_passages(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                      sample: int = SAMPLE, **options) -> DataFrame:
+    """Occurrences of repeated paragraphs and of repeated windows: key, unit (``paragraph`` or ``window``), paragraph,
+    first_word (of a window; null for a paragraph, which begins its line), n_words, component_id, kept."""
+    near = repeated_paragraphs(documents, key=key, text=text, **options)
+    near = near.withColumns({"unit": F.lit("paragraph"), "first_word": F.lit(None).cast("long")})
+    equal = repeated_windows(documents, key=key, text=text, window=window, sample=sample)
+    order = [key, "unit", "paragraph", "first_word", "n_words", "component_id", "kept"]
+    return near.select(order).union(equal.withColumn("unit", F.lit("window")).select(order))
+
+
 def repeated_paragraphs(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                         shingle: int = SHINGLE, share: int = SHARE, rows: int = ROWS,
                         recall: float = RECALL) -> DataFrame:

@@ -48,8 +48,8 @@ def op3_near_duplicates(spark, sf_dir):
 
 
 def op4_paragraph_dedup(spark, sf_dir):
-    """Occurrences of repeated paragraphs; documents without one do not appear."""
-    return op4_paragraphs.repeated_paragraphs(*_tables(spark, sf_dir, DOCUMENTS))
+    """Occurrences of repeated paragraphs and windows; documents without one do not appear."""
+    return op4_paragraphs.repeated_passages(*_tables(spark, sf_dir, DOCUMENTS))
 
 
 def op5_token_counts(spark, sf_dir):

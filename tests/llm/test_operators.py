@@ -207,7 +207,7 @@ def test_op4_edges(docs, none):
 
 
 def test_op4_finds_all_links(spark, sf, small):
-    found = rows(QUERIES["op4_paragraph_dedup"](spark, sf))
+    found = [r for r in rows(QUERIES["op4_paragraph_dedup"](spark, sf)) if r["unit"] == "paragraph"]
     units = [(d, n, op3.exact_set(t, op4.SHINGLE)) for d, text in small for n, _, t in op4.paragraphs(text)]
     post = defaultdict(list)
     for i, (_, _, s) in enumerate(units):
@@ -228,6 +228,79 @@ def test_op4_finds_all_links(spark, sf, small):
         assert min(g, key=lambda r: (r["doc_id"], r["paragraph"]))["kept"]
 
 
+def test_op4_joins_short_lines():
+    text = "a b c\nd e\n\n" + "\n".join(f"s{i} t{i}" for i in range(12)) + "\n" + BASE + "\nx y"
+    assert [(n, k) for n, k, _ in op4.paragraphs(text)] == [(0, 25), (15, 200)]
+    joined = op4.paragraphs("\n".join(["one two three four five"] * 11))
+    assert [(n, k) for n, k, _ in joined] == [(0, 25), (5, 25)]
+
+
+def test_op4_window_starts_meet_anywhere():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**63, op4.WINDOW + op4.SAMPLE - 1, dtype=np.uint64)
+    for _ in range(200):
+        met = []
+        for _ in range(2):
+            left = rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)
+            right = rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)
+            starts = op4.window_starts(np.concatenate((left, passage, right))) - len(left)
+            met.append({int(x) for x in starts if 0 <= x <= len(passage) - op4.WINDOW})
+        assert met[0] & met[1]
+    assert list(op4.window_starts(passage[:10])) == []
+    assert len(op4.window_starts(np.ones(op4.WINDOW, np.uint64))) == 1
+
+
+def _runs_shared(texts, size):
+    """(text number, first word) of every ``size`` words that stand at two places or more."""
+    places = defaultdict(list)
+    for d, t in enumerate(texts):
+        w = op4.lower_bytes(t or "").split()
+        for i in range(len(w) - size + 1):
+            places[b" ".join(w[i:i + size])].append((d, i))
+    return {p for v in places.values() if len(v) > 1 for p in v}
+
+
+def test_op4_meets_every_shared_passage_of_51_words(spark, sf, small):
+    found = [r for r in rows(QUERIES["op4_paragraph_dedup"](spark, sf)) if r["unit"] == "window"]
+    number = {d: i for i, (d, _) in enumerate(small)}
+    texts = [t for _, t in small]
+    marked = defaultdict(set)
+    for r in found:
+        marked[number[r["doc_id"]]].add(r["first_word"])
+        assert r["n_words"] == op4.WINDOW
+    whole = op4.WINDOW + op4.SAMPLE - 1
+    passages = _runs_shared(texts, whole)
+    assert passages
+    for d, i in passages:
+        assert any(i + k in marked[d] for k in range(op4.SAMPLE))
+    # nothing but repeats is marked, and the first place of each stays
+    repeats = _runs_shared(texts, op4.WINDOW)
+    assert all((d, i) in repeats for d, at in marked.items() for i in at)
+    groups = defaultdict(list)
+    for r in found:
+        groups[r["component_id"]].append(r)
+    for g in groups.values():
+        assert [r["kept"] for r in sorted(g, key=lambda r: (r["doc_id"], r["first_word"]))] == [True] + [False] * (len(g) - 1)
+
+
+def test_op4_passages_inside_lines_and_across_lines(spark, docs, none):
+    words = BASE.split()
+    own = lambda n, k: [f"own{n}x{i}" for i in range(k)]                      # noqa: E731
+    inside = " ".join(own(1, 90) + words[:51] + own(2, 70))
+    clean = " ".join(own(4, 60) + words[:30] + own(5, 60))
+    across = "\n".join(" ".join((own(6, 7) + words[:51])[i:i + 6]) for i in range(0, 58, 6))
+    df = spark.createDataFrame([(1, inside), (2, across), (3, clean), (4, None), (5, "")], "doc_id long, text string")
+    found = rows(op4.repeated_passages(df))
+    assert {r["doc_id"] for r in found} == {1, 2}
+    assert all(r["kept"] == (r["doc_id"] == 1) and r["unit"] == "window" for r in found)
+    line = {r["first_word"]: r["paragraph"] for r in found if r["doc_id"] == 2}
+    assert all(p == w // 6 for w, p in line.items())
+    edge = rows(op4.repeated_passages(docs))
+    assert {r["doc_id"] for r in edge if r["unit"] == "window"} >= {1, 2, 3, 7, 8, 12, 13, None}
+    assert not any(r["kept"] for r in edge if r["doc_id"] is None)
+    assert op4.repeated_passages(none).count() == 0
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def test_op5(spark, docs, none, sf, small):
