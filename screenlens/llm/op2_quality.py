@@ -1,15 +1,18 @@
 """Quality rules by an isolation forest on rule statistics.
 
 Every document gets rule statistics (word counts, symbols, repeated lines and words, ...).  An isolation forest is grown
-on a bounded, seeded sample of labelled rows: each tree splits a subsample at random columns and random values, and a
-document's mean path length over the trees says how soon random splits single it out.  The threshold on the anomaly
-score is calibrated on the labelled rows: among the scores that reject at most ``max_good_loss`` of the rows labelled good, the
-one with the best balance of bad rows caught against good rows lost, so clean documents stay.  Statistics, scoring and the verdict cover every row; only the fit is bounded
-(``fit_rows``, a documented parameter).
-
-Two things make the isolation useful as a verdict rather than as an outlier count: trees are grown on rows labelled good
-(the reference population), and a document is rejected only if it is isolated *and* lies on the bad side, i.e. at least
-one statistic is beyond what the labelled good rows show in the direction of the labelled bad rows.
+on a bounded, seeded sample of labelled rows (``fit_rows``, a documented parameter), and a document's mean path length
+over the trees says how soon random splits single it out.  A document that passes the base rules is rejected if its
+anomaly score reaches the threshold; nothing else decides.
+
+* What the trees see: each statistic counts from the good rows' median on, towards the side where the bad rows lie, in
+  units of the good rows' spread (0.99 quantile less median).  Being unusually clean is no anomaly.
+* Each tree splits a subsample of good rows with a few bad ones among them.  The column of a split is drawn in proportion
+  to its extent, the value uniformly: rows far out on any statistic are cut off within a few splits, while a column in
+  which the good rows differ little is seldom chosen.
+* The threshold is calibrated on all labelled rows, which Spark scores and counts by score in steps of 1 / ``GRID``: of
+  the thresholds that cost at most ``max_good_loss`` of the good rows, the one with the best balance of bad rows caught
+  against good rows lost, and the middle of a range of equals.
 
 Edge cases: null text has no words (base_failed by n_words < 50); without labelled rows of both kinds there is nothing to
 calibrate on and only the base rules decide; ties in scores fall on the same side; rows are independent, so repeated
@@ -35,6 +38,9 @@ TREES = 100
 SUBSAMPLE = 256
 SEED = 20240601
 MAX_GOOD_LOSS = 0.002   # share of rows labelled good that calibration may reject
+GOOD_PER_BAD = 64       # in a tree's subsample: bad rows must be few there, or they hide one another
+SPREAD = 0.99           # quantile of the good rows that is one unit from their median
+GRID = 10_000           # steps of the score in calibration
 GOOD_WEIGHT = 20.0      # calibration: a good row lost counts as much as this many bad rows caught (as shares)
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -101,23 +107,25 @@ def average_path(n: float) -> float:
 
 
 def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """One tree as an array of nodes (column, value, left, right, path length added at a leaf)."""
+    """One tree as an array of nodes (column, value, left, right, path length at a leaf).
+
+    A split's column is drawn in proportion to its extent among the node's rows, its value uniformly over the extent.
+    """
     nodes: list[tuple] = []
 
     def split(at: np.ndarray, depth: int) -> int:
         me = len(nodes)
         nodes.append(())
         low, high = at.min(0), at.max(0)
-        open_columns = np.flatnonzero(high > low)
-        if depth >= limit or len(at) <= 1 or not len(open_columns):
+        extent = high - low
+        if depth >= limit or len(at) <= 1 or not extent.any():
             nodes[me] = (-1, 0.0, 0, 0, depth + average_path(len(at)))
             return me
-        column = int(rng.choice(open_columns))
+        column = int(rng.choice(len(extent), p=extent / extent.sum()))
         value = float(rng.uniform(low[column], high[column]))
+        value = value if value > low[column] else float(high[column])    # neither side is empty
         left = at[:, column] < value
-        a = split(at[left], depth + 1) if left.any() else None
-        b = split(at[~left], depth + 1) if (~left).any() else None
-        nodes[me] = (column, value, a if a is not None else b, b if b is not None else a, 0.0)
+        nodes[me] = (column, value, split(at[left], depth + 1), split(at[~left], depth + 1), 0.0)
         return me
 
     split(rows, 0)
@@ -125,17 +133,17 @@ def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 class Forest:
-    """Trees as flat arrays, with the calibrated threshold and the good rows' limits per feature."""
+    """Trees as flat arrays, what turns statistics into their columns, and the calibrated threshold."""
 
-    def __init__(self, trees: list[list[tuple]], subsample: int):
+    def __init__(self, trees: list[list[tuple]], subsample: int, middle: np.ndarray, unit: np.ndarray, side: np.ndarray):
         self.trees = [tuple(np.array(c) for c in zip(*t)) for t in trees]
         self.scale = max(average_path(subsample), 1e-9)
+        self.middle, self.unit, self.side = middle, unit, side
         self.threshold = math.inf
-        self.side = np.zeros(len(FEATURES))
-        self.limit = np.full(len(FEATURES), math.inf)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1]: 2 ** -(mean path / expected path)."""
+        """Anomaly score in (0, 1] of rule statistics: 2 ** -(mean path / expected path)."""
+        x = excess(x, self.middle, self.unit, self.side)
         total = np.zeros(len(x))
         every = np.arange(len(x))
         for column, value, left, right, length in self.trees:
@@ -150,46 +158,70 @@ class Forest:
             total += length[node]
         return 2.0 ** (-(total / max(1, len(self.trees))) / self.scale)
 
-    def beyond(self, x: np.ndarray) -> np.ndarray:
-        """Whether a row passes a limit of the good rows on the side where the bad rows lie."""
-        return ((x * self.side) > self.limit).any(1)
+    def rejects(self, x: np.ndarray) -> np.ndarray:
+        return self.score(x) >= self.threshold
+
+
+def excess(x: np.ndarray, middle: np.ndarray, unit: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How far the statistics lie from the good rows' median on the bad rows' side, in the good rows' units."""
+    return np.maximum(0.0, x * side - middle) / unit
+
 
+def threshold_of(good: np.ndarray, bad: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS,
+                 good_weight: float = GOOD_WEIGHT) -> float:
+    """The calibrated threshold; ``good`` and ``bad`` count the labelled rows by ``floor(score * GRID)``."""
+    lost, caught = (np.cumsum(c[::-1])[::-1] / max(1, c.sum()) for c in (good, bad))
+    gain = np.where(lost <= max_good_loss, caught - good_weight * lost, -1.0)
+    best = int(gain.argmax())
+    if gain[best] <= 0:
+        return math.inf
+    last = best
+    while last + 1 < len(gain) and gain[last + 1] == gain[best]:
+        last += 1
+    return (best + last) // 2 / GRID
 
-def fit(x: np.ndarray, good: np.ndarray, *, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED,
-        max_good_loss: float = MAX_GOOD_LOSS, good_weight: float = GOOD_WEIGHT) -> Forest | None:
-    """Grow on the good rows, calibrate on all; None if either kind is missing."""
+
+def steps(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * GRID).astype(np.int64)
+
+
+def fit(x: np.ndarray, good: np.ndarray, *, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest | None:
+    """Grow on labelled rows and calibrate on them; None if either kind is missing."""
     if not good.any() or good.all():
         return None
     rng = np.random.default_rng(seed)
-    reference = x[good]
-    size = min(subsample, len(reference))
-    limit = max(1, math.ceil(math.log2(max(2, size))))
-    forest = Forest([grow(reference[rng.choice(len(reference), size, replace=False)], rng, limit)
-                     for _ in range(trees)], size)
-    # the side of each statistic on which bad rows lie, and how far good rows go on it
-    gap = np.median(x[~good], 0) - np.median(reference, 0)
-    tail = np.quantile(x[~good], 0.75, 0) - np.quantile(reference, 0.75, 0)
-    forest.side = np.where(gap != 0, np.sign(gap), np.sign(tail))
-    per_column = max_good_loss / len(FEATURES)
-    forest.limit = np.quantile(reference * forest.side, 1 - per_column, 0, method="higher")
-    forest.limit[forest.side == 0] = math.inf
-    scores, beyond = forest.score(x), forest.beyond(x)
-    bad_scores, clean = scores[~good & beyond], np.sort(scores[good & beyond])
-    best = 0.0
-    for t in np.unique(bad_scores):
-        lost = (len(clean) - np.searchsorted(clean, t)) / good.sum()
-        gain = (bad_scores >= t).sum() / (~good).sum() - good_weight * lost
-        if lost <= max_good_loss and gain > best:
-            best, forest.threshold = gain, float(t)
+    reference, bad = x[good], x[~good]
+    # the side of each statistic on which bad rows lie
+    gap = np.median(bad, 0) - np.median(reference, 0)
+    tail = np.quantile(bad, 0.75, 0) - np.quantile(reference, 0.75, 0)
+    side = np.where(gap != 0, np.sign(gap), np.sign(tail))
+    middle = np.median(reference * side, 0)
+    unit = np.maximum(np.quantile(reference * side, SPREAD, 0) - middle, 1e-3)
+    reference, bad = (excess(r, middle, unit, side) for r in (reference, bad))
+    few = min(len(bad), max(1, min(subsample, len(reference)) // GOOD_PER_BAD))
+    many = min(subsample - few, len(reference))
+    limit = max(1, math.ceil(math.log2(max(2, many + few))))
+
+    def rows() -> np.ndarray:
+        return np.concatenate((reference[rng.choice(len(reference), many, replace=False)],
+                               bad[rng.choice(len(bad), few, replace=False)]))
+
+    forest = Forest([grow(rows(), rng, limit) for _ in range(trees)], many + few, middle, unit, side)
+    at = steps(forest.score(x))
+    forest.threshold = threshold_of(*(np.bincount(at[k], minlength=GRID + 1) for k in (good, ~good)))
     return forest
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", quality: str = "quality",
-                    rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``rows`` labelled rows that pass the base rules, half of each kind, chosen by a seeded hash of the key."""
+def labelled(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """k, good (0 or 1) and the statistics of the labelled rows that pass the base rules."""
     label = labels.groupBy(F.col(key).alias("k")).agg(F.max(F.col(quality).cast("int")).alias("good"))
-    found = (stats.withColumnRenamed(key, "k").join(label.filter("good is not null and k is not null"), "k")
-             .filter(~base_failed()).withColumn("h", F.xxhash64(F.lit(SEED), "k")))
+    return (stats.withColumnRenamed(key, "k").join(label.filter("good in (0, 1) and k is not null"), "k")
+            .filter(~base_failed()).select("k", "good", *FEATURES))
+
+
+def labelled_sample(found: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and goodness of at most ``rows`` labelled rows, half of each kind, chosen by a seeded hash of the key."""
+    found = found.withColumn("h", F.xxhash64(F.lit(SEED), "k"))
     counts = {r["good"]: r["count"] for r in found.groupBy("good").count().collect()}
     parts = []
     for g in (0, 1):
@@ -200,6 +232,29 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     return np.concatenate([p[FEATURES].to_numpy(dtype=float) for p in parts]), good
 
 
+def calibrated(found: DataFrame, forest: Forest | None) -> Forest | None:
+    """The forest with its threshold from all labelled rows: Spark scores them, the driver gets 2 * GRID counts at most."""
+    if forest is None:
+        return None
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES])
+            at = steps(forest.score(x)) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(at)], names=["good", "step"])
+
+    counts = np.zeros((2, GRID + 1), np.int64)
+    for r in found.mapInArrow(run, "good int, step long").groupBy("good", "step").count().collect():
+        counts[r["good"], r["step"]] = r["count"]
+    forest.threshold = threshold_of(counts[1], counts[0])
+    return forest
+
+
+def fitted(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Forest | None:
+    found = Stage(stats.sparkSession, "quality-fit").write(labelled(stats, labels, key=key), "labelled")
+    return calibrated(found, fit(*labelled_sample(found, fit_rows)))
+
+
 def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
     """Add base_failed, score (null without a forest) and kept to the rule statistics."""
     failed = stats.withColumn("base_failed", base_failed())
@@ -212,7 +267,7 @@ def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES])
             score = forest.score(x) if len(x) else np.zeros(0)
-            anomalous = (score >= forest.threshold) & forest.beyond(x) if len(x) else np.zeros(0, bool)
+            anomalous = score >= forest.threshold
             failed_rows = batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array(~failed_rows & ~anomalous)],
@@ -229,15 +284,14 @@ def quality_rules(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FI
     it again, so no text is ever shuffled.
     """
     stats = Stage(documents.sparkSession, "quality").write(rule_statistics(documents, key=key, text=text), "statistics")
-    x, good = labelled_sample(stats, labels, key=key, rows=fit_rows)
-    return judge(stats, fit(x, good))
+    return judge(stats, fitted(stats, labels, key=key, fit_rows=fit_rows))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, key: str = "doc_id",
              text: str = "text") -> DataFrame:
     """The rows of ``documents`` that are kept, all their columns; one scan to fit, one to filter, no shuffle of texts."""
     stats = Stage(documents.sparkSession, "quality").write(rule_statistics(documents, key=key, text=text), "statistics")
-    forest = fit(*labelled_sample(stats, labels, key=key, rows=fit_rows))
+    forest = fitted(stats, labels, key=key, fit_rows=fit_rows)
     names = documents.columns
 
     def run(batches):
@@ -249,7 +303,7 @@ def accepted(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
             n, repeat = np.array([r[0] for r in rows]), np.array([r[4] for r in rows])
             keep = ~((n < MIN_WORDS) | (100 * repeat > 50 * n))
             if forest is not None:
-                keep &= ~((forest.score(x) >= forest.threshold) & forest.beyond(x))
+                keep &= ~forest.rejects(x)
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)

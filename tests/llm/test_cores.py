@@ -222,12 +222,57 @@ def test_base_statistics(text):
     assert op2.statistics(text)[:5] == brute_statistics(text)
 
 
-def test_forest_isolates_what_differs():
+def two_kinds():
     rng = np.random.default_rng(0)
     good = np.abs(rng.normal(0.0, 0.01, (900, len(op2.FEATURES))))
     bad = good[:100] + np.eye(len(op2.FEATURES))[0] * 0.4
-    x, label = np.vstack([good, bad]), np.array([True] * 900 + [False] * 100)
-    forest = op2.fit(x, label)
-    rejected = (forest.score(x) >= forest.threshold) & forest.beyond(x)
-    assert rejected[~label].mean() > 0.95 and rejected[label].mean() < 0.01
+    return np.vstack([good, bad]), np.array([True] * 900 + [False] * 100)
+
+
+def test_forest_isolates_what_differs():
+    x, label = two_kinds()
+    forest = op2.fit(x[::2], label[::2])
+    rejected = forest.rejects(x[1::2])                       # rows that the fit has not seen
+    assert rejected[~label[1::2]].mean() > 0.95 and rejected[label[1::2]].mean() < 0.01
     assert op2.fit(x[label], label[label]) is None
+
+
+def test_forest_decides_alone():
+    x, label = two_kinds()
+    forest = op2.fit(x, label)
+    assert forest.rejects(x)[~label].all()
+    forest.trees = [tuple(np.array([v]) for v in (-1, 0.0, 0, 0, 8.0))]   # one leaf: every row as far as any other
+    assert len(set(forest.score(x))) == 1 and not forest.rejects(x).any()
+
+
+def path(tree, row, node=0):
+    column, value, left, right, length = (c[node] for c in tree)
+    return length if column < 0 else path(tree, row, left if row[column] < value else right)
+
+
+def test_forest_scores_are_mean_paths():
+    x, label = two_kinds()
+    forest = op2.fit(x, label)
+    seen = op2.excess(x, forest.middle, forest.unit, forest.side)
+    want = [2.0 ** (-np.mean([path(t, row) for t in forest.trees]) / forest.scale) for row in seen[::50]]
+    assert np.allclose(forest.score(x)[::50], want)
+    # without a split the path is the expected one of as many rows
+    assert op2.grow(np.zeros((7, 2)), np.random.default_rng(0), 5) == [(-1, 0.0, 0, 0, op2.average_path(7))]
+
+
+def test_threshold_is_the_best_balance():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        good, bad = rng.integers(0, 4, 40) * (np.arange(40) < rng.integers(1, 40)), rng.integers(0, 4, 40)
+        loss = float(rng.choice([0.0, 0.1, 0.3]))
+        t = op2.threshold_of(good, bad, loss, 2.0)
+        gain = {}
+        for at in range(40):
+            lost, caught = good[at:].sum() / max(1, good.sum()), bad[at:].sum() / max(1, bad.sum())
+            if lost <= loss:
+                gain[at] = caught - 2.0 * lost
+        top = max(gain.values(), default=0)
+        if top <= 0:
+            assert t == np.inf
+        else:
+            assert abs(gain[round(t * op2.GRID)] - top) < 1e-12

@@ -129,6 +129,35 @@ def test_op2_keeps_good_and_drops_bad(spark, sf):
     judged = [(labels[d], r["kept"]) for d, r in found.items() if d in labels and not r["base_failed"]]
     good = [k for q, k in judged if q == 1]
     assert np.mean(good) >= 0.97
+    bad = [k for q, k in judged if q == 0]
+    assert bad and np.mean(bad) <= 0.1
+
+
+def test_op2_verdicts_by_brute_force(spark, sf, small):
+    """Statistics, forest scores (mean of walked paths), threshold from all labelled rows and verdict, in plain Python."""
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest = op2.fitted(op2.rule_statistics(documents), labels)
+
+    def walk(tree, row, node=0):
+        column, value, left, right, length = (c[node] for c in tree)
+        return length if column < 0 else walk(tree, row, left if row[column] < value else right)
+
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    found = {r["doc_id"]: r for r in rows(QUERIES["op2_quality_rules"](spark, sf))}
+    counts = np.zeros((2, op2.GRID + 1), np.int64)
+    scores = {}
+    for d, t in small:
+        stats = op2.statistics(t or "")
+        failed = stats[0] < 50 or 100 * stats[4] > 50 * stats[0]
+        row = op2.excess(np.array(stats[5:]), forest.middle, forest.unit, forest.side)
+        scores[d] = 2.0 ** (-np.mean([walk(x, row) for x in forest.trees]) / forest.scale)
+        assert abs(scores[d] - found[d]["score"]) < 1e-9 and found[d]["base_failed"] == failed
+        if not failed and quality.get(d) in (0, 1):
+            counts[quality[d], int(scores[d] * op2.GRID)] += 1
+    threshold = op2.threshold_of(counts[1], counts[0])
+    assert threshold == forest.threshold < 1
+    assert all(r["kept"] == (not r["base_failed"] and scores[d] < threshold) for d, r in found.items())
+    assert any(not r["kept"] and not r["base_failed"] for r in found.values())
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
