@@ -1,7 +1,7 @@
 """Append-only result, case and operation-log tables and their searches.
 
-Tables are Parquet datasets written with ``mode('append')``; ids continue
-from the current maximum (``ids.append_ids``).  Searches are chained
+Tables are Parquet batches with a ledger of claimed id ranges (``ledger``),
+so retries and several writers leave rows single and ids dense.  Searches are chained
 ``filter``s ending in ``orderBy(desc id).limit(n)``, which Spark plans as a
 ``TakeOrderedAndProject``: each task keeps its own top-n, so listing never
 sorts the whole table.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.findings import rule_hit_tag
 from ..functions.text import sanitize_name
-from .ids import append_ids
+from .ledger import Ledger
 
 RECORD_COLUMNS = ["id", "username", "input_mode", "sample_id", "final_label", "final_source", "diagnosis",
                   "advice_mode", "created_at", "record_json", "result_json"]
@@ -38,39 +38,20 @@ def normalize_log(df: DataFrame) -> DataFrame:
                      clean_text(F.col("action")).alias("action"), clean_text(F.col("detail")).alias("detail"))
 
 
-def current_max_id(table: DataFrame | None) -> Column | int:
-    if table is None:
-        return 0
-    return table.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-
-
-def append(table: DataFrame | None, batch: DataFrame, order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
-    """New rows of ``batch`` with ids after the table's current maximum (ready to write in append mode)."""
-    numbered = append_ids(batch, order, current_max_id(table))
-    return numbered.select(*[F.col(c) if c in numbered.columns else F.lit("").alias(c) for c in columns])
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_store(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame | None:
     """The stored table, columns that an older version lacks filled with ''; None before the first append."""
-    if not exists(spark, path):
-        return None
-    return ensure_columns(spark.read.option("mergeSchema", "true").parquet(path), columns)
+    table = Ledger(spark, path).read()
+    return None if table is None else ensure_columns(table, columns)
 
 
-def append_to(batch: DataFrame, path: str, order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
-    """Append a batch to the table at ``path``; its ids go on after the stored maximum.  Returns the whole table.
+def append_to(batch: DataFrame, path: str, order: Sequence[str | Column], columns: Sequence[str],
+              batch_id: str) -> DataFrame:
+    """Append a batch to the table at ``path``; its ids go on after the stored ones.  Returns the whole table.
 
-    The ids are fixed before the write (``append_ids`` checkpoints them), and the files are added in one commit, so a
-    failed run leaves no half batch behind.  One writer at a time, as with the original's single store.
+    Safe for several writers; a batch id that is stored already is not appended again (``ledger``).
     """
     spark = batch.sparkSession
-    table = read_store(spark, path, {})
-    append(table, batch, order, columns).write.mode("append").parquet(path)
+    Ledger(spark, path).append(batch, batch_id, order, columns)
     return read_store(spark, path, {})
 
 

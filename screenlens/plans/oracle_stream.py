@@ -8,3 +8,5 @@ from .views import with_views
 
 oracle("stream_score", ORACLE["score_records"])
 oracle("stream_log", with_views("select id, username, action, detail, created_at from log", log=_LOG))
+oracle("stream_log_store", with_views("select id as event_id, username, action, detail, created_at, true as ids_dense "
+                                      "from log where ts is not null and action <> ''", log=_LOG))

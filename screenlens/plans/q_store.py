@@ -35,8 +35,8 @@ def _stored(spark: SparkSession, sf: str, name: str, batches: Callable[[], list[
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     if key not in _STORES:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{name}-{uuid.uuid4().hex}"
-        for batch in batches():
-            ST.append_to(batch, path, order, columns)
+        for number, batch in enumerate(batches()):
+            ST.append_to(batch, path, order, columns, f"{name}-{number}")
         _STORES[key] = path
     return ST.read_store(spark, _STORES[key], dict.fromkeys(columns, "string"))
 

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import RuleSet
+from ..operators.ledger import Ledger
 from ..operators.scoring import score_records
 from ..operators.serving import Artefacts
-from ..operators.store import normalize_log
+from ..operators.store import LOG_COLUMNS, normalize_log
 from ..sources.tables import ensure_checkpoint_dir
 
 
@@ -74,3 +75,33 @@ def stream_logs(spark: SparkSession, source: str, schema, sink: str, checkpoint:
                      F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
                      F.col("event_type").alias("action"), F.col("props").alias("detail"))
     run_available_now(normalize_log(logs), sink, checkpoint)
+
+
+def _log_rows(events: DataFrame) -> DataFrame:
+    """Operation-log rows of raw events; ``reason`` says why a row is rejected, null where it is not."""
+    rows = normalize_log(events.select(
+        "event_id", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
+        F.col("event_type").alias("action"), F.col("props").alias("detail")))
+    return rows.withColumn("reason", F.when(F.col("ts").isNull(), "no time").when(F.col("action") == "", "no action"))
+
+
+def stream_log_store(spark: SparkSession, source: str, schema, logs: Ledger, rejects: Ledger, checkpoint: str,
+                     name: str = "log", max_files_per_trigger: int | None = None) -> None:
+    """readStream events -> log table with dense ids; rows without a time or an action go to the table of rejects.
+
+    A micro-batch is appended under its number.  One that runs again, after a failure between the two appends or with a
+    lost checkpoint over the same files, is recognised in both ledgers.
+    """
+    def append(batch: DataFrame, number: int) -> None:
+        rows = _log_rows(batch)
+        logs.append(rows.where(F.col("reason").isNull()), f"{name}-{number}", ["ts", "event_id"],
+                    [*LOG_COLUMNS, "event_id"])
+        rejects.append(rows.where(F.col("reason").isNotNull()), f"{name}-{number}", ["event_id"],
+                       [*LOG_COLUMNS, "event_id", "reason"])
+
+    run = (_files(spark, schema, max_files_per_trigger).parquet(source).writeStream.foreachBatch(append)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
