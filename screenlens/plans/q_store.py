@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import store as ST
 from ..sources import fixtures as X
-from ..sources.tables import ensure_checkpoint_dir, reliable_checkpoint
+from ..sources.tables import ensure_checkpoint_dir, stored
 from .catalog import query
 
 RECORD_LIST = ["id", "created_at", "username", "input_mode", "sample_id", "final_label", "final_source", "advice_mode"]
@@ -42,7 +42,7 @@ def _stored(spark: SparkSession, sf: str, name: str, batches: Callable[[], list[
 
 
 def _in_two(df: DataFrame) -> list[DataFrame]:
-    df = reliable_checkpoint(df)            # scored once, read by both batches
+    df = stored(df, "batches")              # scored once, read by both batches
     return [df.where(F.col("created_at") < SECOND_BATCH), df.where(F.col("created_at") >= SECOND_BATCH)]
 
 
