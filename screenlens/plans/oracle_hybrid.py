@@ -87,3 +87,7 @@ select qid, rank, doc_id, title, type, score from (
         where k1 = 1) b) c
     where not is_ref or rr <= {C.REFERENCE_CAP}) d) e
 where rank <= {C.DEFAULT_TOP_K}""", **VIEWS))
+
+oracle("ranked_lists", with_views("""
+select qid, 'sparse' as list, cast(rank as int) as rank, doc_id, round(score, 6) as score from sbest
+union all select qid, 'dense', cast(rank as int), doc_id, round(score, 6) from dbest""", **VIEWS))

@@ -9,20 +9,19 @@ from .. import constants as C
 from ..functions import findings as H
 from ..operators import prompts as PM
 from ..operators import retrieval as RV
+from ..operators.corpus_index import CorpusIndex
 from .catalog import query
-from .q_retrieval import kb
+from .q_retrieval import corpus, plain_kb
 from .q_text import RECORD_FIELDS, _scored
 
 
-def documents_of(queries: DataFrame, corpus: DataFrame, top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
-    """qid, documents: the best ``top_k`` documents of each query, best first, as an array of structs.
+def documents_of(queries: DataFrame, docs: DataFrame, index: CorpusIndex, top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
+    """qid, documents: the best ``top_k`` documents of each query by hybrid search, best first, as an array of structs.
 
     Equal query texts are retrieved once: the caller keys the queries by their text.
     """
-    terms = RV.query_terms(queries, F.col("query"), ["qid"])
-    scores = RV.bm25_scores(RV.bm25_index(corpus, terms=terms), terms, ["qid"])
-    ranked = RV.topk_rows(scores.withColumn("score", F.round("score", 9)), ["qid"], "score", top_k)
-    found = ranked.join(corpus.select("doc_id", "title", "source", "text", "type"), "doc_id")
+    found = RV.dedupe_top_k(RV.hybrid_candidates(docs, queries, top_k, index).withColumn("score", F.round("score", 6)),
+                            top_k)
     entry = F.struct("rank", "doc_id", "title", "source", "text", "type", "score")
     return found.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("documents"))   # top_k entries at most
 
@@ -31,7 +30,7 @@ def documents_of(queries: DataFrame, corpus: DataFrame, top_k: int = C.DEFAULT_T
 def q_serve_records(spark: SparkSession, sf: str) -> DataFrame:
     """Conclusion, documents, advice, report and prompt of every record."""
     scored = _scored(spark, sf).withColumn("qid", F.md5("query"))
-    found = documents_of(scored.select("qid", "query").distinct(), kb(spark, sf))
+    found = documents_of(scored.select("qid", "query").distinct(), plain_kb(spark, sf), corpus(spark, sf))
     s = scored.join(found, "qid", "left").withColumn(
         "documents", F.coalesce("documents", F.filter(F.array(F.lit(None).cast(
             "struct<rank:int,doc_id:bigint,title:string,source:string,text:string,type:string,score:double>")),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenlens.operators import store as ST
-from screenlens.operators.ledger import Ledger
+from screenlens.operators.ledger import Ledger, claim_file
 from screenlens.streaming import stream as SM
 
 
@@ -57,7 +57,7 @@ def test_a_taken_number_is_never_replaced(spark, tmp_path):
     table = Ledger(spark, str(tmp_path / "store"))
     table.append(rows(spark, 0, 4), "a", ["record_id"], COLUMNS)
     before = table.claims().collect()
-    assert not table._claim(0, {"claim": 0, "batch_id": "other"})
+    assert not claim_file(spark, f"{table.path}/ledger", 0, {"claim": 0, "batch_id": "other"})
     assert table.claims().collect() == before
 
 
