@@ -65,7 +65,7 @@ def export_text(df: DataFrame, path: str, name: Column, body: Column, buckets: i
 def save_table(df: DataFrame, path: str, kind: str) -> None:
     """Save as ``csv`` (with header) or ``parquet``; any other kind is an error."""
     if kind == "csv":
-        df.write.mode("overwrite").option("header", "true").csv(path)
+        df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,18 +12,24 @@ from ..functions import findings as H
 from ..operators import prompts as PM
 from ..operators import retrieval as RV
 from ..operators.corpus_index import CorpusIndex
+from ..sources.tables import stored
 from .catalog import query
-from .q_retrieval import corpus, plain_kb
+from .q_retrieval import corpus, documents_of
 from .q_text import RECORD_FIELDS, _scored
 
 
-def documents_of(queries: DataFrame, docs: DataFrame, index: CorpusIndex, top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
-    """qid, documents: the best ``top_k`` documents of each query by hybrid search, best first, as an array of structs.
+def best_documents(queries: DataFrame, index: CorpusIndex, documents: Callable[[DataFrame], DataFrame],
+                   top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
+    """qid, documents: the best ``top_k`` documents of each query, best first, as an array of structs.
 
-    Equal query texts are retrieved once: the caller keys the queries by their text.
+    Postings come from the stored index; only documents that are found are prepared.  Equal query texts are retrieved
+    once: the caller keys the queries by their text.
     """
-    found = RV.dedupe_top_k(RV.hybrid_candidates(docs, queries, top_k, index).withColumn("score", F.round("score", 6)),
-                            top_k)
+    terms = RV.query_terms(queries, F.col("query"), ["qid"])
+    scores = RV.bm25_scores(index.bm25(terms), terms, ["qid"]).withColumn("score", F.round("score", 9))
+    ranked = stored(RV.topk_rows(scores, ["qid"], "score", top_k), "ranked")
+    corpus = documents(ranked.select("doc_id").distinct())
+    found = ranked.join(corpus.select("doc_id", "title", "source", "text", "type"), "doc_id")
     entry = F.struct("rank", "doc_id", "title", "source", "text", "type", "score")
     return found.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("documents"))   # top_k entries at most
 
@@ -30,7 +38,7 @@ def documents_of(queries: DataFrame, docs: DataFrame, index: CorpusIndex, top_k:
 def q_serve_records(spark: SparkSession, sf: str) -> DataFrame:
     """Conclusion, documents, advice, report and prompt of every record."""
     scored = _scored(spark, sf).withColumn("qid", F.md5("query"))
-    found = documents_of(scored.select("qid", "query").distinct(), plain_kb(spark, sf), corpus(spark, sf))
+    found = best_documents(scored.select("qid", "query").distinct(), corpus(spark, sf), documents_of(spark, sf))
     s = scored.join(found, "qid", "left").withColumn(
         "documents", F.coalesce("documents", F.filter(F.array(F.lit(None).cast(
             "struct<rank:int,doc_id:bigint,title:string,source:string,text:string,type:string,score:double>")),
