@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.rules import exam_rules
 from ..operators.ledger import Ledger
 from ..sources import fixtures as X
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from ..streaming import stream as ST
 from .catalog import query
 
 SOURCE_FILES = 4
+FILE_ROWS = 100_000         # of a landed file
 
 
 @query("stream_score")
@@ -23,7 +24,8 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     base = ST.scratch_dir(spark, "stream-score")
     src = os.path.join(base, "source")
     # land the EXAM records as several files so the stream runs several micro-batches
-    X.exam(spark, sf).drop("exam_date").repartition(SOURCE_FILES, "record_id").write.parquet(src)
+    # and no task reads more than one file's records, however many there are
+    spread(X.exam(spark, sf).drop("exam_date"), "record_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(src)
     schema = spark.read.parquet(src).schema
     ST.stream_scores(spark, src, schema, exam_rules(), X.EXAM_FIELDS, os.path.join(base, "sink"),
                      os.path.join(base, "checkpoint"))
