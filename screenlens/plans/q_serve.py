@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import findings as H
+from ..functions.text import norm_ws
 from ..operators import prompts as PM
 from ..operators import retrieval as RV
 from ..operators.corpus_index import CorpusIndex
@@ -18,28 +19,31 @@ from .q_retrieval import corpus, documents_of
 from .q_text import RECORD_FIELDS, _scored
 
 
+USED_CHARS = max(C.REFERENCE_CHARS, C.PROMPT_DOC_CHARS) + 1     # of a document's text; one more keeps a last space
+
+
 def best_documents(queries: DataFrame, index: CorpusIndex, documents: Callable[[DataFrame], DataFrame],
-                   top_k: int = C.DEFAULT_TOP_K) -> DataFrame:
-    """qid, documents: the best ``top_k`` documents of each query, best first, as an array of structs.
+                   top_k: int = C.DEFAULT_TOP_K) -> tuple[DataFrame, DataFrame]:
+    """(qid, q) and (q, documents): the best ``top_k`` documents, best first, as an array of structs.
 
-    Postings come from the stored index; only documents that are found are prepared.  Equal query texts are retrieved
-    once: the caller keys the queries by their text.
+    Postings come from the stored index; only documents that are found are prepared.  Queries that have the same terms of
+    the corpus share a ``q``, and their documents are found and joined once, with as much text as the outputs use.
     """
-    terms = RV.query_terms(queries, F.col("query"), ["qid"])
-    scores = RV.bm25_scores(index.bm25(terms), terms, ["qid"]).withColumn("score", F.round("score", 9))
-    ranked = stored(RV.topk_rows(scores, ["qid"], "score", top_k), "ranked")
+    names, found = index.bm25_matches(RV.query_terms(queries, F.col("query"), ["qid"]), ["qid"], top_k, 9)
+    ranked = stored(found, "ranked")
+    used = F.substring(norm_ws(F.col("text")), 1, USED_CHARS).alias("text")
     corpus = documents(ranked.select("doc_id").distinct())
-    found = ranked.join(corpus.select("doc_id", "title", "source", "text", "type"), "doc_id")
+    found = ranked.join(corpus.select("doc_id", "title", "source", used, "type"), "doc_id")
     entry = F.struct("rank", "doc_id", "title", "source", "text", "type", "score")
-    return found.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("documents"))   # top_k entries at most
+    return names, found.groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("documents"))   # top_k entries
 
 
 @query("serve_records")
 def q_serve_records(spark: SparkSession, sf: str) -> DataFrame:
     """Conclusion, documents, advice, report and prompt of every record."""
     scored = _scored(spark, sf).withColumn("qid", F.md5("query"))
-    found = best_documents(scored.select("qid", "query").distinct(), corpus(spark, sf), documents_of(spark, sf))
-    s = scored.join(found, "qid", "left").withColumn(
+    names, found = best_documents(scored.select("qid", "query").distinct(), corpus(spark, sf), documents_of(spark, sf))
+    s = scored.join(names, "qid", "left").join(found, "q", "left").withColumn(
         "documents", F.coalesce("documents", F.filter(F.array(F.lit(None).cast(
             "struct<rank:int,doc_id:bigint,title:string,source:string,text:string,type:string,score:double>")),
             lambda x: x.isNotNull())))
