@@ -23,6 +23,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,9 @@ from .. import constants as C
 from ..sources.tables import ensure_checkpoint_dir
 from .models import FittedModel
 
-BATCH_ROWS = 1024       # rows scored at once; a batch's work arrays are rows x path features x nodes
+BATCH_ROWS = 2048       # rows scored at once
+PATTERN_FEATURES = 12   # paths of more features are not scored by patterns
+DIRECT_ROWS = 1024      # their rows are scored so many at once: the work arrays are rows x path features x nodes
 
 
 @dataclass(frozen=True)
@@ -94,25 +97,56 @@ class AdditiveTrees:
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """rows x outputs x features."""
-        out = np.zeros((x.shape[0], self.outputs, x.shape[1]))
+        out = np.zeros((x.shape[1], self.outputs, x.shape[0]))
         for tree in self.trees:
             left = {i: n.goes_left(x) for i, n in tree.nodes.items() if n.left is not None}
+            sides = {(i, to_left): passes if to_left else ~passes for i, passes in left.items() for to_left in (True, False)}
             for leaf in tree.leaves:
                 if not leaf.edges:
                     continue
-                passes = np.stack([np.logical_and.reduce([left[i] == to_left for i, to_left in edges])
-                                   for _, edges in leaf.edges], axis=1).astype(np.float64)
-                effect = (passes - np.array(leaf.shares)) * _others(passes, np.array(leaf.shares))
-                for column, (feature, _) in enumerate(leaf.edges):
-                    out[:, :, feature] += effect[:, column, None] * leaf.answer
-        return out
+                passes = [np.logical_and.reduce([sides[e] for e in edges]) if len(edges) > 1 else sides[edges[0]]
+                          for _, edges in leaf.edges]
+                for (feature, _), effect in zip(leaf.edges, _effects(passes, np.array(leaf.shares))):
+                    for k, answer in enumerate(leaf.answer):
+                        if answer:
+                            out[feature, k] += effect * answer
+        return out.transpose(2, 1, 0)
+
+
+def _effects(passes: list[np.ndarray], shares: np.ndarray) -> list[np.ndarray]:
+    """For each feature of a path its effect in each row.
+
+    The effects depend on which of the path's features a row passes, so they are computed once for each such pattern that
+    occurs and looked up for the rows.
+    """
+    d, rows = len(passes), len(passes[0])
+    if d > PATTERN_FEATURES:
+        each = [np.stack([p[i: i + DIRECT_ROWS] for p in passes], axis=1).astype(np.float64)
+                for i in range(0, rows, DIRECT_ROWS)]
+        return list(np.concatenate([(e - shares) * _others(e, shares) for e in each]).T)
+    code = passes[0].astype(np.intp)
+    for j in range(1, d):
+        code |= passes[j].astype(np.intp) << j
+    met = np.flatnonzero(np.bincount(code, minlength=1 << d))
+    pattern = ((met[:, None] >> np.arange(d)) & 1).astype(np.float64)
+    table = np.ascontiguousarray(((pattern - shares) * _others(pattern, shares)).T)
+    place = np.zeros(1 << d, np.intp)
+    place[met] = np.arange(met.size)
+    code = place[code]
+    return [line[code] for line in table]
+
+
+@cache
+def _quadrature(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights over 0..1."""
+    points, weights = np.polynomial.legendre.leggauss(n)
+    return (points + 1) / 2, weights / 2
 
 
 def _others(passes: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """For each row and feature the integral of the product of the other features' factors."""
     d = shares.size
-    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-    t = (points + 1) / 2
+    t, weights = _quadrature((d + 1) // 2)
     factors = passes[:, :, None] * t + shares[None, :, None] * (1 - t)
     # products before and after each feature: dividing the whole product would fail for a share of zero
     before = np.ones_like(factors)
@@ -120,7 +154,7 @@ def _others(passes: np.ndarray, shares: np.ndarray) -> np.ndarray:
     for j in range(1, d):
         before[:, j] = before[:, j - 1] * factors[:, j - 1]
         after[:, d - 1 - j] = after[:, d - j] * factors[:, d - j]
-    return (before * after) @ (weights / 2)
+    return (before * after) @ weights
 
 
 def _grow(nodes: dict[int, Node], answer) -> Tree:
