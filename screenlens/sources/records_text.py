@@ -7,6 +7,8 @@ Parsing is per row (no shuffle): a record text becomes an ordered array of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,37 @@ KEY_HALF = r"^(.*?):"
 VAL_HALF = r"^.*?:(.*)$"
 
 
+#: line ends that a text may hold inside a line: there "." and "$" of the patterns stop
+INNER_LINE_ENDS = ("\u0085", "\u2028", "\u2029")
+
+
 def kv_entries(text: Column) -> Column:
     """'key: value' / '键：值' lines -> array<struct<k,v>>; full-width colon wins, split once,
     lines without a colon or with an empty key are skipped, last key wins."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda s: F.trim(s)),
-                     lambda s: s != "")
-
-    def entry(s: Column) -> Column:
-        return (F.when(s.contains("："), F.struct(F.trim(F.regexp_extract(s, KEY_FULL, 1)).alias("k"),
-                                                F.trim(F.regexp_extract(s, VAL_FULL, 1)).alias("v")))
-                .when(s.contains(":"), F.struct(F.trim(F.regexp_extract(s, KEY_HALF, 1)).alias("k"),
-                                                F.trim(F.regexp_extract(s, VAL_HALF, 1)).alias("v"))))
-
-    entries = F.filter(F.transform(lines, entry), lambda e: e.isNotNull() & (e["k"] != ""))
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1),
-                                                     lambda x: x["k"] == e["k"]))
+    text = F.coalesce(text, F.lit(""))
+
+    def cut(s: Column, colon: str) -> Column:
+        key = F.substring_index(s, colon, 1)
+        return F.struct(F.trim(key).alias("k"), F.trim(s.substr(F.length(key) + 2, F.length(s))).alias("v"))
+
+    def matched(s: Column, key: str, value: str) -> Column:
+        return F.struct(F.trim(F.regexp_extract(s, key, 1)).alias("k"), F.trim(F.regexp_extract(s, value, 1)).alias("v"))
+
+    def parsed(full: Callable[[Column], Column], half: Callable[[Column], Column]) -> Column:
+        lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.trim(s))
+        entries = F.transform(lines, lambda s: F.when(s.contains("："), full(s)).when(s.contains(":"), half(s)))
+        return F.filter(entries, lambda e: e.isNotNull() & (e["k"] != ""))
+
+    odd = text.contains(INNER_LINE_ENDS[0]) | text.contains(INNER_LINE_ENDS[1]) | text.contains(INNER_LINE_ENDS[2])
+    entries = F.when(odd, parsed(lambda s: matched(s, KEY_FULL, VAL_FULL), lambda s: matched(s, KEY_HALF, VAL_HALF))) \
+        .otherwise(parsed(lambda s: cut(s, "："), lambda s: cut(s, ":")))
+
+    def last(all_entries: Column) -> Column:
+        return F.filter(all_entries, lambda e, i: ~F.exists(F.slice(all_entries, i + 2, F.size(all_entries) + 1),
+                                                            lambda x: x["k"] == e["k"]))
+
+    # as a lambda's argument the parsed lines are evaluated once a text, not once for each of their entries
+    return F.element_at(F.transform(F.array(entries), last), 1)
 
 
 def entries_text(entries: Column) -> Column:
