@@ -65,6 +65,17 @@ def samples_per_label(df: DataFrame, label: str, order: Sequence[Column], n: int
     return picked.select(*out, F.col("__rn").alias("sample_rank"))
 
 
+def least_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows per group in ``order``, for an ``n`` above what Spark plans a group limit for: each group is
+    dealt over as many parts as the shuffle has, and only the first ``n`` of every part meet in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(parts)))
+    for keys in ([*group, "__part"], list(group)):
+        w = Window.partitionBy(*[q(c) for c in keys]).orderBy(*[q(c) for c in order])
+        dealt = dealt.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    return dealt.drop("__part")
+
+
 def demo_samples(df: DataFrame, label: Column, expert_label: Column, field_score: Column, key: Column,
                  agree_first: Sequence[str], per_label: int = 4, precut: int = 200) -> DataFrame:
     """Per label: best ``precut`` rows by field score, then the top ``per_label`` with
