@@ -25,6 +25,8 @@ CASE_SEARCH = {"rule_hit_tag": C.RULE_HIT, "rule_version": "v1"}
 LOG_SEARCH = {"keyword": "9", "action": "click", "username": "user1"}
 
 
+CASE_SOURCE = ["record_id", "username", "final_label", "final_source", "diagnosis", "rule_id", "created_at", "record_json",
+               "result_json"]               # what case_rows reads
 SECOND_BATCH = "1995-01-01 00:00:00"     # what was created from then on is appended as a second batch
 _STORES: dict[tuple, str] = {}
 
@@ -42,18 +44,19 @@ def _stored(spark: SparkSession, sf: str, name: str, batches: Callable[[], list[
 
 
 def _in_two(df: DataFrame) -> list[DataFrame]:
-    df = stored(df, "batches")              # scored once, read by both batches
+    """``df`` is stored: both batches read it."""
     return [df.where(F.col("created_at") < SECOND_BATCH), df.where(F.col("created_at") >= SECOND_BATCH)]
 
 
 def saved_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "records", lambda: _in_two(X.records(spark, sf)), ["created_at", "record_id"],
+    return _stored(spark, sf, "records", lambda: _in_two(stored(X.records(spark, sf), "batches")), ["created_at", "record_id"],
                    ST.RECORD_COLUMNS + ["record_id", "rule_id"])
 
 
 def saved_cases(spark: SparkSession, sf: str) -> DataFrame:
     def batches() -> list[DataFrame]:
-        rec = X.records(spark, sf).where(F.col("final_source") == C.SOURCE_RULES)
+        # stored before the filter, which would otherwise be pushed below the scoring and evaluate the rules again
+        rec = stored(X.records(spark, sf).select(*CASE_SOURCE), "batches").where(F.col("final_source") == C.SOURCE_RULES)
         return _in_two(ST.case_rows(rec, X.RULE_VERSION, note=F.col("diagnosis")))
 
     return _stored(spark, sf, "cases", batches, ["created_at", "record_id"], ST.CASE_COLUMNS + ["record_id"])
