@@ -40,8 +40,8 @@ def q_advice_template(spark: SparkSession, sf: str) -> DataFrame:
 def q_record_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = _scored(spark, sf)
     f = H.Fields(s.columns, X.EXAM_FIELDS)
-    sec = H.summary_sections(f, F.col("highlights"))
-    return s.select("record_id", F.size(sec).alias("n_sections"), H.summary_text(sec).alias("summary"))
+    laid = s.select("record_id", H.summary_sections(f, F.col("highlights")).alias("sections"))
+    return laid.select("record_id", F.size("sections").alias("n_sections"), H.summary_text(F.col("sections")).alias("summary"))
 
 
 @query("report_text")

@@ -1,0 +1,26 @@
+"""Each field of a summary is judged and normalised once."""
+
+from pyspark.sql import functions as F
+
+from screenlens import constants as C
+from screenlens.functions import findings as H
+
+
+def test_sections(spark):
+    roles = list(dict.fromkeys([r for _, rs in C.SUMMARY_LAYOUT for r in rs] + ["hazard"]))
+    shown = [rs[0] for _, rs in C.SUMMARY_LAYOUT]
+    full = [f" {r} " if r in shown else None for r in roles]
+    full[roles.index("hazard")] = "x,、 ,y"
+    df = spark.createDataFrame([(1, *full), (2, *[" " for _ in roles])], "i int, " + ", ".join(f"`{r}` string" for r in roles))
+    f = H.Fields(df.columns, {r: r for r in roles})
+    df = df.withColumn("hl", F.when(F.col("i") == 1, F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        out = df.select("i", H.summary_sections(f, F.col("hl")).alias("s"))
+        plan = out._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("regexp_replace") <= sum(len(rs) for _, rs in C.SUMMARY_LAYOUT) + 2
+    found = {r["i"]: [(s["title"], list(s["items"])) for s in r["s"]] for r in out.collect()}
+    assert [t for t, _ in found[1]][-2:] == [C.HIGHLIGHT_SECTION, C.TAG_SECTION] and found[1][-1][1] == ["x", "y"]
+    assert len(found[1]) == len(C.SUMMARY_LAYOUT) + 2 and found[2] == []
