@@ -45,7 +45,7 @@ GRAM = 64               # long enough that unrelated texts seldom share one
 HOT = 64
 STEP = 20
 BUCKET_BYTES = 512 << 10
-PIECE = 8 << 20          # bytes of one text hashed at a time (below 2 ** 24, see _anchors)
+PIECE = 1 << 20          # bytes hashed at a time, with work arrays of about 80 times as many (below 2 ** 24, see _anchors)
 SEPARATOR = 0xFF         # never part of UTF-8
 
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +121,7 @@ def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
              pa.array(start + offset), pa.array(size), pa.array(at)], names=schema.names)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             texts = [t.encode("utf-8") for t in texts_of(batch)]
             if len(texts) == 1 and len(texts[0]) > PIECE:       # a very long text, a piece at a time
                 for a in range(0, len(texts[0]) - length + 1, PIECE):
