@@ -13,7 +13,8 @@ at 0.8 falls short with probability about 7e-6).  Collisions are not counted by
   component need no more pairs: a group of m near copies costs m pairs, not m * m;
 * what is left (lists that span components) is settled exactly on the sets: an inverted join on each set's rarest
   shingles with length and positional filters, only between different components, keeping pairs above the match
-  threshold.
+  threshold.  A shingle of more than ``HOT`` such sets emits no pairs: its sets lie in blocks of ``BLOCK_BYTES``, blocks
+  that share such shingles meet once as arrays, and of the links found there a spanning forest is returned.
 
 Every link is confirmed on the full sets, then components are taken.  Copies (equal sets) are one class from the start.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -38,6 +39,8 @@ SHINGLE = 4
 SHARE = 80              # percent: link if 100 * intersection >= SHARE * union
 COORDINATES = 32
 MIN_MATCHES = 15
+HOT = 64                # sets under one rare shingle that may form pairs of rows; more meet in blocks
+BLOCK_BYTES = 256 << 10  # of set hashes and signatures in a block; a task holds two blocks
 SEED = 7
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -238,9 +241,9 @@ def star_pairs(prefix: DataFrame, stage: Stage) -> DataFrame:
     return best.select(F.col("rep").alias("a"), (-F.col("best.neg")).alias("b"))
 
 
-def residual_pairs(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage: Stage, shingle: int,
-                   share: int) -> DataFrame:
-    """Pairs of different components that the rarest-shingle prefixes, lengths and positions allow."""
+def residual_prefixes(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage: Stage, shingle: int,
+                      share: int) -> DataFrame:
+    """Rarest-shingle prefixes of the classes whose posting lists span components: rep, h, at, size, component."""
     with_comp = (prefix.select("rep", "posting").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
                  .select("rep", "posting", F.coalesce("component", "rep").alias("component")))
     with_comp = stage.write(with_comp, "posting-components")
@@ -275,16 +278,131 @@ def residual_pairs(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage:
               .withColumn("from_end", F.row_number().over(w.orderBy(F.desc("df"), F.desc("h"))))
               .withColumn("at", F.col("size") - F.col("from_end"))          # shingles before it in the global order
               .filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * share / 100)))
-    keyed = stage.write(ranked.select("rep", "h", "at", "size").join(open_reps, "rep"), "open-prefixes")
-    a, b = (keyed.select(F.col("h"), *[F.col(c).alias(c + s) for c in ("rep", "at", "size", "component")])
+    return stage.write(ranked.select("rep", "h", "at", "size").join(open_reps, "rep"), "open-prefixes")
+
+
+def _room_for(share: int, size_a: str, size_b: str, room_a: Column, room_b: Column) -> Column:
+    """Whether sets of these sizes can still share enough in what is left of them."""
+    return F.least(room_a, room_b) >= F.ceil(F.lit(share) * (F.col(size_a) + F.col(size_b)) / (100 + share))
+
+
+def residual_pairs(keyed: DataFrame, heavy: DataFrame, share: int) -> DataFrame:
+    """Pairs of different components that the prefixes, lengths and positions allow, but for the shingles in ``heavy``."""
+    light = keyed.join(heavy.select("h"), "h", "left_anti")
+    a, b = (light.select(F.col("h"), *[F.col(c).alias(c + s) for c in ("rep", "at", "size", "component")])
             for s in ("_a", "_b"))
-    need = F.ceil(F.lit(share) * (F.col("size_a") + F.col("size_b")) / (100 + share))
-    room = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1
     pairs = a.join(b, (a.h == b.h) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
-                   & (room >= need))
+                   & _room_for(share, "size_a", "size_b", F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")))
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
+def block_pairs(keyed: DataFrame, heavy: DataFrame, stage: Stage, share: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the classes under the shingles in ``heavy``: (rep, component, block), and the pairs of blocks (p, q)
+    that share such a shingle as prefixes, lengths and positions allow.
+
+    A class lies with those of its largest list, so a group of near copies fills few blocks whatever the number of lists.
+    """
+    met = stage.write(keyed.join(heavy, "h"), "heavy-postings")
+    home = stage.write(met.groupBy("rep", "component").agg(F.max(F.struct("n", "h")).alias("top"), F.max("size").alias("size"))
+                       .select("rep", "component", F.col("top.h").alias("home"), "size"), "homes")
+    parts = stage.write(home.groupBy("home").agg(
+        F.ceil(F.sum(F.col("size") * 8 + 4 * COORDINATES) / BLOCK_BYTES).alias("parts")), "home-parts")
+    blocks = stage.write(home.join(parts, "home").select(
+        "rep", "component", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")), "blocks")
+    lists = stage.write(
+        met.join(blocks.select("rep", "block"), "rep").groupBy("block", "h").agg(
+            F.max(F.col("size") - F.col("at")).alias("room"), F.min("size").alias("size"),
+            F.min("component").alias("lo"), F.max("component").alias("hi")), "block-lists")
+    p, q = (lists.select("h", *[F.col(c).alias(c + s) for c in ("block", "room", "size", "lo", "hi")]) for s in ("_p", "_q"))
+    one = (F.col("lo_p") == F.col("hi_q")) & (F.col("hi_p") == F.col("lo_q"))          # all of one component
+    pairs = (p.join(q, (p.h == q.h) & (F.col("block_p") <= F.col("block_q")) & ~one
+                    & _room_for(share, "size_p", "size_q", F.col("room_p"), F.col("room_q")))
+             .select(F.col("block_p").alias("p"), F.col("block_q").alias("q")).distinct())
+    return blocks, stage.write(pairs, "block-pairs")
+
+
+def spanning_links(first: list[tuple], second: list[tuple], share: int, min_matches: int) -> list[tuple]:
+    """Links (a, b) of a class in ``first`` with one in ``second`` that join components not joined yet.
+
+    Classes are (rep, component, signature, sorted set hashes); signatures and sets both have to agree.
+    """
+    if not first or not second:
+        return []
+    number: dict = {}
+    of_first, of_second = (np.array([number.setdefault(c[1], len(number)) for c in part]) for part in (first, second))
+    signature = np.stack([c[2] for c in second])
+    size = np.array([len(c[3]) for c in second])
+    out = []
+    for i, (rep, _, sig, hashes) in enumerate(first):
+        n = len(hashes)
+        near = ((signature == sig).sum(1) >= min_matches) & (100 * np.minimum(size, n) >= share * np.maximum(size, n))
+        for j in np.flatnonzero(near & (of_second != of_first[i])).tolist():
+            mine, other = of_first[i], of_second[j]
+            if mine == other:
+                continue
+            common = len(np.intersect1d(hashes, second[j][3], assume_unique=True))
+            if 100 * common >= share * (n + len(second[j][3]) - common):
+                out.append((rep, second[j][0]))
+                of_first[of_first == other] = mine
+                of_second[of_second == other] = mine
+    return out
+
+
+def block_links(blocks: DataFrame, pairs: DataFrame, texts: DataFrame, stage: Stage, shingle: int, share: int,
+                coordinates: int, min_matches: int) -> DataFrame:
+    """Links (a, b) within the pairs of blocks: for each pair of blocks a spanning forest of its components."""
+    fields = [texts.schema["rep"], blocks.schema["component"], blocks.schema["block"]]
+    names = [f.name for f in fields]
+
+    def sets(batches):
+        hasher = _Hasher(coordinates)
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = [shingle_hashes(t, shingle) for t in texts_of(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in names], pa.array([s.tobytes() for s in hasher.signatures(found)], pa.binary()),
+                     pa.array([s.tobytes() for s in found], pa.binary())], names=[*names, "signature", "hashes"])
+
+    members = stage.write(
+        texts.join(blocks, "rep").select(*names, "text").mapInArrow(
+            sets, T.StructType([*fields, T.StructField("signature", T.BinaryType()),
+                                T.StructField("hashes", T.BinaryType())])), "block-members")
+    sides = stage.write(
+        pairs.select("p", "q", F.col("p").alias("block"), F.lit(0).alias("side"))
+        .union(pairs.filter("p < q").select("p", "q", F.col("q").alias("block"), F.lit(1).alias("side"))), "block-sides")
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts: list[list[tuple]] = [[], []]
+        for rep, component, signature, hashes, side in zip(*(table.column(c).to_pylist() for c in (
+                "rep", "component", "signature", "hashes", "side"))):
+            parts[side].append((rep, component, np.frombuffer(signature, np.uint32), np.frombuffer(hashes, np.uint64)))
+        one = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        links = spanning_links(parts[0], parts[0] if one else parts[1], share, min_matches)
+        kind = table.schema.field("rep").type
+        return pa.table([pa.array([x[0] for x in links], kind), pa.array([x[1] for x in links], kind)], names=["a", "b"])
+
+    kind = fields[0].dataType
+    return (sides.join(members, "block").groupBy("p", "q").applyInArrow(
+        meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+
+
+def residual_links(prefix: DataFrame, comps: DataFrame, texts: DataFrame, stage: Stage, shingle: int, share: int,
+                   classes: DataFrame | None = None, coordinates: int = 1, min_matches: int = 0) -> DataFrame:
+    """Confirmed links (a, b) between components whose posting lists meet, as many as the components need.
+
+    With ``classes`` (rep, signature) the signatures have to agree on ``min_matches`` coordinates too.
+    """
+    keyed = residual_prefixes(prefix, comps, texts, stage, shingle, share)
+    heavy = stage.write(keyed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "heavy-shingles")
+    rest = residual_pairs(keyed, heavy, share)
+    if classes is not None:
+        rest = _agreeing(rest, classes, min_matches)
+    if not heavy.isEmpty():
+        blocks, meeting = block_pairs(keyed, heavy, stage, share)
+        rest = rest.union(block_links(blocks, meeting, texts, stage, shingle, share, coordinates, min_matches)).distinct()
+    return stage.write(_confirm(stage.write(rest, "residual"), texts, shingle, share), "residual-links")
+
+
 def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     share: int = SHARE, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
     """One row per row of ``documents``: key, n_shingles, component_id, kept (key = component_id)."""
@@ -304,9 +422,7 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
 
     links = stage.write(_confirm(_agreeing(star_pairs(prefix, stage), classes, min_matches), texts, shingle, share), "star")
     comps = components(links, stage, "star-components")
-    rest = stage.write(_agreeing(residual_pairs(prefix, comps, texts, stage, shingle, share), classes, min_matches),
-                       "residual")
-    more = stage.write(_confirm(rest, texts, shingle, share), "residual-links")
+    more = residual_links(prefix, comps, texts, stage, shingle, share, classes, coordinates, min_matches)
 
     # classes hold all documents of one set; a document whose key repeats joins its sets
     member = part.select("doc", "set_id").join(classes.select("set_id", "rep"), "set_id")

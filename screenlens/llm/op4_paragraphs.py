@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stage, components, lower_bytes, slices, texts_of
-from .op3_minhash import _M, _confirm, _Hasher, mix, residual_pairs, star_pairs, word_hashes
+from .op3_minhash import _M, _confirm, _Hasher, mix, residual_links, star_pairs, word_hashes
 
 MIN_WORDS = 25
 SHINGLE = 5
@@ -271,8 +271,7 @@ def repeated_paragraphs(documents: DataFrame, *, key: str = "doc_id", text: str
 
     links = stage.write(_confirm(star_pairs(prefix, stage), texts, shingle, share), "star")
     comps = components(links, stage, "star-components")
-    rest = residual_pairs(prefix, comps, texts, stage, shingle, share)
-    more = stage.write(_confirm(rest, texts, shingle, share), "residual-links")
+    more = residual_links(prefix, comps, texts, stage, shingle, share)
     final = components(links.union(more).distinct(), stage, "components")
 
     labelled = (places.join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -215,6 +215,36 @@ def test_op3_group_of_near_copies(spark):
     assert as_tuples(op3.near_duplicates(df)) == sort_rows(expected_components(made))
 
 
+def test_op3_group_without_links_makes_no_square_of_pairs(spark, monkeypatch):
+    """Texts put together from two forms of each sentence share rare shingles with all the others and link with few."""
+    rng = np.random.default_rng(8)
+    forms = [[" ".join(f"s{n}f{f}w{i}" for i in range(10)) for f in range(2)] for n in range(15)]
+    made = [(d, " ".join(forms[n][f] for n, f in enumerate(rng.integers(0, 2, 15)))) for d in range(300)]
+    for d in range(0, 60, 3):                                   # some have a near copy: one sentence in its other form
+        words = made[d][1].split()
+        words[:10] = [f"x{d}-{i}" for i in range(10)]
+        made.append((1000 + d, " ".join(words)))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    counts, confirm = [], op3._agreeing
+    monkeypatch.setattr(op3, "_agreeing", lambda pairs, *a: (counts.append(pairs.count()), confirm(pairs, *a))[1])
+    expected = expected_components(made)
+    assert len({c for _, _, c, _ in expected}) > 250
+    assert as_tuples(op3.near_duplicates(df)) == sort_rows(expected)
+    assert sum(counts) < 10 * len(made)
+
+
+def test_op3_blocks_give_the_links_that_components_need(spark):
+    """Classes of many components in one block: links join each two linked components once, copies of a link are left out."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, 300).astype(np.uint64)) for _ in range(6)]
+    full = [*sets, *[np.delete(s, [0, 1]) for s in sets], *[np.delete(s, [5]) for s in sets]]
+    classes = [(n, n, np.zeros(4, np.uint32), s) for n, s in enumerate(full)]
+    links = op3.spanning_links(classes, classes, 80, 4)
+    same = {(n, m) for n in range(18) for m in range(18) if n != m and n % 6 == m % 6}
+    assert len(links) == 12 and set(links) <= same
+    assert op3.spanning_links([(n, 0, s, h) for n, _, s, h in classes], [(9, 0, *classes[9][2:])], 80, 4) == []
+
+
 def test_components(spark):
     stage = Stage(spark, "test")
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 150), (300, 150), (150, 200)]
