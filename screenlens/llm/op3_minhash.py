@@ -40,7 +40,7 @@ SHARE = 80              # percent: link if 100 * intersection >= SHARE * union
 COORDINATES = 32
 MIN_MATCHES = 15
 HOT = 64                # sets under one rare shingle that may form pairs of rows; more meet in blocks
-BLOCK_BYTES = 256 << 10  # of set hashes and signatures in a block; a task holds two blocks
+BLOCK_BYTES = 1 << 20    # of set hashes and signatures in a block; a task holds two blocks
 SEED = 7
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -371,18 +371,38 @@ def block_links(blocks: DataFrame, pairs: DataFrame, texts: DataFrame, stage: St
         pairs.select("p", "q", F.col("p").alias("block"), F.lit(0).alias("side"))
         .union(pairs.filter("p < q").select("p", "q", F.col("q").alias("block"), F.lit(1).alias("side"))), "block-sides")
 
-    def meet(table: pa.Table) -> pa.Table:
-        parts: list[list[tuple]] = [[], []]
-        for rep, component, signature, hashes, side in zip(*(table.column(c).to_pylist() for c in (
-                "rep", "component", "signature", "hashes", "side"))):
-            parts[side].append((rep, component, np.frombuffer(signature, np.uint32), np.frombuffer(hashes, np.uint64)))
+    def sided(table: pa.Table) -> tuple[list, list]:
+        """Row numbers of both sides; a block that meets itself is both."""
+        side = np.array(table.column("side").to_pylist())
+        first = np.flatnonzero(side == 0)
         one = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        links = spanning_links(parts[0], parts[0] if one else parts[1], share, min_matches)
+        return first, first if one else np.flatnonzero(side == 1)
+
+    def agreeing(table: pa.Table) -> pa.Table:
+        first, second = sided(table)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        component = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)[1]
+        met = np.zeros(table.num_rows, dtype=bool)
+        for i in first.tolist():
+            near = second[((signature[second] == signature[i]).sum(1) >= min_matches) & (component[second] != component[i])]
+            met[near] = True
+            met[i] |= len(near) > 0
+        return table.select(["p", "q", "side", "rep"]).filter(pa.array(met))
+
+    def meet(table: pa.Table) -> pa.Table:
+        classes = [(rep, component, np.frombuffer(signature, np.uint32), np.frombuffer(hashes, np.uint64))
+                   for rep, component, signature, hashes in zip(*(table.column(c).to_pylist() for c in (
+                       "rep", "component", "signature", "hashes")))]
+        links = spanning_links(*([classes[i] for i in part] for part in sided(table)), share, min_matches)
         kind = table.schema.field("rep").type
         return pa.table([pa.array([x[0] for x in links], kind), pa.array([x[1] for x in links], kind)], names=["a", "b"])
 
+    # signatures travel to every pair of blocks, sets only where they agree
     kind = fields[0].dataType
-    return (sides.join(members, "block").groupBy("p", "q").applyInArrow(
+    met = (sides.join(members.select(*names, "signature"), "block").groupBy("p", "q")
+           .applyInArrow(agreeing, T.StructType([*sides.select("p", "q", "side").schema, fields[0]])))
+    met = stage.write(met.distinct(), "block-agreeing")
+    return (met.join(members, "rep").groupBy("p", "q").applyInArrow(
         meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
 
 
