@@ -19,6 +19,10 @@ every match:
    counting digests at equal distances from the anchor, in groups of ``STEP`` and singly at the edges of matches only.
 5. The covered ranges are gathered per document and cut out.
 
+``repeats`` measures two lengths.  It first finds the runs covered by shared strings of ``PASSAGE`` bytes, a passage of a
+little over 50 words, which it counts and does not remove.  A shared string of ``LENGTH`` bytes is made of shared strings of
+``PASSAGE`` bytes, so it and its partner lie inside such runs: steps 1 to 5 then look for it in the runs alone.
+
 A window belongs to one segment only, so overlapping segments of a document never match themselves.
 
 Edge cases: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; repeated rows are copies of each other
@@ -38,9 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, slices, texts_of
+from .common import Stage, slices
 
 LENGTH = 400
+PASSAGE = 250           # a passage of over 50 words is at least about this long
 GRAM = 64               # long enough that unrelated texts seldom share one
 HOT = 64
 STEP = 20
@@ -107,22 +112,26 @@ def segments(data: bytes, bounds: list[tuple[int, int]], length: int, gram: int)
             place[first] - first)
 
 
-def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Places of the segments: v (anchor), s (segment digest), doc, k, start, size, at; ``rows`` has (doc, k, text)."""
+def occurrences(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Places of the segments: v (anchor), s (segment digest), doc, k, start, size, at.
+
+    ``parts`` has (doc, k, first, part): the bytes of a text from ``first`` on.
+    """
     schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("s", T.LongType()),
-                           rows.schema["doc"], T.StructField("k", T.LongType()),
+                           parts.schema["doc"], T.StructField("k", T.LongType()),
                            *[T.StructField(c, T.LongType()) for c in ("start", "size", "at")]])
 
     def emit(batch, found, offset=0):
         text, v, s, start, size, at = found
         take = pa.array(text)
+        first = batch.column("first").to_numpy()
         return pa.RecordBatch.from_arrays(
             [pa.array(v), pa.array(s), batch.column("doc").take(take), batch.column("k").take(take),
-             pa.array(start + offset), pa.array(size), pa.array(at)], names=schema.names)
+             pa.array(start + first[text] + offset), pa.array(size), pa.array(at)], names=schema.names)
 
     def run(batches):
-        for batch in slices(batches, "text", PIECE):
-            texts = [t.encode("utf-8") for t in texts_of(batch)]
+        for batch in slices(batches, "part", PIECE):
+            texts = batch.column("part").to_pylist()
             if len(texts) == 1 and len(texts[0]) > PIECE:       # a very long text, a piece at a time
                 for a in range(0, len(texts[0]) - length + 1, PIECE):
                     piece = texts[0][a: a + PIECE + length - 1]
@@ -132,7 +141,7 @@ def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
             bounds = list(zip([0, *ends[:-1]], ends))
             yield emit(batch, segments(b"".join(texts), bounds, length, gram))
 
-    return rows.mapInArrow(run, schema)
+    return parts.mapInArrow(run, schema)
 
 
 class RunIndex:
@@ -322,7 +331,14 @@ def covered(documents: DataFrame, stage: Stage, *, key: str = "doc_id", text: st
             gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Covered ranges: doc, k, start, size (several per document, may overlap)."""
     rows = documents.select(F.col(key).alias("doc"), F.xxhash64(key, text).alias("k"), F.col(text).alias("text"))
-    places = stage.write(occurrences(rows.filter("text is not null"), length, gram), "places")
+    parts = rows.filter("text is not null").select("doc", "k", F.lit(0).cast("long").alias("first"),
+                                                   F.col("text").cast("binary").alias("part"))
+    return _covered(rows, parts, stage, length, gram, hot)
+
+
+def _covered(rows: DataFrame, parts: DataFrame, stage: Stage, length: int, gram: int, hot: int) -> DataFrame:
+    """Ranges as of ``covered``, of strings inside ``parts`` (doc, k, first, part) of the texts ``rows`` (doc, k, text)."""
+    places = stage.write(occurrences(parts, length, gram), "places")
     shared = (places.groupBy("v").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"))
               .filter("c > 1").select("v", (F.col("lo") < F.col("hi")).alias("mixed")))
     # written first, so that the join has plain shuffles on both sides and a hot anchor's partition can be split
@@ -393,32 +409,88 @@ def _gathered(documents: DataFrame, ranges: DataFrame, key: str, text: str) -> D
                         "left").select("record", "ranges_of"))
 
 
-def repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of ``documents``: key, n_bytes, n_removed, n_spans, kept_sha256."""
-    stage = Stage(documents.sparkSession, "repeats")
-    ranges = stage.write(covered(documents, stage, key=key, text=text, length=length), "ranges")
+def _runs(ranges_of: list | None) -> list[tuple[int, int]]:
+    """Maximal runs (start, stop) of gathered ranges."""
+    return merge([r["start"] for r in ranges_of], [r["size"] for r in ranges_of]) if ranges_of else []
+
+
+def _passages(documents: DataFrame, key: str, text: str, length: int, passage: int) -> DataFrame:
+    """One row per row of ``documents``: doc, n (bytes), n_passage_bytes and n_passages; with runs of ``length`` bytes or
+    more these (start, size) and the text's bytes, else the digest ``whole`` of the text.
+    """
+    stage = Stage(documents.sparkSession, "passages")
+    ranges = stage.write(covered(documents, stage, key=key, text=text, length=passage), "ranges")
+    stage.drop("met", "segments", "rim", "index")
     source = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     body = F.coalesce("record.text", F.lit(""))
     gathered = _gathered(source, ranges, "doc", "text").select(
         "record.doc", "ranges_of", F.octet_length(body).cast("long").alias("n"),
         F.when(F.col("ranges_of").isNull(), F.sha2(body, 256)).alias("whole"),
         F.when(F.col("ranges_of").isNotNull(), F.col("record.text")).alias("text"))
+    span = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "size")])
+    schema = T.StructType([source.schema["doc"],
+                           *[T.StructField(c, T.LongType()) for c in ("n", "n_passage_bytes", "n_passages")],
+                           T.StructField("whole", T.StringType()), T.StructField("text", T.BinaryType()),
+                           T.StructField("runs", T.ArrayType(span))])
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            size, count, sha, texts, long = [], [], [], [], []
+            for t, ranges_of, whole in zip(batch.column("text").to_pylist(), batch.column("ranges_of").to_pylist(),
+                                           batch.column("whole").to_pylist()):
+                runs = _runs(ranges_of)
+                size.append(sum(b - a for a, b in runs))
+                count.append(len(runs))
+                long.append([{"start": a, "size": b - a} for a, b in runs if b - a >= length] or None)
+                data = None if t is None else t.encode("utf-8")
+                texts.append(data if long[-1] else None)
+                sha.append(None if long[-1] else whole or hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("n"), pa.array(size, pa.int64()), pa.array(count, pa.int64()),
+                 pa.array(sha, pa.string()), pa.array(texts, pa.binary()), pa.array(long, spans)], names=schema.names)
+
+    found = stage.write(gathered.mapInArrow(run, schema), "passages")
+    stage.drop("ranges")
+    return found
+
+
+def repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH,
+            passage: int = PASSAGE) -> DataFrame:
+    """One row per row of ``documents``: key, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages.
+
+    The last two count the bytes and maximal runs covered by a string of ``passage`` bytes (``length`` at most) that also
+    starts anywhere else; they include what is removed.
+    """
+    if not GRAM <= passage <= length:
+        raise ValueError(f"passage must be {GRAM} to length ({length}) bytes, not {passage}")
+    found = _passages(documents, key, text, length, passage)
+    stage = Stage(documents.sparkSession, "repeats")
+    rows = found.filter("text is not null").select("doc", F.xxhash64("doc", "text").alias("k"), "text", "runs")
+    parts = rows.select("doc", "k", F.explode(F.expr(
+        "transform(runs, r -> struct(r.start as first, substring(text, cast(r.start + 1 as int), cast(r.size as int)) as part))"
+    )).alias("p")).select("doc", "k", "p.first", "p.part")
+    ranges = stage.write(_covered(rows.drop("runs"), parts, stage, length, GRAM, HOT), "ranges")
+    stage.drop("met", "segments", "rim", "index")
+    gathered = _gathered(found.drop("runs"), ranges, "doc", "text").select("record.*", "ranges_of")
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
-                           T.StructField("kept_sha256", T.StringType())])
+                           T.StructField("kept_sha256", T.StringType()),
+                           *[T.StructField(c, T.LongType()) for c in ("n_passage_bytes", "n_passages")]])
 
     def run(batches):
         for batch in batches:
             removed, spans, sha = [], [], []
             for t, ranges_of, whole in zip(batch.column("text").to_pylist(), batch.column("ranges_of").to_pylist(),
                                            batch.column("whole").to_pylist()):
-                runs = merge([r["start"] for r in ranges_of], [r["size"] for r in ranges_of]) if ranges_of else []
+                runs = _runs(ranges_of)
                 removed.append(sum(b - a for a, b in runs))
                 spans.append(len(runs))
-                sha.append(whole or hashlib.sha256(cut(t.encode("utf-8"), runs)).hexdigest())
+                sha.append(whole or hashlib.sha256(cut(t, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(sha, pa.string())], names=schema.names)
+                 pa.array(sha, pa.string()), batch.column("n_passage_bytes"), batch.column("n_passages")],
+                names=schema.names)
 
     return gathered.mapInArrow(run, schema)
 
@@ -450,7 +522,7 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
             texts = []
             for t, ranges_of in zip(batch.column(text).to_pylist(), batch.column("ranges_of_record").to_pylist()):
                 if ranges_of and t is not None:
-                    t = whole_characters(t, merge([r["start"] for r in ranges_of], [r["size"] for r in ranges_of]))
+                    t = whole_characters(t, _runs(ranges_of))
                 texts.append(t)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names=names)

@@ -572,6 +572,34 @@ def test_op10_query(spark, sf, small):
     assert cut_rows(QUERIES["op10_suffix_dedup"](spark, sf)) == sort_rows(cut_by_brute_force(small, op10.LENGTH))
 
 
+def test_op10_passages(spark, sf, small):
+    """Passages of over 50 words that are shorter than LENGTH bytes are counted, whatever is removed."""
+    importable_on_workers(spark)
+    rng = np.random.default_rng(10)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+
+    # 51 and 60 words are 254 and 299 bytes, 90 are 449; chained: shared strings of 250 bytes that make no shared 400
+    short, longer, long, chain = words(51), words(60), words(90), words(110)
+    made = [(d, f"{words(40)}X{p}Y{words(40)}") for d, p in enumerate([short, short, longer, longer, long, long])]
+    made += [(10, f"{words(40)}X{words(30)}Y{words(40)}"), (11, f"<{chain[:500]}>"), (12, f"({chain[:300]})"),
+             (13, f"[{chain[200:500]}]"), (14, "é" * 600), (15, ""), (16, None), (4, made[4][1]), (None, short)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    found = op10.repeats(df).collect()
+    assert cut_rows(op10.repeats(df)) == sort_rows(cut_by_brute_force(made, op10.LENGTH))
+    passages = sort_rows((d, n, spans) for d, _, n, spans, _ in cut_by_brute_force(made, op10.PASSAGE))
+    assert sort_rows((r["doc_id"], r["n_passage_bytes"], r["n_passages"]) for r in found) == passages
+    by = {r["doc_id"]: r for r in found}
+    assert all(by[d]["n_passage_bytes"] >= 254 and by[d]["n_removed"] == 0 for d in (0, 1, 2, 3, 11, None))
+    assert by[10]["n_passage_bytes"] == 0
+    query = QUERIES["op10_suffix_dedup"](spark, sf).collect()
+    assert sort_rows((r["doc_id"], r["n_passage_bytes"], r["n_passages"]) for r in query) == sort_rows(
+        (d, n, spans) for d, _, n, spans, _ in cut_by_brute_force(small, op10.PASSAGE))
+    with pytest.raises(ValueError):
+        op10.repeats(df, length=200)
+
+
 def test_op10_hot_rims(spark):
     """A passage in many documents and near copies, with every anchor over the limit for trimming."""
     importable_on_workers(spark)
