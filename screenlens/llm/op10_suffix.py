@@ -10,13 +10,14 @@ every match:
 2. An anchor seen once holds no match.  Segments seen more than once are covered whole, whatever their number: copies
    and the inside of common passages are settled by counting.
 3. Left are segments seen once whose anchor has others: the rims of matches.  Their bytes are fetched and dealt by
-   anchor into buckets of ``BUCKET_BYTES``.  Each bucket's text gets a run-length Burrows-Wheeler transform with suffix
+   anchor into buckets of ``BUCKET_BYTES``.  Segments that share too little about their anchor to match are left out; the
+   others of a bucket get a run-length Burrows-Wheeler transform with suffix
    positions sampled at the ends of its runs.  Matching statistics are streamed in text order: at a sampled position the
    match with the neighbouring suffix is measured, in between it shrinks by one byte a step (the property that makes
    run-end samples sufficient).  Positions that match ``LENGTH`` bytes or more start a covered string.
 4. An anchor with more than ``HOT`` different segments (the rim of a very common passage, whose segments stay different
    by the text before or after it) is never indexed, so a bucket has no unbounded group: its windows are settled by
-   counting digests at equal distances from the anchor, in groups of ``STEP`` and singly at the edges of matches only.
+   counting digests at equal distances from the anchor, in groups of ``STEPS``, the finer ones at the edges of matches only.
 5. The covered ranges are gathered per document and cut out.
 
 ``repeats`` measures two lengths.  It first finds the runs covered by shared strings of ``PASSAGE`` bytes, a passage of a
@@ -48,7 +49,7 @@ LENGTH = 400
 PASSAGE = 250           # a passage of over 50 words is at least about this long
 GRAM = 64               # long enough that unrelated texts seldom share one
 HOT = 64
-STEP = 20
+STEPS = (20, 4, 1)       # each divides the one before
 BUCKET_BYTES = 512 << 10
 PIECE = 1 << 20          # bytes hashed at a time, with work arrays of about 80 times as many (below 2 ** 24, see _anchors)
 SEPARATOR = 0xFF         # never part of UTF-8
@@ -161,7 +162,7 @@ class RunIndex:
             words = (words << np.uint64(8)) | padded[j: j + n]
         self.words = words
         self.ranks: list[tuple[int, np.ndarray]] = []
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words)
         rank = self._rank(order, words)
         size = 8
         while True:
@@ -171,7 +172,7 @@ class RunIndex:
             ahead = np.full(n, -1, dtype=np.int64)
             ahead[: max(0, n - size)] = rank[size:]
             key = rank.astype(np.int64) * (n + 1) + ahead + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._rank(order, key)
             size *= 2
         bwt = self.text[order - 1]
@@ -240,73 +241,87 @@ def matched(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _windows(size: int, at: int, length: int) -> list[tuple[int, int, int]]:
-    """The windows of a segment in groups of STEP: (group, least, greatest bytes before the anchor)."""
+def _windows(size: int, at: int, length: int, step: int) -> list[tuple[int, int, int]]:
+    """The windows of a segment in groups of ``step``: (group, least, greatest bytes before the anchor)."""
     least = at - (size - length)
-    return [(g, max(least, g * STEP), min(at, g * STEP + STEP - 1)) for g in range(least // STEP, at // STEP + 1)]
+    return [(g, max(least, g * step), min(at, g * step + step - 1)) for g in range(least // step, at // step + 1)]
+
+
+def _inner(data: bytes, g: int, at: int, length: int, step: int) -> bytes:
+    """Bytes that all windows of a group have."""
+    first = at - g * step
+    return data[first: first + length - step + 1]
 
 
 def _digest(data: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(data, seed) - 2**63
 
 
+def _may_match(frame: pd.DataFrame, length: int) -> np.ndarray:
+    """Whether a segment shares the inner bytes of some group of windows with another one of its anchor.
+
+    Equal windows lie at the same distance from their anchor, hence in the same group, so the others match nowhere.
+    """
+    met: dict[tuple[int, int, int], int] = {}
+    keep = np.zeros(len(frame), dtype=bool)
+    for i, (v, at, data) in enumerate(zip(frame["v"].tolist(), frame["at"].tolist(), frame["data"].tolist())):
+        for g, _, _ in _windows(len(data), at, length, STEPS[0]):
+            other = met.setdefault((v, g, _digest(_inner(data, g, at, length, STEPS[0]), 0)), i)
+            if other != i:
+                keep[i] = keep[other] = True
+    return keep
+
+
 def _by_counts(rim: DataFrame, stage: Stage, length: int) -> DataFrame:
     """Covered ranges (doc, k, start, size) of the segments of hot anchors, settled by counting alone.
 
     Equal windows lie at the same distance from their anchor, so a window is covered if its digest is counted twice at
-    that distance.  Not every window is counted: for each group of STEP neighbours, the bytes that all of them have (inner)
+    that distance.  Not every window is counted: for each group of neighbours, the bytes that all of them have (inner)
     and the bytes that any of them has (outer).  A shared outer covers the whole group, an inner that is not shared covers
-    nothing; only in between, at the edges of matches, single windows are counted.  There the segments of one outer are
-    counted once, since their windows in the group are equal.
+    nothing; only in between, at the edges of matches, smaller groups are counted, single windows at last.  There the
+    segments of one outer are counted once, since their windows in the group are equal.
     """
-    fields = [T.StructField(c, T.LongType()) for c in ("v", "s", "g", "outer", "h")]
     names = ["v", "s", "g", "outer", "h"]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def batch_of(rows):
         columns = list(zip(*rows)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
-    def groups(batches):
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            rows = []
-            for row in batch.to_pylist():
-                v, s, at, data = row["v"], row["s"], row["at"], row["data"]
-                for g, lo, hi in _windows(len(data), at, length):
-                    first = at - g * STEP
-                    rows.append((v, s, g, 0, _digest(data[first: first + length - STEP + 1], 2 * g)))
-                    if hi - lo == STEP - 1:
-                        rows.append((v, s, g, 1, _digest(data[at - hi: at - lo + length], 2 * g + 1)))
-            yield batch_of(rows)
-
-    def singles(batches):
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            rows = []
-            for row in batch.to_pylist():
-                wanted, at, data = set(row["gs"]), row["at"], row["data"]
-                for g, lo, hi in _windows(len(data), at, length):
-                    if g in wanted:
-                        rows += [(row["v"], row["s"], n, 0, _digest(data[at - n: at - n + length], n))
-                                 for n in range(lo, hi + 1)]
-            yield batch_of(rows)
-
-    def shared_of(table, name):
-        # written first, so that the join has plain shuffles on both sides and a hot window's partition can be split
-        counted = table.groupBy("v", "h").agg(F.count("*").alias("c"), F.min("s").alias("one")).filter("c > 1").drop("c")
-        return table.join(stage.write(counted, name), ["v", "h"])
+    def groups(step, above):
+        def run(batches):
+            for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+                rows = []
+                for row in batch.to_pylist():
+                    v, s, at, data = row["v"], row["s"], row["at"], row["data"]
+                    wanted = set(row["gs"]) if above else None
+                    for g, lo, hi in _windows(len(data), at, length, step):
+                        if above and g * step // above not in wanted:
+                            continue
+                        if step > 1:
+                            rows.append((v, s, g, 0, _digest(_inner(data, g, at, length, step), 2 * g)))
+                        if hi - lo == step - 1:
+                            rows.append((v, s, g, 1, _digest(data[at - hi: at - lo + length], 2 * g + 1)))
+                yield batch_of(rows)
+        return run
 
     rim = rim.filter("hot")
-    named = stage.write(rim.select("v", "s", "at", "data").mapInArrow(groups, T.StructType(fields)), "windows")
-    met = stage.write(shared_of(named, "shared-windows").groupBy("v", "s", "g").agg(
-        F.max("outer").alias("outer"),
-        F.max((F.col("outer") == 1) & (F.col("one") == F.col("s"))).alias("stands")), "met-windows")
-    stage.drop("windows", "shared-windows")
-    edges = met.filter("outer = 0 or stands").groupBy("v", "s").agg(F.collect_list("g").alias("gs"))
-    single = stage.write(rim.select("v", "s", "at", "data").join(edges, ["v", "s"])
-                         .mapInArrow(singles, T.StructType(fields)), "single-windows")
-    # spans of bytes before the anchor: (least, greatest)
-    spans = (met.filter("outer = 1").select("v", "s", (F.col("g") * STEP).alias("lo"),
-                                            (F.col("g") * STEP + STEP - 1).alias("hi"))
-             .union(shared_of(single, "shared-singles").select("v", "s", F.col("g").alias("lo"), F.col("g").alias("hi"))))
+    asked, spans, above = rim.select("v", "s", "at", "data"), None, 0
+    for step in STEPS:
+        named = stage.write(asked.mapInArrow(groups(step, above), schema), f"windows-{step}")
+        # written first, so that the join has plain shuffles on both sides and a hot window's partition can be split
+        shared = stage.write(named.groupBy("v", "h").agg(F.count("*").alias("c"), F.min("s").alias("one"))
+                             .filter("c > 1").drop("c"), f"shared-windows-{step}")
+        met = stage.write(named.join(shared, ["v", "h"]).groupBy("v", "s", "g").agg(
+            F.max("outer").alias("outer"),
+            F.max((F.col("outer") == 1) & (F.col("one") == F.col("s"))).alias("stands")), f"met-windows-{step}")
+        stage.drop(f"windows-{step}", f"shared-windows-{step}")
+        # spans of bytes before the anchor: (least, greatest)
+        covers = met.filter("outer = 1").select("v", "s", (F.col("g") * step).alias("lo"),
+                                                (F.col("g") * step + step - 1).alias("hi"))
+        spans = spans.union(covers) if spans else covers
+        edges = met.filter("outer = 0 or stands").groupBy("v", "s").agg(F.collect_list("g").alias("gs"))
+        asked, above = rim.select("v", "s", "at", "data").join(edges, ["v", "s"]), step
     spans = spans.groupBy("v", "s").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))    # LENGTH at most
     found = rim.filter("c = 1").select("v", "s", "doc", "k", "start", "at").join(spans, ["v", "s"])
     schema = T.StructType([rim.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("k", "start", "size")]])
@@ -364,14 +379,14 @@ def _covered(rows: DataFrame, parts: DataFrame, stage: Stage, length: int, gram:
 
     counted = _by_counts(rim, stage, length)
     # at most ``hot`` segments an anchor
-    left = rim.filter("not hot").select("v", "s", "doc", "k", "start", "data", (F.col("c") == 1).alias("ask"))
+    left = rim.filter("not hot").select("v", "s", "doc", "k", "start", "at", "data", (F.col("c") == 1).alias("ask"))
     left = stage.write(left, "index")
     total = left.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     schema = T.StructType([left.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("k", "start", "size")]])
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["v", "s"])
+        frame = frame[_may_match(frame, length)].sort_values(["v", "s"])
         found = matched(frame["data"].tolist(), length)
         out = [(r.doc, r.k, r.start + a, n) for r, spans in zip(frame.itertuples(), found) if r.ask for a, n in spans]
         out = pd.DataFrame(out, columns=["doc", "k", "start", "size"])
