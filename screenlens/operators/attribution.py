@@ -14,6 +14,10 @@ because the integral of t^s (1 - t)^(d-1-s) is the Shapley weight of a set of s
 polynomial of degree d - 1: Gauss-Legendre nodes give it exactly, and no subset is ever enumerated.  Contributions plus
 base equal the model's output for every row.
 
+Where only one output's contributions are asked for (``tree_top_features``), neighbouring leaves are scored together: the
+effects of all leaves under a node follow from few conditions, so they are summed in a table of the conditions' patterns and
+a row adds one entry per feature for all these leaves.
+
 The nodes are read from the saved model.  Rows are scored in Arrow batches where they lie, without a shuffle; what each
 task receives is the model.
 """
@@ -27,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     GBTClassificationModel,
@@ -37,14 +42,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import constants as C
+from ..llm.common import importable_on_workers
 from ..sources.tables import ensure_checkpoint_dir
 from .models import FittedModel
 
 BATCH_ROWS = 2048       # rows scored at once
 PATTERN_FEATURES = 12   # paths of more features are not scored by patterns
 DIRECT_ROWS = 1024      # their rows are scored so many at once: the work arrays are rows x path features x nodes
+GROUP_BITS = 11         # conditions of leaves that are scored together
+GROUP_ROWS = 1 << 15    # rows that share the tables
+GROUP_CELLS = 1 << 22   # rows x features of them
 
 
 @dataclass(frozen=True)
@@ -80,6 +91,78 @@ class Tree:
     leaves: tuple[Leaf, ...]
 
 
+@dataclass(frozen=True)
+class Group:
+    """The leaves under one node.  ``conditions``: edges that a row passes or not, a bit each, of the path to the node (by
+    feature) and of the splits below it (to the left).  Each leaf has, by feature, the bits that must be on or off."""
+
+    conditions: tuple[tuple[tuple[int, bool], ...], ...]
+    leaves: tuple[tuple[Leaf, tuple[tuple[tuple[int, bool], ...], ...]], ...]
+
+    def codes(self, left: dict[int, np.ndarray], rows: int) -> np.ndarray:
+        """The pattern of conditions that each row meets."""
+        code = np.zeros(rows, np.intp)
+        for j, edges in enumerate(self.conditions):
+            passes = [left[i] if to_left else ~left[i] for i, to_left in edges]
+            code |= (np.logical_and.reduce(passes) if len(passes) > 1 else passes[0]).astype(np.intp) << j
+        return code
+
+    def table(self, patterns: np.ndarray, outputs: int) -> dict[int, np.ndarray]:
+        """feature -> outputs x patterns: the sum of the leaves' effects."""
+        bits = [(patterns >> j) & 1 == 1 for j in range(len(self.conditions))]
+        sides = {(j, on): bit if on else ~bit for j, bit in enumerate(bits) for on in (True, False)}
+        found: dict[int, np.ndarray] = {}
+        for leaf, needed in self.leaves:
+            passes = [np.logical_and.reduce([sides[b] for b in some]) if len(some) > 1 else sides[some[0]]
+                      for some in needed]
+            for (feature, _), effect in zip(leaf.edges, _effects(passes, np.array(leaf.shares))):
+                total = found.setdefault(feature, np.zeros((outputs, len(patterns))))
+                for k, answer in enumerate(leaf.answer):
+                    if answer:
+                        total[k] += effect * answer
+        return found
+
+
+def _groups(tree: Tree) -> list[Group]:
+    """The tree's leaves in groups under the highest nodes that have at most ``GROUP_BITS`` conditions."""
+    order, stack = [], [0]                              # inner nodes last to first, leaves as ``_grow`` lists them
+    at_leaf: dict[int, Leaf] = {}
+    leaves = iter(tree.leaves)
+    while stack:
+        i = stack.pop()
+        node = tree.nodes[i]
+        if node.left is None:
+            at_leaf[i] = next(leaves)
+        else:
+            order.append(i)
+            stack += [node.left, node.right]
+    below: dict[int, list[int]] = {i: [] for i in at_leaf}
+    for i in reversed(order):
+        below[i] = [i, *below[tree.nodes[i].left], *below[tree.nodes[i].right]]
+    out: list[Group] = []
+    open_nodes: list[tuple[int, dict[int, tuple[tuple[int, bool], ...]]]] = [(0, {})]
+    while open_nodes:
+        top, path = open_nodes.pop()
+        node = tree.nodes[top]
+        if node.left is not None and len(path) + len(below[top]) > GROUP_BITS:
+            for child, to_left in ((node.left, True), (node.right, False)):
+                open_nodes.append((child, path | {node.feature: (*path.get(node.feature, ()), (top, to_left))}))
+            continue
+        of_path = {f: j for j, f in enumerate(path)}
+        of_node = {i: len(path) + j for j, i in enumerate(below[top])}
+        members = []
+        for i in [top] if node.left is None else [c for b in below[top] for c in (tree.nodes[b].left, tree.nodes[b].right)
+                                                  if c in at_leaf]:
+            needed = []
+            for feature, edges in at_leaf[i].edges:
+                known = len(path.get(feature, ()))
+                needed.append((*(((of_path[feature], True),) if known else ()),
+                               *((of_node[b], to_left) for b, to_left in edges[known:])))
+            members.append((at_leaf[i], tuple(needed)))
+        out.append(Group((*path.values(), *(((i, True),) for i in below[top])), tuple(members)))
+    return out
+
+
 @dataclass(frozen=True)
 class AdditiveTrees:
     """A sum of trees, each answering one value per output."""
@@ -112,6 +195,59 @@ class AdditiveTrees:
                             out[feature, k] += effect * answer
         return out.transpose(2, 1, 0)
 
+    def answers(self, x: np.ndarray) -> np.ndarray:
+        """rows x outputs: the sum of the trees' answers."""
+        total = np.zeros((x.shape[0], self.outputs))
+        rows = np.arange(x.shape[0])
+        for tree in self.trees:
+            inner = [i for i, n in tree.nodes.items() if n.left is not None]
+            place = {i: j for j, i in enumerate(inner)}
+            leaves, stack = [], [0]
+            while stack:
+                i = stack.pop()
+                if i in place:
+                    stack += [tree.nodes[i].left, tree.nodes[i].right]
+                else:
+                    place[i] = len(inner) + len(leaves)
+                    leaves.append(i)
+            now = np.full(x.shape[0], place[0])
+            if inner:
+                left = np.stack([tree.nodes[i].goes_left(x) for i in inner])
+                child = np.array([[place[tree.nodes[i].right], place[tree.nodes[i].left]] for i in inner])
+                open_rows = rows
+                while open_rows.size:
+                    at = now[open_rows]
+                    now[open_rows] = child[at, left[at, open_rows].astype(np.intp)]
+                    open_rows = open_rows[now[open_rows] < len(inner)]
+            total += np.array([leaf.answer for leaf in tree.leaves])[now - len(inner)]
+        return total
+
+    def contributions_to(self, x: np.ndarray, output: np.ndarray, groups: Sequence[list[Group]] | None = None) -> np.ndarray:
+        """rows x features: the contributions to each row's own output.  ``groups``: of each tree, where known."""
+        order = np.argsort(output, kind="stable")
+        x = np.asfortranarray(x[order])
+        ends = np.searchsorted(output[order], np.arange(self.outputs + 1))
+        parts = [slice(a, b) for a, b in zip(ends, ends[1:])]
+        rows = x.shape[0]
+        out = np.zeros((x.shape[1], rows))
+        for tree, some in zip(self.trees, groups or [_groups(t) for t in self.trees]):
+            left = {i: n.goes_left(x) for i, n in tree.nodes.items() if n.left is not None}
+            for group in some:
+                if not group.conditions:
+                    continue
+                code = group.codes(left, rows)
+                if 1 << len(group.conditions) <= rows:
+                    patterns = np.arange(1 << len(group.conditions))
+                else:
+                    patterns, code = np.unique(code, return_inverse=True)
+                codes = [code[part] for part in parts]
+                for feature, table in group.table(patterns, self.outputs).items():
+                    for part, line, at in zip(parts, table, codes):
+                        out[feature, part] += line.take(at, mode="clip")    # all are within: no check
+        back = np.empty_like(out)
+        back[:, order] = out
+        return back.T
+
 
 def _effects(passes: list[np.ndarray], shares: np.ndarray) -> list[np.ndarray]:
     """For each feature of a path its effect in each row.
@@ -270,15 +406,62 @@ def tree_contributions(df: DataFrame, ensemble: AdditiveTrees, key: Sequence[str
 
 def tree_top_features(df: DataFrame, model: FittedModel, key: str, n: int = C.TOP_ATTRIBUTIONS) -> DataFrame:
     """key, predicted, base, output, top: the n largest |contribution| to the class of the largest output (the first of
-    equals; equal contributions: feature name).  Picked and sorted inside each row, without a shuffle."""
+    equals; equal contributions: feature name).  Picked and sorted inside each task, without a shuffle.  A row with null
+    features keeps a row of nulls."""
+    importable_on_workers(df.sparkSession)
     ensemble = additive_trees(df.sparkSession, model.pipeline.stages[-1])
-    names = F.array(*[F.lit(x) for x in model.feature_names()])
-    ready = model.transform(df, keep_features=True).select(key, "features")
-    best = _per_row(ready, ensemble, [key], "features").select(key, F.array_max("outputs").alias("best"))
-    parts = F.zip_with(F.col("best.contributions"), names, lambda v, f: F.struct(
-        (-F.abs(v)).alias("order"), f.alias("feature"), v.alias("contribution")))
-    top = F.transform(F.slice(F.array_sort(parts), 1, n), lambda s: F.struct(s["feature"], s["contribution"]))
-    return best.select(key, F.col("best.cls").alias("predicted"), "best.base", "best.output", top.alias("top"))
+    names = model.feature_names()
+    ready = model.transform(df, keep_features=True)
+    ready = ready.select(key, F.when(F.col("features").isNotNull(), vector_to_array("features")).alias("x"))
+    top_type = "array<struct<feature:string,contribution:double>>"
+    added = StructType.fromDDL(f"predicted int, base double, output double, top {top_type}")
+    schema = StructType([ready.schema[key], *added])
+    return ready.mapInArrow(_top_fn(ensemble, names, key, n, to_arrow_schema(schema)), schema)
+
+
+def _top_fn(ensemble: AdditiveTrees, names: Sequence[str], key: str, n: int, schema: pa.Schema):
+    base = ensemble.base()
+    by_name = np.array(sorted(range(len(names)), key=lambda i: names[i].encode()), dtype=np.intp)
+    named = pa.array([names[i] for i in by_name], pa.string())
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [_groups(t) for t in ensemble.trees]
+        at_once = max(DIRECT_ROWS, min(GROUP_ROWS, GROUP_CELLS // max(len(names), 1)))
+
+        def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            rows, vectors = table.num_rows, table.column("x").combine_chunks()
+            known = vectors.is_valid().to_numpy(zero_copy_only=False)
+            x = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(known.sum(), -1)
+            answers = ensemble.answers(x)
+            own = answers.argmax(axis=1)
+            parts = ensemble.contributions_to(x, own, groups)[:, by_name]
+            first = np.argsort(-np.abs(parts), axis=1, kind="stable")[:, :n]
+            value = np.take_along_axis(parts, first, axis=1)
+            place = np.full(rows, -1)
+            place[known] = np.arange(len(x))
+            at = pa.array(place, mask=~known)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(x) + 1, dtype=np.int32) * first.shape[1]),
+                pa.StructArray.from_arrays([named.take(pa.array(first.ravel())), pa.array(value.ravel())],
+                                           names=["feature", "contribution"]))
+            best = [pa.array(own.astype(np.int32)), pa.array(base[own]),
+                    pa.array(np.take_along_axis(answers, own[:, None], axis=1).ravel()), lists]
+            return pa.RecordBatch.from_arrays([table.column(key).combine_chunks(), *(c.take(at) for c in best)],
+                                              names=schema.names).cast(schema)
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                yield scored(held)
+                held, size = [], 0
+        if size:
+            yield scored(held)
+
+    return fn
 
 
 def mean_abs_contributions(contributions: DataFrame, names: Sequence[str]) -> DataFrame:

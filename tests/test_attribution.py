@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from screenlens.operators import attribution
 from screenlens.operators.attribution import (
     AdditiveTrees,
     additive_trees,
@@ -165,3 +166,53 @@ def test_mean_of_absolute_values(spark, rows):
 def test_other_models_are_refused(spark):
     with pytest.raises((TypeError, AttributeError)):
         additive_trees(spark, AdditiveTrees((), 1))
+
+
+@pytest.mark.parametrize("bits", [0, 3, 11])
+def test_leaves_scored_together_equal_leaves_scored_alone(spark, rows, monkeypatch, bits):
+    monkeypatch.setattr(attribution, "GROUP_BITS", bits)
+    x = np.array([r["features"].toArray() for r in rows.collect()])
+    for model in (DecisionTreeClassifier(labelCol="y", maxDepth=0), *classifier_models().values(),
+                  OneVsRest(labelCol="y", classifier=GBTClassifier(labelCol="y", maxDepth=3, maxIter=2, seed=3))):
+        ensemble = additive_trees(spark, model.fit(rows))
+        alone = ensemble.contributions(x)
+        assert np.allclose(ensemble.answers(x), ensemble.base() + alone.sum(axis=2), atol=1e-12)
+        own = ensemble.answers(x).argmax(axis=1)
+        assert np.allclose(ensemble.contributions_to(x, own), alone[np.arange(len(x)), own], atol=1e-12)
+        assert ensemble.contributions_to(x[:0], own[:0]).shape == (0, FEATURES)
+
+
+def test_a_table_is_made_for_many_leaves(spark, rows, monkeypatch):
+    """Work that is done for each row does not grow with the leaves of a small tree."""
+    model = DecisionTreeClassifier(labelCol="y", maxDepth=3, seed=1).fit(rows)
+    ensemble = additive_trees(spark, model)
+    groups = [g for t in ensemble.trees for g in attribution._groups(t)]
+    assert len(groups) == 1 and len(groups[0].leaves) == len(ensemble.trees[0].leaves) > 4
+
+
+def test_top_features_of_rows_with_and_without_features(spark, rows):
+    class Given:
+        name, pipeline = "tree", type("P", (), {"stages": [classifier_models()["forest"].fit(rows)]})
+
+        def transform(self, df, keep_features):
+            return df
+
+        def feature_names(self):
+            return ["d", "c", "b", "a"]
+
+    some = rows.select("id", F.when(F.col("id") % 7 > 0, F.col("features")).alias("features"))
+    got = {r["id"]: r for r in attribution.tree_top_features(some, Given(), "id", 3).collect()}
+    parts = {}
+    for r in tree_contributions(rows, additive_trees(spark, Given.pipeline.stages[0]), ["id"]).collect():
+        parts.setdefault(r["id"], []).append(r)
+    assert set(got) == set(parts)
+    for i, r in got.items():
+        if i % 7 == 0:
+            assert r["predicted"] is r["base"] is r["output"] is r["top"] is None
+            continue
+        best = max(parts[i], key=lambda p: (round(p["output"], 12), -p["cls"]))
+        named = sorted(zip([-round(abs(c), 12) for c in best["contributions"]], "dcba", best["contributions"]))[:3]
+        assert r["predicted"] == best["cls"] and r["output"] == pytest.approx(best["output"])
+        assert r["base"] == pytest.approx(best["base"])
+        assert [t["feature"] for t in r["top"]] == [f for _, f, _ in named]
+        assert [t["contribution"] for t in r["top"]] == pytest.approx([c for _, _, c in named])
