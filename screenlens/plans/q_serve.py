@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import findings as H
-from ..functions.text import norm_ws
+from ..functions.text import norm_ws, tokenize
 from ..operators import prompts as PM
-from ..operators import retrieval as RV
 from ..operators.corpus_index import CorpusIndex
 from ..sources.tables import stored
 from .catalog import query
@@ -27,9 +26,13 @@ def best_documents(queries: DataFrame, index: CorpusIndex, documents: Callable[[
     """(qid, q) and (q, documents): the best ``top_k`` documents, best first, as an array of structs.
 
     Postings come from the stored index; only documents that are found are prepared.  Queries that have the same terms of
-    the corpus share a ``q``, and their documents are found and joined once, with as much text as the outputs use.
+    the corpus share a ``q``, and their documents are found and joined once, with as much text as the outputs use.  Words
+    that the corpus does not have are dropped before the queries' words are counted.
     """
-    names, found = index.bm25_matches(RV.query_terms(queries, F.col("query"), ["qid"]), ["qid"], top_k, 9)
+    words = queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term"))
+    known = stored(index.known_terms(words), "known")
+    asked = stored(words.join(known, "term").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "words")
+    names, found = index.bm25_matches(asked, ["qid"], top_k, 9)
     ranked = stored(found, "ranked")
     used = F.substring(norm_ws(F.col("text")), 1, USED_CHARS).alias("text")
     corpus = documents(ranked.select("doc_id").distinct())
@@ -38,24 +41,32 @@ def best_documents(queries: DataFrame, index: CorpusIndex, documents: Callable[[
     return names, found.groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("documents"))   # top_k entries
 
 
+def document_texts(found: DataFrame) -> DataFrame:
+    """q, document_ids, references, rag of (q, documents): what the texts take from the documents, once for each ``q``."""
+    docs = F.col("documents")
+    return found.select("q", F.transform(docs, lambda d: d["doc_id"]).alias("document_ids"),
+                        H.reference_lines(docs).alias("references"), PM.rag_block(docs).alias("rag"))
+
+
 @query("serve_records")
 def q_serve_records(spark: SparkSession, sf: str) -> DataFrame:
     """Conclusion, documents, advice, report and prompt of every record."""
-    scored = _scored(spark, sf).withColumn("qid", F.md5("query"))
-    names, found = best_documents(scored.select("qid", "query").distinct(), corpus(spark, sf), documents_of(spark, sf))
-    s = scored.join(names, "qid", "left").join(found, "q", "left").withColumn(
-        "documents", F.coalesce("documents", F.filter(F.array(F.lit(None).cast(
-            "struct<rank:int,doc_id:bigint,title:string,source:string,text:string,type:string,score:double>")),
-            lambda x: x.isNotNull())))
-    docs = F.col("documents")
-    advice = H.advice_struct(F.col("final.label"), F.col("highlights"), docs)
+    parts = F.struct("final.source", "final.label", "final.diagnosis", "final.trace").alias("final")
+    scored = stored(_scored(spark, sf).select("record_id", *RECORD_FIELDS, parts, "highlights", "query",
+                                              F.md5("query").alias("qid")), "scored")    # read for the queries and at the end
+    asked = stored(scored.select("qid", "query").distinct(), "queries")
+    names, found = best_documents(asked, corpus(spark, sf), documents_of(spark, sf))
+    texts = stored(document_texts(found), "texts")
+    s = scored.join(names, "qid", "left").join(texts, "q", "left")
+    refs = F.coalesce("references", F.array().cast("array<string>"))
+    s = s.withColumn("advice_text", H.advice_struct(F.col("final.label"), F.col("highlights"), refs=refs)["text"])
     logic = F.when(F.col("final.source") == C.SOURCE_RULES, F.col("final.trace")).otherwise(
         F.array().cast("array<string>"))
     report = H.report_text(RECORD_FIELDS, F.col("final.label"), F.col("final.source"), F.col("final.diagnosis"), logic,
-                           H.reference_lines(docs), advice["text"])
+                           refs, F.col("advice_text"))
     prompt = PM.user_prompt(F.col("final.label"), F.col("final.diagnosis"), F.col("final.source"),
                             PM.evidence_block(F.col("final.source"), F.col("final.trace")),
-                            PM.record_block(RECORD_FIELDS), F.col("query"), PM.rag_block(docs))
-    return s.select("record_id", "final.source", "final.label", F.transform("documents", lambda d: d["doc_id"])
-                    .alias("document_ids"), advice["text"].alias("advice_text"), report.alias("report"),
-                    F.lit(C.PROMPT_SYSTEM).alias("system_prompt"), prompt.alias("user_prompt"))
+                            PM.record_block(RECORD_FIELDS), F.col("query"), F.coalesce("rag", PM.rag_block(None)))
+    ids = F.coalesce("document_ids", F.array().cast(texts.schema["document_ids"].dataType))
+    return s.select("record_id", "final.source", "final.label", ids.alias("document_ids"), "advice_text",
+                    report.alias("report"), F.lit(C.PROMPT_SYSTEM).alias("system_prompt"), prompt.alias("user_prompt"))
